@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,16 +37,19 @@ def time_buckets(papers: DataFrame, buckets: int) -> DataFrame:
     Undated rows and rows without category drop out.
     """
     share = broadcast_checked(category_share(papers).where(F.col("primary_category").isNotNull()))
-    bounds = F.broadcast(date_range(papers))  # one row
-    epoch = {c: F.unix_timestamp(F.col(c).cast("timestamp")) for c in ("published_date", "min_date", "max_date")}
+    bounds = date_range(papers)
+
+    def epoch(date: Column) -> Column:
+        return F.unix_date(date) * F.lit(86400)
+
+    first, last = bounds.select("min_date").scalar(), bounds.select("max_date").scalar()
     return (
-        papers.join(share, "primary_category")
-        .join(bounds, F.col("published_date").between(F.col("min_date"), F.col("max_date")))
+        papers.where(F.col("published_date").isNotNull())
+        .join(share, "primary_category")
         .withColumn(
             "bucket_id",
-            F.width_bucket(epoch["published_date"], epoch["min_date"], epoch["max_date"], F.lit(buckets)),
+            F.width_bucket(epoch(F.col("published_date")), epoch(first), epoch(last), F.lit(buckets)).cast("int"),
         )
-        .drop("min_date", "max_date")
     )
 
 

@@ -91,7 +91,7 @@ def upsert(table: str, rows: DataFrame, key: str, latest: str | None = None, row
     (
         kept.select(*columns)
         .unionByName(staged)
-        .repartition(F.col(partition), F.pmod(F.xxhash64(key), F.lit(16)))
+        .hint("rebalance", partition)  # splits a partition that holds much of the rows over several tasks
         .sortWithinPartitions(partition, key)
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
