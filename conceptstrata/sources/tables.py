@@ -10,6 +10,7 @@ from conceptstrata.functions.keys import hash60
 from conceptstrata.operators.ranking import latest_by_key
 from conceptstrata.session import new_path
 
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 BUCKETS_PROPERTY = "conceptstrata.buckets"
 
 
@@ -20,8 +21,6 @@ def _create(spark: SparkSession, name: str, columns: str, partition: str, locati
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {part} {where} "
         f"TBLPROPERTIES ('{BUCKETS_PROPERTY}'='{buckets}')"
     )
-    if partition and location:
-        spark.catalog.recoverPartitions(name)
 
 
 def create_papers(spark: SparkSession, name: str, location: str | None = None, buckets: int = 64) -> None:
@@ -45,6 +44,11 @@ def create_plain(spark: SparkSession, name: str, schema, location: str | None =
     _create(spark, name, schema.toDDL(), "", location, 0)
 
 
+def attach(spark: SparkSession, name: str) -> None:
+    """Find the partitions already lying at the table's location (a fresh catalog knows none)."""
+    spark.catalog.recoverPartitions(name)
+
+
 def with_bucket(rows: DataFrame, table: str) -> DataFrame:
     spark = rows.sparkSession
     found = spark.sql(f"SHOW TBLPROPERTIES {table} ('{BUCKETS_PROPERTY}')").first()
@@ -88,15 +92,19 @@ def upsert(table: str, rows: DataFrame, key: str, latest: str | None = None, row
     emptied = touched - incoming
     if emptied:
         emptied -= partitions(kept.where(F.col(partition).isin(*emptied)))
-    (
+    merged = (
         kept.select(*columns)
         .unionByName(staged)
         .hint("rebalance", partition)  # splits a partition that holds much of the rows over several tasks
         .sortWithinPartitions(partition, key)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .insertInto(table, overwrite=True)
     )
+    # Dynamic overwrite writes beside the table first, so the table can be read meanwhile.
+    mode = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        merged.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(OVERWRITE_MODE, mode)
     for value in sorted(emptied):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition}={int(value)})")
 
