@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 KEYS = ("query_id", "cluster_label")
 MAX_ERAS = 5
-# Gains are exact for integer counts up to rounding of the quotients.
-SMALLEST_GAIN = 1e-9
 
 
 def yearly_counts(clusters: DataFrame, keys: Sequence[str] = KEYS, time: str = "year") -> DataFrame:
@@ -52,20 +50,22 @@ def dense_counts(counts: DataFrame, keys: Sequence[str] = KEYS, time: str = "yea
 def _segment(low: Column, high: Column, sums: Column) -> Column:
     """Stretch [low, high) of a series with the cut that lowers its squared error most.
 
-    The first best cut wins; a stretch that cannot be improved has gain 0.
+    The first best cut wins; a stretch that cannot be improved has gain 0. The gain is written over
+    one difference of whole numbers, so that equal means give exactly 0 and equal gains tie exactly.
     """
     total, length = sums[high] - sums[low], high - low
     cuts = F.when(length >= 2, F.sequence(low + 1, high - 1)).otherwise(F.array().cast("array<int>"))
 
     def gain(cut: Column) -> Column:
-        left, right = sums[cut] - sums[low], sums[high] - sums[cut]
-        return left * left / (cut - low) + right * right / (high - cut) - total * total / length
+        excess = (sums[cut] - sums[low]) * length - total * (cut - low)
+        weight = length.cast("double") * (cut - low) * (high - cut)
+        return excess * excess / weight
 
     none = F.struct(F.lit(0.0).alias("gain"), F.lit(-1).alias("cut"))
 
     def better(best: Column, cut: Column) -> Column:
         found = gain(cut)
-        return F.when(found > best["gain"] + SMALLEST_GAIN, F.struct(found.alias("gain"), cut.alias("cut"))).otherwise(
+        return F.when(found > best["gain"], F.struct(found.alias("gain"), cut.alias("cut"))).otherwise(
             best
         )
 
@@ -97,11 +97,11 @@ def find_eras(
     sums = F.col("_sums")
 
     def cut_best(eras: Column, _round: Column) -> Column:
-        best = F.aggregate(eras, eras[0], lambda b, e: F.when(e["gain"] > b["gain"] + SMALLEST_GAIN, e).otherwise(b))
+        best = F.aggregate(eras, eras[0], lambda b, e: F.when(e["gain"] > b["gain"], e).otherwise(b))
 
         def halves(era: Column) -> Column:
             return F.when(
-                (era["low"] == best["low"]) & (best["gain"] > SMALLEST_GAIN),
+                (era["low"] == best["low"]) & (best["gain"] > 0),
                 F.array(
                     _segment(era["low"], era["cut"], sums),
                     _segment(era["cut"], era["high"], sums),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptstrata.operators.encode import hash_encode, hash_encode_papers
+from conceptstrata.session import new_path
 
 DIMS = 128
 
@@ -61,6 +62,21 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
+    """The vectors table of the documents: encoded once per application, read by column afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, dims)
+    if key not in _STORED:
+        path = new_path(spark, "vectors")
+        encoded_papers(spark, sf_dir, dims).select(
+            "arxiv_id", "dense_vector", "sparse_vector", "publication_year"
+        ).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def encoded_papers(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     """documents as papers with built-in dense and sparse vectors."""
     return hash_encode_papers(papers(spark, sf_dir), dims).withColumn("publication_year", F.year("published_date"))

@@ -219,9 +219,7 @@ def _search(spark: SparkSession, sf_dir: str, alpha: float, norm: str = "bounded
 
 
 def _text_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    vectors = adapters.encoded_papers(spark, sf_dir).select(
-        "arxiv_id", "publication_year", "dense_vector", "sparse_vector"
-    ).persist()
+    vectors = adapters.stored_vectors(spark, sf_dir)
     return vectors, encode.postings(vectors, 0.0, "publication_year"), adapters.text_queries(spark, sf_dir)
 
 
