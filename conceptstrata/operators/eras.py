@@ -43,7 +43,7 @@ def _series(counts: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 def dense_counts(counts: DataFrame, keys: Sequence[str] = KEYS, time: str = "year") -> DataFrame:
     """Counts with the missing years between first and last filled by 0; labels of one year drop out."""
     return _series(counts, keys, time).select(
-        *keys, F.posexplode("_counts").alias("_i", "n"), "_first"
+        *keys, F.posexplode_outer("_counts").alias("_i", "n"), "_first"
     ).select(*keys, (F.col("_first") + F.col("_i")).alias(time), F.col("n").cast("bigint").alias("n"))
 
 
@@ -113,7 +113,8 @@ def find_eras(
     rounds = F.sequence(F.lit(2), F.lit(max_eras)) if max_eras >= 2 else F.array().cast("array<int>")
     return (
         series.withColumn("_eras", F.aggregate(rounds, F.col("_eras"), cut_best))
-        .select(*keys, "_first", "_sums", F.posexplode("_eras").alias("_no", "_era"))
+        # The outer form adds no filter on the array, which would be computed a second time below it.
+        .select(*keys, "_first", "_sums", F.posexplode_outer("_eras").alias("_no", "_era"))
         .select(
             *keys,
             (F.col("_no") + 1).alias("era_no"),

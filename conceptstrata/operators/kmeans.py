@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptstrata.operators.ranking import top_k
+from conceptstrata.session import task_count
 
 SEED = 42
 RESTARTS = 10
@@ -102,6 +103,7 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
     """
     return (
         points.join(candidates, "query_id")
+        .repartition(task_count(points.sparkSession), "query_id", "k")
         .groupBy("query_id", "k")
         .applyInPandas(lambda key, rows: _fit_group(key, rows, restarts, seed), _FIT)
     )

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conceptstrata.session import task_count
+
 MAX_K = 8
 BLOCK_ROWS = 2_048
 EXACT_ROWS = 50_000
@@ -43,9 +45,12 @@ def point_silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BL
             F.sequence(F.lit(0), F.col("_blocks") - 1).alias("_all"),
         )
     )
-    left = rows.withColumn("_right", F.explode("_all")).withColumnRenamed("_mine", "_left").drop("_all")
-    right = rows.withColumn("_left", F.explode("_all")).withColumnRenamed("_mine", "_right").drop("_all")
+    columns = ["query_id", "point_id", "vector", "ks", "clusters"]
+    left = rows.select(*columns, F.col("_mine").alias("_left"), F.explode("_all").alias("_right"))
+    right = rows.select(*[F.col(c).alias(c) for c in columns], F.explode("_all").alias("_left"), F.col("_mine").alias("_right"))
     block = ["query_id", "_left", "_right"]
+    tasks = task_count(points.sparkSession)
+    left, right = left.repartition(tasks, *block), right.repartition(tasks, *block)
     sums = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(_distance_sums, _SUMS)
 
     members = labels.groupBy("query_id", "k", "cluster").agg(F.count("*").alias("n"))

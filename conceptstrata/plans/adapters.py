@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptstrata.operators.encode import hash_encode, hash_encode_papers
-from conceptstrata.session import new_path
+from conceptstrata.session import new_path, spread
 
 DIMS = 128
 
@@ -79,7 +79,7 @@ def stored_vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFr
 
 def encoded_papers(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     """documents as papers with built-in dense and sparse vectors."""
-    return hash_encode_papers(papers(spark, sf_dir), dims).withColumn("publication_year", F.year("published_date"))
+    return hash_encode_papers(spread(papers(spark, sf_dir)), dims).withColumn("publication_year", F.year("published_date"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str, dims: int = DIMS, alpha: float | None = 0.5) -> DataFrame:

@@ -13,11 +13,12 @@ from conceptstrata.operators.encode import postings as to_postings
 from conceptstrata.operators.labels import cluster_labels
 from conceptstrata.operators.ranking import broadcast_checked
 from conceptstrata.operators.retrieve import attach_metadata, hybrid_search
+from conceptstrata.session import cut_lineage
 
 
 @dataclass
 class ConceptAnalysis:
-    """Parameters and lazy result tables of one run; every table is keyed by query_id."""
+    """Parameters and result tables of one run; every table is keyed by query_id."""
 
     max_eras: int
     pivotal_k: int
@@ -54,24 +55,24 @@ def analyze(
     """
     if postings is None:
         postings = to_postings(vectors, 0.0, "publication_year")
-    hits = hybrid_search(vectors, postings, queries, limit, norm).persist()
+    # Intermediate results have at most `limit` rows per query and are used several times.
+    hits = cut_lineage(hybrid_search(vectors, postings, queries, limit, norm), "hits")
     results = attach_metadata(hits, papers)
 
     # The vectors of the hits are read once and serve clustering, silhouette and labels.
-    members = (
-        vectors.select("arxiv_id", "dense_vector", "sparse_vector")
-        .join(broadcast_checked(hits), "arxiv_id")
-        .persist()
+    members = cut_lineage(
+        vectors.select("arxiv_id", "dense_vector", "sparse_vector").join(broadcast_checked(hits), "arxiv_id"),
+        "members",
     )
-    clusters = cluster_concepts(members, queries, limit, max_k)
-    labels = name_concepts(members, clusters, vocabulary)
+    clusters = cut_lineage(cluster_concepts(members, queries, limit, max_k), "clusters")
+    labels = cut_lineage(name_concepts(members, clusters, vocabulary), "labels")
     placed = clusters.join(labels.withColumnRenamed("label", "cluster_label"), ["query_id", "cluster"], "left")
-    concept_clusters = results.join(
-        placed.withColumnRenamed("point_id", "arxiv_id"), ["query_id", "arxiv_id"], "left"
-    ).persist()
+    concept_clusters = cut_lineage(
+        results.join(placed.withColumnRenamed("point_id", "arxiv_id"), ["query_id", "arxiv_id"], "left"), "concepts"
+    )
 
     named = concept_clusters.where(F.col("cluster_label").isNotNull())
-    eras = era_ops.find_eras(era_ops.yearly_counts(named), max_eras).persist()
+    eras = cut_lineage(era_ops.find_eras(era_ops.yearly_counts(named), max_eras), "eras")
     return ConceptAnalysis(
         max_eras=max_eras,
         pivotal_k=pivotal_k,
@@ -99,7 +100,7 @@ def cluster_concepts(
     )
     sizes = points.groupBy("query_id").agg(F.count("*").alias("n")).join(asked, "query_id")
     candidates = silhouette.k_candidates(sizes, max_k)
-    fitted = kmeans.fit(points, candidates, row_limit).persist()
+    fitted = cut_lineage(kmeans.fit(points, candidates, row_limit), "fits")
     chosen = choose_k(points, fitted, candidates, row_limit)
     return fitted.join(chosen.select("query_id", "k"), ["query_id", "k"]).select(
         "query_id", "k", "point_id", "cluster"

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.functions.keys import hash60
 from conceptstrata.functions.text import words
 from conceptstrata.operators import drift, encode, eras, evaluate, kmeans, labels, pivotal, retrieve, silhouette
 from conceptstrata.plans import adapters, analysis
-from conceptstrata.plans.registry import ENCODED, HASH, VECTORS, WORDS, query
+from conceptstrata.plans.registry import ENCODED, VECTORS, query
+from conceptstrata.session import cut_lineage
 
 # Clusters ------------------------------------------------------------------------------------
 
@@ -87,7 +87,7 @@ def auto_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir, per_label=True)
     sizes = points.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("n_clusters", F.lit(None).cast("int"))
     candidates = silhouette.k_candidates(sizes)
-    fitted = kmeans.fit(points, candidates).persist()
+    fitted = cut_lineage(kmeans.fit(points, candidates), "fits")
     return analysis.choose_k(points, fitted, candidates).select("query_id", "k", F.round("silhouette", 4).alias("silhouette"))
 
 

@@ -287,39 +287,15 @@ def reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("known_item_rank", f"""
 WITH {_lists(500)}, {_BOUNDED}, fused AS ({_fused('0.5', 'ds', 'ss')}),
-targets AS (SELECT item_id AS query_id, min(CAST(doc_id AS VARCHAR)) AS arxiv_id
-  FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id)
+targets AS (SELECT query_id, arxiv_id FROM sparse WHERE rank = 1)
 SELECT t.query_id, t.arxiv_id, rank, CASE WHEN rank IS NULL THEN 0 ELSE 1 END AS hit,
   round(coalesce(1.0::DOUBLE / rank, 0), 6) AS reciprocal_rank
 FROM targets t LEFT JOIN (SELECT * FROM fused WHERE rank <= {_LIMIT}) f USING (query_id, arxiv_id)
 """)
 def known_item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of the document that quotes the benchmark text."""
-    asked = adapters.table(spark, sf_dir, "benchmark")
-    texts = adapters.table(spark, sf_dir, "documents")
-    # Quotations are found on the words they start with before whole texts are compared.
-    opening = words(F.col("text"))
-    starts = asked.select(
-        "item_id", F.col("text").alias("quote"), F.array_join(F.slice(opening, 2, 6), " ").alias("opening")
-    )
-    grams = texts.select("doc_id", "text", opening.alias("w")).select(
-        "doc_id",
-        "text",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))),
-                    lambda i: F.array_join(F.slice("w", i, 6), " "),
-                )
-            )
-        ).alias("opening"),
-    )
-    targets = (
-        grams.join(starts, "opening")
-        .where(F.contains("text", "quote"))
-        .groupBy(F.col("item_id").alias("query_id"))
-        .agg(F.min(F.col("doc_id").cast("string")).alias("arxiv_id"))
-    )
+    """Rank in the hybrid list of the paper that shares most words with the query."""
+    vectors, postings, asked = _text_inputs(spark, sf_dir)
+    targets = retrieve.sparse_topk(postings, retrieve.query_tokens(asked), 1).select("query_id", "arxiv_id")
     ranked = retrieve.known_item_rank(_search(spark, sf_dir, 0.5), targets)
     return ranked.select(
         "query_id",

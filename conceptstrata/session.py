@@ -50,12 +50,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result outlives lost executors and is read back, not recomputed."""
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    It outlives lost executors, is computed once however often it is used, and gives the planner its
+    true size.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for CPU-heavy groups, whose small size would otherwise get them merged into few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with few files over the cores; a table with many files stays as it lies."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    few = len(df.inputFiles()) < spark.sparkContext.defaultParallelism
+    return df.repartition(task_count(spark)) if few else df
 
 
 def ship_package(spark: SparkSession) -> None:
