@@ -50,7 +50,7 @@ def encode_with(papers: DataFrame, model: TextModel) -> DataFrame:
             dense, sparse = model.encode(batch["encoder_input"])
             lengths = np.linalg.norm(dense, axis=1, keepdims=True)
             unit = (dense / np.where(lengths > 0, lengths, 1.0)).astype("float32")
-            yield batch.assign(dense_vector=list(unit), sparse_vector=[list(s.items()) for s in sparse])
+            yield batch.assign(dense_vector=list(unit), sparse_vector=sparse)
 
     return papers.mapInPandas(run, schema)
 

@@ -12,7 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptstrata.operators.ranking import top_k
+from conceptstrata.operators.distances import BLOCK_ROWS, mean_silhouette, no_rows
+from conceptstrata.operators.ranking import broadcast_checked, top_k
 from conceptstrata.session import task_count
 
 SEED = 42
@@ -24,7 +25,7 @@ MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 SEEDING_ROWS = 2_000
 
-_FIT = "query_id bigint, k int, point_id string, cluster int, inertia double"
+_FIT = "query_id bigint, k int, point_id string, cluster int, inertia double, silhouette double"
 _CENTRES = "query_id bigint, k int, restart int, cluster int, centre array<double>"
 
 
@@ -68,6 +69,9 @@ def _moved(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[n
 def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.DataFrame:
     """All restarts for one (concept, k); the labels of the restart with least inertia."""
     query_id, k = int(key[0]), int(key[1])
+    usable = max(2, len(rows) - 1) if rows["automatic"].iloc[0] else len(rows)
+    if k > min(usable, len(rows)):
+        return no_rows(_FIT)
     rows = rows.sort_values("point_id")
     points = np.array(rows["vector"].tolist(), dtype=np.float64)
     centres = np.stack(
@@ -91,6 +95,7 @@ def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.D
             "point_id": rows["point_id"].to_numpy(),
             "cluster": nearest[:, best],
             "inertia": inertia[best],
+            "silhouette": mean_silhouette(points, nearest[:, best]) if len(points) <= BLOCK_ROWS else None,
         }
     )
 
@@ -99,10 +104,12 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
     """Labels per (query_id, k, point_id) for sets known to be small.
 
     points: query_id, point_id, vector, with at most GROUPED_ROWS rows per query_id; candidates:
-    query_id, k. Every (concept, k) is a task of its own, so all of them are fitted side by side.
+    query_id, k, automatic. Every (concept, k) is a group of its own, so all of them are fitted side
+    by side. Sets of up to BLOCK_ROWS rows get their mean silhouette on the spot, others null.
     """
     return (
-        points.join(candidates, "query_id")
+        points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector")
+        .join(broadcast_checked(candidates), "query_id")
         .repartition(task_count(points.sparkSession), "query_id", "k")
         .groupBy("query_id", "k")
         .applyInPandas(lambda key, rows: _fit_group(key, rows, restarts, seed), _FIT)
@@ -276,8 +283,9 @@ def label_points(points: DataFrame, best: dict[tuple[int, int], tuple[np.ndarray
                         pa.array(ids, pa.string()),
                         pa.array(nearest[:, 0].astype(np.int32)),
                         pa.array(np.full(n, inertia)),
+                        pa.nulls(n, pa.float64()),
                     ],
-                    names=["query_id", "k", "point_id", "cluster", "inertia"],
+                    names=["query_id", "k", "point_id", "cluster", "inertia", "silhouette"],
                 )
 
     return points.mapInArrow(_over_points(per_query), _FIT)
@@ -331,6 +339,8 @@ def coarse_to_fine(points: DataFrame, coarse_k: int, fine_k: int, dims: int = 64
         .select(F.col("cell").cast("bigint").alias("query_id"), F.col("point_id").cast("string"), "vector")
         .persist()
     )
-    sizes = cells.groupBy("query_id").count().select("query_id", F.least("count", F.lit(fine_k)).cast("int").alias("k"))
+    sizes = cells.groupBy("query_id").count().select(
+        "query_id", F.least("count", F.lit(fine_k)).cast("int").alias("k"), F.lit(False).alias("automatic")
+    )
     return fit(cells, sizes).select(F.col("query_id").cast("int").alias("cell"), "point_id", "cluster")
 

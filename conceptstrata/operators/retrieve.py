@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conceptstrata.functions.vectors import scaled_cosine, scaled_inner_product
+from conceptstrata.operators.distances import no_rows
 from conceptstrata.operators.encode import drop_smallest
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 
@@ -135,7 +136,7 @@ def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, per_block:
 
     def score(papers: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if papers.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "arxiv_id": [], "year": [], "score": []})
+            return no_rows(_HITS)
         found = _QueryBlock(queries, k).best(
             papers["arxiv_id"].to_numpy(),
             papers["year"].to_numpy(),
@@ -152,7 +153,7 @@ def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, per_block:
     right = queries.withColumns(
         {
             "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
-            "_shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"),
+            "_shard": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))),
         }
     )
     return left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(score, _HITS)

@@ -9,10 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conceptstrata.operators.distances import BLOCK_ROWS, euclidean, membership, no_rows
 from conceptstrata.session import task_count
 
 MAX_K = 8
-BLOCK_ROWS = 2_048
 EXACT_ROWS = 50_000
 
 _SUMS = "query_id bigint, point_id string, k int, own int, other int, distance double"
@@ -70,21 +70,18 @@ def point_silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BL
 def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Per left point and cluster: sum of the distances to the right block's members."""
     if left.empty or right.empty:
-        return pd.DataFrame({c.split()[0]: [] for c in _SUMS.split(", ")})
+        return no_rows(_SUMS)
     left, right = left.sort_values("point_id"), right.sort_values("point_id")
     x = np.array(left["vector"].tolist(), dtype=np.float64)
     y = np.array(right["vector"].tolist(), dtype=np.float64)
-    squared = (x**2).sum(axis=1, keepdims=True) - 2.0 * (x @ y.T) + (y**2).sum(axis=1)
-    distance = np.sqrt(np.maximum(squared, 0.0))
+    distance = euclidean(x, y)
     if key[1] == key[2]:  # the same rows on both sides
         np.fill_diagonal(distance, 0.0)
     own, theirs = np.array(left["clusters"].tolist()), np.array(right["clusters"].tolist())
     frames = []
     for i, k in enumerate(left["ks"].iloc[0]):
         present, code = np.unique(theirs[:, i], return_inverse=True)
-        member = np.zeros((len(y), len(present)))
-        member[np.arange(len(y)), code] = 1.0
-        sums = distance @ member
+        sums = distance @ membership(code, len(present))
         frames.append(
             pd.DataFrame(
                 {
@@ -130,16 +127,15 @@ def silhouette_large(points: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def k_candidates(sizes: DataFrame, max_k: int = MAX_K) -> DataFrame:
-    """Cluster counts to try per set: the given one if >= 2, else 2..min(max_k, n - 1), at least 2.
+def k_candidates(queries: DataFrame, max_k: int = MAX_K) -> DataFrame:
+    """Cluster counts to try per query: n_clusters if it is >= 2, else every k from 2 to max_k.
 
-    sizes: query_id, n and n_clusters (null for automatic).
+    Of the automatic ones, a set of n rows uses those up to n - 1, and at least 2; a set smaller than
+    k stays unclustered. `automatic` tells the two cases apart.
     """
-    automatic = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(max_k), F.col("n").cast("int") - 1)))
-    given = F.array(F.col("n_clusters").cast("int"))
-    ks = F.when(F.col("n_clusters") >= 2, given).otherwise(automatic)
-    # A set smaller than k stays unclustered.
-    return sizes.select("query_id", "n", F.explode(ks).alias("k")).where(F.col("n") >= F.col("k")).drop("n")
+    given = F.coalesce(F.col("n_clusters") >= 2, F.lit(False))
+    ks = F.when(given, F.array(F.col("n_clusters").cast("int"))).otherwise(F.sequence(F.lit(2), F.lit(max_k)))
+    return queries.select("query_id", F.explode(ks).alias("k"), (~given).alias("automatic"))
 
 
 def best_k(scores: DataFrame) -> DataFrame:

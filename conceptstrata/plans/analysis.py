@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conceptstrata.operators import eras as era_ops
 from conceptstrata.operators import kmeans, pivotal, silhouette
+from conceptstrata.operators.distances import BLOCK_ROWS
 from conceptstrata.operators.encode import postings as to_postings
 from conceptstrata.operators.labels import cluster_labels
 from conceptstrata.operators.ranking import broadcast_checked
@@ -98,24 +99,22 @@ def cluster_concepts(
         if "n_clusters" in queries.columns
         else queries.select("query_id", F.lit(None).cast("int").alias("n_clusters"))
     )
-    sizes = points.groupBy("query_id").agg(F.count("*").alias("n")).join(asked, "query_id")
-    candidates = silhouette.k_candidates(sizes, max_k)
+    candidates = silhouette.k_candidates(asked, max_k)
     fitted = cut_lineage(kmeans.fit(points, candidates, row_limit), "fits")
-    chosen = choose_k(points, fitted, candidates, row_limit)
-    return fitted.join(chosen.select("query_id", "k"), ["query_id", "k"]).select(
+    chosen = choose_k(points, fitted, row_limit)
+    return fitted.join(broadcast_checked(chosen.select("query_id", "k")), ["query_id", "k"]).select(
         "query_id", "k", "point_id", "cluster"
     )
 
 
-def choose_k(points: DataFrame, fitted: DataFrame, candidates: DataFrame, row_limit: int | None = None) -> DataFrame:
-    """One k per query: the only candidate, or the one with the best silhouette."""
-    tried = candidates.groupBy("query_id").agg(F.count("*").alias("tried"), F.min("k").alias("k"))
-    open_queries = tried.where(F.col("tried") > 1).select("query_id")
-    to_score = fitted.join(open_queries, "query_id", "left_semi")
-    scores = scored(points, to_score, row_limit)
-    best = silhouette.best_k(scores)
-    settled = tried.where(F.col("tried") == 1).select("query_id", "k", F.lit(None).cast("double").alias("silhouette"))
-    return best.unionByName(settled)
+def choose_k(points: DataFrame, fitted: DataFrame, row_limit: int | None = None) -> DataFrame:
+    """One k per query: the one with the best silhouette, or the only one fitted."""
+    per_k = fitted.groupBy("query_id", "k").agg(F.first("silhouette").alias("silhouette"))
+    if row_limit is None or row_limit > BLOCK_ROWS:
+        several = per_k.groupBy("query_id").agg(F.count("*").alias("ks")).where(F.col("ks") > 1)
+        unscored = fitted.where(F.col("silhouette").isNull()).join(several, "query_id", "left_semi")
+        per_k = per_k.unionByName(scored(points, unscored, row_limit).select("query_id", "k", "silhouette"))
+    return silhouette.best_k(per_k)
 
 
 def scored(points: DataFrame, fitted: DataFrame, row_limit: int | None = None) -> DataFrame:

@@ -85,10 +85,9 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best cluster count for the embeddings of every label."""
     points = _points(spark, sf_dir, per_label=True)
-    sizes = points.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("n_clusters", F.lit(None).cast("int"))
-    candidates = silhouette.k_candidates(sizes)
-    fitted = cut_lineage(kmeans.fit(points, candidates), "fits")
-    return analysis.choose_k(points, fitted, candidates).select("query_id", "k", F.round("silhouette", 4).alias("silhouette"))
+    sets = points.select("query_id").distinct().withColumn("n_clusters", F.lit(None).cast("int"))
+    fitted = cut_lineage(kmeans.fit(points, silhouette.k_candidates(sets)), "fits")
+    return analysis.choose_k(points, fitted).select("query_id", "k", F.round("silhouette", 4).alias("silhouette"))
 
 
 @query("coarse_to_fine")

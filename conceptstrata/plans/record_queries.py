@@ -187,7 +187,7 @@ def upsert_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"title": F.lit("revised"), "processed_status": F.lit("embedded")}
     )
     tables.upsert(name, tables.with_bucket(revised, name), "arxiv_id")
-    return spark.table(name).select("arxiv_id", "title", "primary_category", "processed_status")
+    return tables.read(spark, name).select("arxiv_id", "title", "primary_category", "processed_status")
 
 
 @query("upsert_moved_vectors", f"""
@@ -214,7 +214,7 @@ def upsert_moved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("arxiv_id"))
     moved = records.with_ids(rows, labelled).withColumn("publication_year", F.lit(2030))
     tables.upsert(name, moved, "paper_id", rows_move=True)
-    return spark.table(name).select(
+    return tables.read(spark, name).select(
         "paper_id", "arxiv_id", "publication_year", F.size("dense_vector").cast("bigint").alias("dims")
     )
 
@@ -373,7 +373,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.create_papers(spark, name, new_path(spark, "streamed"), buckets=4)
     source = _written_records(spark, sf_dir)
     feeds.ingest_feed(spark, source, name, new_path(spark, "progress")).awaitTermination()
-    return _clean_view(spark.table(name))
+    return _clean_view(tables.read(spark, name))
 
 
 @query("stream_encode", f"""
@@ -391,7 +391,7 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds.encode_feed(
         spark, source, name, new_path(spark, "progress"), lambda papers: encode.hash_encode_papers(papers, 64)
     ).awaitTermination()
-    return spark.table(name).select(
+    return tables.read(spark, name).select(
         "paper_id",
         "arxiv_id",
         "publication_year",

@@ -49,6 +49,12 @@ def attach(spark: SparkSession, name: str) -> None:
     spark.catalog.recoverPartitions(name)
 
 
+def read(spark: SparkSession, table: str) -> DataFrame:
+    """The table as it is now, whichever session (a stream's, another job's) wrote it last."""
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def with_bucket(rows: DataFrame, table: str) -> DataFrame:
     spark = rows.sparkSession
     found = spark.sql(f"SHOW TBLPROPERTIES {table} ('{BUCKETS_PROPERTY}')").first()
@@ -64,7 +70,7 @@ def upsert(table: str, rows: DataFrame, key: str, latest: str | None = None, row
     upsert again leaves the same table, so a failed run is simply repeated. One writer at a time.
     """
     spark = rows.sparkSession
-    target = spark.table(table)
+    target = read(spark, table)
     columns = target.columns
     partition = next(c.name for c in spark.catalog.listColumns(table) if c.isPartition)
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from conceptstrata.operators.encode import hash_encode_papers
 from conceptstrata.operators.records import clean_records, pending, storable, with_vector_keys
 from conceptstrata.schemas import SOURCE_RECORD
-from conceptstrata.sources.tables import upsert, with_bucket
+from conceptstrata.sources.tables import read, upsert, with_bucket
 
 
 def ingest_feed(
@@ -80,6 +80,6 @@ def _start(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint:
 
 def mark_embedded(spark: SparkSession, papers_table: str, vectors_table: str) -> None:
     """Set the pending papers whose vectors are stored to `embedded`."""
-    papers = spark.table(papers_table)
-    done = pending(papers).join(spark.table(vectors_table).select("arxiv_id"), "arxiv_id", "left_semi")
+    papers = read(spark, papers_table)
+    done = pending(papers).join(read(spark, vectors_table).select("arxiv_id"), "arxiv_id", "left_semi")
     upsert(papers_table, done.withColumn("processed_status", F.lit("embedded")), "arxiv_id")
