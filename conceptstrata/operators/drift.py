@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conceptstrata.functions.vectors import cosine, squared_distance
-from conceptstrata.operators.ranking import broadcast_checked, top_k
+from conceptstrata.operators.ranking import BROADCAST_VECTORS, broadcast_checked, top_k
 
 
 def time_slices(papers: DataFrame, width: int = 10, time: str = "year") -> DataFrame:
@@ -53,7 +53,7 @@ def top_per_slice(papers: DataFrame, k: int, keys: list[str] | None = None) -> D
 
 def novelty(points: DataFrame, group_centroids: DataFrame, keys: list[str], vector: str = "dense_vector") -> DataFrame:
     """1 - cosine to the centroid of the paper's own group."""
-    return points.join(broadcast_checked(group_centroids.drop("n")), keys).withColumn(
+    return points.join(broadcast_checked(group_centroids.drop("n"), BROADCAST_VECTORS), keys).withColumn(
         "novelty", F.lit(1.0) - cosine(F.col(vector), F.col("centroid"))
     ).drop("centroid")
 
@@ -61,7 +61,7 @@ def novelty(points: DataFrame, group_centroids: DataFrame, keys: list[str], vect
 def spread(points: DataFrame, slice_centroids: DataFrame, keys: list[str], vector: str = "dense_vector") -> DataFrame:
     """Mean squared distance to the centroid per group."""
     return (
-        points.join(broadcast_checked(slice_centroids.drop("n")), keys)
+        points.join(broadcast_checked(slice_centroids.drop("n"), BROADCAST_VECTORS), keys)
         .groupBy(*keys)
         .agg(F.avg(squared_distance(F.col(vector), F.col("centroid"))).alias("spread"), F.count("*").alias("n"))
     )

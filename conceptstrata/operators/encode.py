@@ -118,16 +118,12 @@ def text_windows(df: DataFrame, key: str, text: Column, size: int = 512) -> Data
 
     Every word is in exactly one window; nothing is cut off. A text without words keeps one window.
     """
-    tokens = words(text)
     last = F.greatest(F.ceil(F.size("_words") / F.lit(size)).cast("int") - 1, F.lit(0))
-    return (
-        df.select(key, tokens.alias("_words"))
-        .withColumn("window_no", F.explode(F.sequence(F.lit(0), last)))
-        .select(
-            key,
-            "window_no",
-            F.array_join(F.slice("_words", F.col("window_no") * size + 1, F.lit(size)), " ").alias("window_text"),
-        )
+    cut = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("_words", i * size + 1, F.lit(size)), " ")
+    )
+    return df.select(key, words(text).alias("_words")).select(
+        key, F.posexplode_outer(cut).alias("window_no", "window_text")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ LARGE_RESTARTS = 3
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 SEEDING_ROWS = 2_000
+# Centres that travel with one pass of a distributed fit
+MODEL_BYTES = 64 << 20
 
 _FIT = "query_id bigint, k int, point_id string, cluster int, inertia double, silhouette double"
 _CENTRES = "query_id bigint, k int, restart int, cluster int, centre array<double>"
@@ -116,7 +118,7 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
     )
 
 
-def _initial_centres(points: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> pd.DataFrame:
+def _initial_centres(points: DataFrame, ks: dict[int, list[int]], restarts: int, seed: int) -> pd.DataFrame:
     """k-means++ centres drawn from a hash sample of every set; seeding only, all rows are fitted."""
     shuffled = points.withColumn("_h", F.xxhash64(F.lit(seed), "point_id"))
     sample = top_k(shuffled, ["query_id"], [F.col("_h"), F.col("point_id")], SEEDING_ROWS)
@@ -127,7 +129,7 @@ def _initial_centres(points: DataFrame, ks: Sequence[int], restarts: int, seed:
         return pd.DataFrame(
             [
                 {"query_id": int(key[0]), "k": k, "restart": r, "cluster": c, "centre": centre}
-                for k in ks
+                for k in ks[int(key[0])]
                 if k <= len(vectors)
                 for r in range(restarts)
                 for c, centre in enumerate(_spread_centres(vectors, k, np.random.default_rng([seed, k, r])))
@@ -138,7 +140,7 @@ def _initial_centres(points: DataFrame, ks: Sequence[int], restarts: int, seed:
     return sample.groupBy("query_id").applyInPandas(draw, _CENTRES).toPandas()
 
 
-def _as_models(centres: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def models_of(centres: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """{(query_id, k): (restarts, k, dims)} from one row per centre."""
     ordered = centres.sort_values(["query_id", "k", "restart", "cluster"])
     return {
@@ -228,12 +230,12 @@ def lloyd_totals(points: DataFrame, models: dict[tuple[int, int], np.ndarray]) -
 
 def fit_distributed(
     points: DataFrame,
-    ks: Sequence[int],
+    ks: dict[int, list[int]],
     restarts: int = LARGE_RESTARTS,
     seed: int = SEED,
     max_iterations: int = MAX_ITERATIONS,
 ) -> DataFrame:
-    """Labels per (query_id, k, point_id) for sets of any size.
+    """Labels per (query_id, k, point_id) for sets of any size; `ks` lists the counts per query_id.
 
     Lloyd's algorithm as one Spark job per iteration: a single pass over the cached points moves the
     centres of all sets, cluster counts and restarts. Only centres (sets x k x restarts x dims) travel
@@ -244,7 +246,7 @@ def fit_distributed(
     spread = points.groupBy("query_id").agg(vector_to_array(variance).alias("v"))
     tolerance = {int(r.query_id): TOLERANCE * float(np.nanmean(r.v)) for r in spread.toLocalIterator()}
 
-    models = _as_models(_initial_centres(points, ks, restarts, seed))
+    models = models_of(_initial_centres(points, ks, restarts, seed))
     active = {key: np.arange(len(c)) for key, c in models.items()}
     for _ in range(max_iterations):
         moving = {key: models[key][rows] for key, rows in active.items() if len(rows)}
@@ -305,10 +307,18 @@ def fit(points: DataFrame, candidates: DataFrame, row_limit: int | None = None)
         return fit_bounded(points, candidates)
     small = ~F.col("query_id").isin(*large)
     labels = fit_bounded(points.where(small), candidates.where(small))
+    ks: dict[int, list[int]] = {query_id: [] for query_id in large}
+    for r in candidates.where(~small).select("query_id", "k").distinct().orderBy("query_id", "k").toLocalIterator():
+        ks[r.query_id].append(r.k)
+    dims = len(points.select("vector").first()["vector"])
+    # As many sets per pass as their centres leave room for.
+    batch: dict[int, list[int]] = {}
     for query_id in large:
-        mine = F.col("query_id") == query_id
-        ks = sorted(r.k for r in candidates.where(mine).select("k").distinct().collect())
-        labels = labels.unionByName(fit_distributed(points.where(mine), ks))
+        batch[query_id] = ks[query_id]
+        if query_id == large[-1] or sum(map(sum, batch.values())) * LARGE_RESTARTS * dims * 8 > MODEL_BYTES:
+            mine = points.where(F.col("query_id").isin(*batch))
+            labels = labels.unionByName(fit_distributed(mine, batch))
+            batch = {}
     return labels
 
 

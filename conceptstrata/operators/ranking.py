@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Above this k, one reducer per group would receive k rows from every map task.
-TWO_LEVEL_FROM = 256
+TWO_LEVEL_FROM = 64
+# Bounds for broadcast sides: rows of a few scalar columns, and rows that carry a vector.
 BROADCAST_ROWS = 200_000
+BROADCAST_VECTORS = 5_000
 
 
 def top_k(

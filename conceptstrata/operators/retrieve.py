@@ -19,10 +19,15 @@ from conceptstrata.operators.ranking import broadcast_checked, top_k
 FIRST_YEAR, LAST_YEAR = 1980, 2025
 MAX_CANDIDATES = 16384
 RRF_CONSTANT = 60
-# Query vectors sent along with the scoring function; more queries than fit are scored in blocks.
-QUERY_BYTES = 64 << 20
+# Queries sent along with the scoring function (12 MB at 768 dimensions); more are scored in blocks.
+QUERY_ROWS = 2_048
+# Cells of the paper-by-token matrix of the sparse scan (64 MB)
+MATRIX_CELLS = 8 << 20
 
 _HITS = "query_id bigint, arxiv_id string, year int, score double"
+_ARROW_HITS = pa.schema(
+    [("query_id", pa.int64()), ("arxiv_id", pa.string()), ("year", pa.int32()), ("score", pa.float64())]
+)
 
 
 def best_first() -> list[Column]:
@@ -43,28 +48,27 @@ def with_years(queries: DataFrame) -> DataFrame:
 
 
 class _QueryBlock:
-    """Query vectors as a matrix, scored against Arrow batches of papers."""
+    """A bounded set of queries, scored against Arrow batches of papers."""
 
     def __init__(self, rows: pd.DataFrame, k: int):
-        matrix = np.array(rows["dense_vector"].tolist(), dtype=np.float64)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        self.unit = (matrix / np.where(lengths > 0, lengths, 1.0)).astype(np.float64)
         self.ids = rows["query_id"].to_numpy(np.int64)
         self.start = rows["start_year"].to_numpy(np.int64)
         self.end = rows["end_year"].to_numpy(np.int64)
         self.k = k
 
-    def cosines(self, vectors: np.ndarray) -> np.ndarray:
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = vectors / np.where(lengths > 0, lengths, 1.0)
-        # Rounded, so that equal vectors tie exactly and the id decides.
-        return np.round(unit @ self.unit.T, 12)
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
+        """Papers by queries, and which of them are hits at all (None for all).
 
-    def best(self, ids: np.ndarray, years: np.ndarray, vectors: np.ndarray) -> Iterator[pd.DataFrame]:
+        Scores are rounded, so that equal papers tie exactly and the id decides.
+        """
+        raise NotImplementedError
+
+    def best(self, ids: np.ndarray, years: np.ndarray, column: pa.Array) -> Iterator[pd.DataFrame]:
         """Per query the k best of these papers."""
-        scores = self.cosines(vectors)
+        scores, hit = self.scores(column)
         for q, query_id in enumerate(self.ids):
-            rows = np.flatnonzero((years >= self.start[q]) & (years <= self.end[q]))
+            valid = (years >= self.start[q]) & (years <= self.end[q])
+            rows = np.flatnonzero(valid if hit is None else valid & hit[:, q])
             hits = pd.DataFrame({"arxiv_id": ids[rows], "year": years[rows], "score": scores[rows, q]})
             yield self.cut(hits.assign(query_id=query_id))
 
@@ -79,7 +83,7 @@ class _QueryBlock:
         return pd.concat([above, ties])
 
     def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Running top-k of a whole task, so a task hands on about k rows per query."""
+        """Running top-k of a whole task, so a task hands on at most k rows per query."""
         kept: dict[int, list[pd.DataFrame]] = {int(q): [] for q in self.ids}
         held = 0
         for batch in batches:
@@ -87,8 +91,7 @@ class _QueryBlock:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             years = batch.column(1).to_numpy(zero_copy_only=False)
-            vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
-            for query_id, hits in zip(self.ids, self.best(ids, years, vectors)):
+            for query_id, hits in zip(self.ids, self.best(ids, years, batch.column(2))):
                 kept[int(query_id)].append(hits)
                 held += len(hits)
             if held > 4 * self.k * len(self.ids):
@@ -96,51 +99,122 @@ class _QueryBlock:
                 held = sum(len(parts[0]) for parts in kept.values())
         for parts in kept.values():
             if parts:
-                hits = self.cut(pd.concat(parts))[["query_id", "arxiv_id", "year", "score"]]
-                yield pa.RecordBatch.from_pandas(
-                    hits.astype({"year": "int32", "query_id": "int64"}), preserve_index=False
-                )
+                hits = self.cut(pd.concat(parts))
+                yield pa.RecordBatch.from_pandas(hits, schema=_ARROW_HITS, preserve_index=False)
+
+
+class _DenseBlock(_QueryBlock):
+    """Cosine of every paper with every query: one matrix product per batch."""
+
+    column = "dense_vector"
+
+    def __init__(self, rows: pd.DataFrame, k: int):
+        super().__init__(rows, k)
+        self.unit = _unit(np.array(rows[self.column].tolist(), dtype=np.float64))
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, None]:
+        vectors = column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+        return np.round(_unit(vectors) @ self.unit.T, 12), None
+
+
+class _SparseBlock(_QueryBlock):
+    """Inner product of positive weights; papers that share no token with a query are no hits.
+
+    Only the tokens of the queries are kept of a batch, as the columns of a matrix.
+    """
+
+    column = "sparse_vector"
+
+    def __init__(self, rows: pd.DataFrame, k: int):
+        super().__init__(rows, k)
+        entries = [dict(weights).items() for weights in rows[self.column]]
+        self.tokens = np.unique(np.array([t for e in entries for t, _ in e], dtype=np.int64))
+        self.weights = np.zeros((len(self.tokens), len(entries)))
+        for q, entry in enumerate(entries):
+            for token, weight in entry:
+                self.weights[np.searchsorted(self.tokens, token), q] = weight
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.zeros((len(column), len(self.ids)))
+        if not len(self.tokens):
+            return scores, scores > 0
+        offsets = column.offsets.to_numpy()
+        first, last = offsets[0], offsets[-1]
+        tokens = column.keys.to_numpy()[first:last]
+        weights = column.items.to_numpy()[first:last].astype(np.float64)
+        paper = np.repeat(np.arange(len(column)), np.diff(offsets))
+        place = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        shared = np.flatnonzero(self.tokens[place] == tokens)
+        paper, place, weights = paper[shared], place[shared], weights[shared]
+        chunk = max(1, MATRIX_CELLS // len(self.tokens))
+        for low in range(0, len(column), chunk):
+            high = min(low + chunk, len(column))
+            a, b = np.searchsorted(paper, (low, high))
+            held = np.zeros((high - low, len(self.tokens)))
+            held[paper[a:b] - low, place[a:b]] = weights[a:b]
+            scores[low:high] = held @ self.weights
+        scores = np.round(scores, 12)
+        return scores, scores > 0
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(lengths > 0, lengths, 1.0)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k papers nearest to every query by cosine, inside the query's year range.
 
     vectors: arxiv_id, publication_year, dense_vector; queries: query_id, dense_vector and
-    optionally start_year, end_year. The papers are scanned where they lie: each task multiplies its
-    Arrow batches with the query matrix and keeps its own top-k, so neither papers nor scores are
-    shuffled. A query set whose matrix passes QUERY_BYTES is scored in blocks on the executors.
+    optionally start_year, end_year.
     """
-    papers = vectors.select("arxiv_id", F.col("publication_year").cast("int").alias("year"), "dense_vector").where(
-        F.col("year").isNotNull() & (F.size("dense_vector") > 0)
-    )
-    asked = with_years(queries.where(F.size("dense_vector") > 0)).select(
-        "query_id", "dense_vector", "start_year", "end_year"
+    return _scan_topk(vectors, queries, k, _DenseBlock)
+
+
+def sparse_scan_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k papers with the largest inner product per query, inside the query's year range.
+
+    Same result as `sparse_topk`, from the papers' weight maps instead of a postings table: better
+    for queries with frequent tokens, whose (query, paper) sums would all be shuffled there.
+    """
+    return _scan_topk(vectors, queries, k, _SparseBlock)
+
+
+def _scan_topk(vectors: DataFrame, queries: DataFrame, k: int, kind: type[_QueryBlock]) -> DataFrame:
+    """Top-k of a scan: the papers are scored where they lie and every task keeps its own top-k.
+
+    Neither papers nor scores are shuffled, only k rows per query and task. Up to QUERY_ROWS queries
+    travel with the scoring function; a larger set meets the papers in blocks on the executors.
+    """
+    column = kind.column
+    papers = vectors.select("arxiv_id", F.col("publication_year").cast("int").alias("year"), column).where(
+        F.col("year").isNotNull() & (F.size(column) > 0)
     )
-    sample = asked.limit(1).collect()
-    if not sample:
+    asked = with_years(queries.where(F.size(column) > 0)).select("query_id", column, "start_year", "end_year")
+    rows = asked.limit(QUERY_ROWS + 1).collect()
+    if not rows:
         return papers.sparkSession.createDataFrame([], _HITS + ", rank int")
-    per_block = max(1, QUERY_BYTES // (8 * len(sample[0]["dense_vector"])))
-    rows = asked.limit(per_block + 1).collect()
-    if len(rows) > per_block:
-        return top_k(_scored_in_blocks(papers, asked, k, per_block), ["query_id"], best_first(), k)
+    if len(rows) > QUERY_ROWS:
+        return top_k(_scored_in_blocks(papers, asked, k, kind), ["query_id"], best_first(), k)
 
-    block = _QueryBlock(pd.DataFrame([r.asDict() for r in rows]), k)
+    block = kind(pd.DataFrame([r.asDict() for r in rows]), k)
     span = papers.where(F.col("year").between(int(block.start.min()), int(block.end.max())))
     return top_k(span.mapInArrow(block.scan, _HITS), ["query_id"], best_first(), k)
 
 
-def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, per_block: int) -> DataFrame:
+def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, kind: type[_QueryBlock]) -> DataFrame:
     """Same scores for a query set of any size: blocks of queries meet shards of papers in tasks."""
-    blocks = -(-queries.count() // per_block) * 2  # hashing fills blocks unevenly
+    column = kind.column
+    blocks = -(-queries.count() // QUERY_ROWS) * 2  # hashing fills blocks unevenly
     shards = int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = pa.list_(pa.float32()) if column == "dense_vector" else pa.map_(pa.int64(), pa.float32())
 
     def score(papers: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if papers.empty or queries.empty:
             return no_rows(_HITS)
-        found = _QueryBlock(queries, k).best(
-            papers["arxiv_id"].to_numpy(),
-            papers["year"].to_numpy(),
-            np.array(papers["dense_vector"].tolist(), dtype=np.float64),
+        cells = [list(c.items()) if isinstance(c, dict) else c for c in papers[column]]
+        found = kind(queries, k).best(
+            papers["arxiv_id"].to_numpy(), papers["year"].to_numpy(), pa.array(cells, stored)
         )
         return pd.concat(found)[["query_id", "arxiv_id", "year", "score"]]
 
@@ -253,20 +327,25 @@ def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, limit: int) -> D
 
 def hybrid_search(
     vectors: DataFrame,
-    postings: DataFrame,
     queries: DataFrame,
     limit: int = 1000,
     norm: str = "bounded",
     drop_ratio: float = 0.0,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Dense and sparse search with over-fetch, then fusion.
 
-    queries: query_id, dense_vector, sparse_vector, alpha, optionally a year range. alpha = 1 is dense
-    only, 0 sparse only: a side that weighs nothing adds no hits of its own above the other's.
+    vectors: arxiv_id, publication_year, dense_vector, sparse_vector; queries: query_id,
+    dense_vector, sparse_vector, alpha, optionally a year range. alpha = 1 is dense only, 0 sparse
+    only. Given a postings table, the sparse side looks the query tokens up there instead of scanning.
     """
     pool = candidate_limit(limit)
     dense = dense_topk(vectors, queries, pool)
-    sparse = sparse_topk(postings, query_tokens(queries, drop_ratio), pool)
+    if postings is None:
+        trimmed = queries.withColumn("sparse_vector", drop_smallest(F.col("sparse_vector"), drop_ratio))
+        sparse = sparse_scan_topk(vectors, trimmed, pool)
+    else:
+        sparse = sparse_topk(postings, query_tokens(queries, drop_ratio), pool)
     return fuse(dense, sparse, queries, limit, norm)
 
 

@@ -95,9 +95,5 @@ def sample_listing(sample: DataFrame) -> DataFrame:
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (fewer only if there are fewer), the same ones on every run."""
-    return (
-        df.withColumn("_shuffle", uniform(F.col(key), f"sample-{seed}"))
-        .orderBy("_shuffle", key)
-        .limit(n)
-        .drop("_shuffle")
-    )
+    shuffled = df.withColumns({"_all": F.lit(0), "_shuffle": uniform(F.col(key), f"sample-{seed}")})
+    return top_k(shuffled, ["_all"], [F.col("_shuffle"), F.col(key)], n, rank="_rank").drop("_all", "_shuffle", "_rank")

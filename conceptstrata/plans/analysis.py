@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from conceptstrata.operators import eras as era_ops
 from conceptstrata.operators import kmeans, pivotal, silhouette
 from conceptstrata.operators.distances import BLOCK_ROWS
-from conceptstrata.operators.encode import postings as to_postings
 from conceptstrata.operators.labels import cluster_labels
 from conceptstrata.operators.ranking import broadcast_checked
 from conceptstrata.operators.retrieve import attach_metadata, hybrid_search
@@ -54,10 +53,8 @@ def analyze(
     n_clusters (null or < 2 chooses by silhouette). vectors: arxiv_id, publication_year,
     dense_vector, sparse_vector. Queries without hits simply have no rows.
     """
-    if postings is None:
-        postings = to_postings(vectors, 0.0, "publication_year")
     # Intermediate results have at most `limit` rows per query and are used several times.
-    hits = cut_lineage(hybrid_search(vectors, postings, queries, limit, norm), "hits")
+    hits = cut_lineage(hybrid_search(vectors, queries, limit, norm, postings=postings), "hits")
     results = attach_metadata(hits, papers)
 
     # The vectors of the hits are read once and serve clustering, silhouette and labels.

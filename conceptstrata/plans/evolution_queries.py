@@ -46,7 +46,7 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = drift.centroids(points, ["cluster"], "vector").select(
         F.lit(0).alias("query_id"), F.lit(10).alias("k"), F.lit(0).alias("restart"), "cluster", F.col("centroid").alias("centre")
     )
-    totals = kmeans.lloyd_totals(points, kmeans._as_models(start.toPandas()))  # ten centres
+    totals = kmeans.lloyd_totals(points, kmeans.models_of(start.toPandas()))  # ten centres
     inertia = totals.agg(F.sum("inertia").alias("inertia"))
     return totals.where(F.col("n") > 0).select(
         "cluster", "n", F.posexplode("vector_sum").alias("dim", "total"), F.round(inertia.scalar(), 6).alias("inertia")
@@ -76,7 +76,7 @@ def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as one set, every k from 2 to 8, fitted over the whole cluster."""
     points = _points(spark, sf_dir)
-    return kmeans.fit_distributed(points, range(2, 9)).groupBy("k", "cluster").agg(
+    return kmeans.fit_distributed(points, {0: list(range(2, 9))}).groupBy("k", "cluster").agg(
         F.count("*").alias("n"), F.round(F.first("inertia"), 6).alias("inertia")
     )
 
@@ -293,9 +293,9 @@ def pivotal_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {_SALES}, {era_sql(5)},
 ranked AS (SELECT e.k, era_no, arxiv_id, row_number() OVER (PARTITION BY e.k, era_no ORDER BY score DESC, arxiv_id) AS r
   FROM eras e JOIN sales s ON s.k = e.k AND s.t BETWEEN e.a AND e.b)
-SELECT k AS cluster_label, count(DISTINCT era_no) AS n_eras, count(*) AS n_papers,
-  string_agg(arxiv_id, ',' ORDER BY era_no, r) AS papers
-FROM ranked WHERE r <= 3 GROUP BY k
+SELECT e.k AS cluster_label, count(DISTINCT e.era_no) AS n_eras, count(arxiv_id) AS n_papers,
+  string_agg(arxiv_id, ',' ORDER BY e.era_no, r) AS papers
+FROM eras e LEFT JOIN ranked ON ranked.k = e.k AND ranked.era_no = e.era_no AND r <= 3 GROUP BY e.k
 """)
 def nested_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested table, read back: number of eras and papers, and the papers in their order."""

@@ -101,7 +101,7 @@ def systematic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     adapters.records(spark, sf_dir).repartitionByRange(4, F.col("id").cast("bigint")).sortWithinPartitions(
         F.col("id").cast("bigint")
     ).write.json(path)
-    return json_lines.systematic(json_lines.numbered_records(spark, path), limit=100_000).select("id", "line_no")
+    return json_lines.sampled_records(spark, path, limit=100_000).select("id", "line_no")
 
 
 @query("hash_ids", f"""

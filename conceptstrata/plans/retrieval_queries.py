@@ -11,6 +11,7 @@ from conceptstrata.operators import drift, encode, evaluate, retrieve
 from conceptstrata.plans import adapters
 from conceptstrata.plans.adapters import DIMS
 from conceptstrata.plans.registry import ENCODED, HASH, PAPERS, VECTORS, WORDS, hashed, query
+from conceptstrata.session import cut_lineage
 
 # Encoding ------------------------------------------------------------------------------------
 
@@ -214,8 +215,8 @@ sparse_s AS (SELECT query_id, arxiv_id, 0.5 + atan(score) / pi() AS ss FROM spar
 
 
 def _search(spark: SparkSession, sf_dir: str, alpha: float, norm: str = "bounded", limit: int = _LIMIT) -> DataFrame:
-    vectors, postings, asked = _text_inputs(spark, sf_dir)
-    return retrieve.hybrid_search(vectors, postings, asked.withColumn("alpha", F.lit(alpha)), limit, norm)
+    vectors, _, asked = _text_inputs(spark, sf_dir)
+    return retrieve.hybrid_search(vectors, asked.withColumn("alpha", F.lit(alpha)), limit, norm)
 
 
 def _text_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -229,6 +230,12 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieve.sparse_topk(postings, retrieve.query_tokens(asked), _LIMIT))
 
 
+@query("sparse_scan_topk", f"WITH {_lists(_LIMIT)} SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM sparse")
+def sparse_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, _, asked = _text_inputs(spark, sf_dir)
+    return _rounded(retrieve.sparse_scan_topk(vectors, asked, _LIMIT))
+
+
 @query("dense_text_topk", f"WITH {_lists(_LIMIT)} SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM dense")
 def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, _, asked = _text_inputs(spark, sf_dir)
@@ -279,9 +286,9 @@ SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM (
 WHERE rank <= {_LIMIT}
 """)
 def reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, postings, asked = _text_inputs(spark, sf_dir)
+    vectors, _, asked = _text_inputs(spark, sf_dir)
     dense = retrieve.dense_topk(vectors, asked, 500)
-    sparse = retrieve.sparse_topk(postings, retrieve.query_tokens(asked), 500)
+    sparse = retrieve.sparse_scan_topk(vectors, asked, 500)
     return _rounded(retrieve.reciprocal_rank_fusion(dense, sparse, _LIMIT))
 
 
@@ -294,8 +301,8 @@ FROM targets t LEFT JOIN (SELECT * FROM fused WHERE rank <= {_LIMIT}) f USING (q
 """)
 def known_item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank in the hybrid list of the paper that shares most words with the query."""
-    vectors, postings, asked = _text_inputs(spark, sf_dir)
-    targets = retrieve.sparse_topk(postings, retrieve.query_tokens(asked), 1).select("query_id", "arxiv_id")
+    vectors, _, asked = _text_inputs(spark, sf_dir)
+    targets = retrieve.sparse_scan_topk(vectors, asked, 1).select("query_id", "arxiv_id")
     ranked = retrieve.known_item_rank(_search(spark, sf_dir, 0.5), targets)
     return ranked.select(
         "query_id",
@@ -311,10 +318,10 @@ def known_item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _methods(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     """The three result lists of every query; both searches run once."""
-    vectors, postings, asked = _text_inputs(spark, sf_dir)
+    vectors, _, asked = _text_inputs(spark, sf_dir)
     pool = retrieve.candidate_limit(limit)
-    dense = retrieve.dense_topk(vectors, asked, pool).persist()
-    sparse = retrieve.sparse_topk(postings, retrieve.query_tokens(asked), pool).persist()
+    dense = cut_lineage(retrieve.dense_topk(vectors, asked, pool), "dense")
+    sparse = cut_lineage(retrieve.sparse_scan_topk(vectors, asked, pool), "sparse")
     lists = None
     for method, alpha in (("dense", 1.0), ("sparse", 0.0), ("hybrid", 0.5)):
         hits = retrieve.fuse(dense, sparse, asked.select("query_id").withColumn("alpha", F.lit(alpha)), limit)

@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conceptstrata.operators.ranking import broadcast_checked
 from conceptstrata.schemas import SOURCE_RECORD
 
 CORRUPT = "_corrupt_record"
+# Bound for broadcasting the table of file splits (a path and three numbers per row)
+SPLITS = 500_000
 WITH_CORRUPT = T.StructType([*SOURCE_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
 
 
@@ -30,7 +33,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Rows of one file split are consecutive within a task, so a position is the offset inside the
     split plus the number of lines in earlier splits. Only the split table (one row per file split)
-    goes through the running sum.
+    goes through the running sum; the lines are read twice and not shuffled.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -41,20 +44,24 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_lines"))
     before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
-    return lines.join(offsets, ["_file", "_block"]).select(
+    return lines.join(broadcast_checked(offsets, SPLITS), ["_file", "_block"]).select(
         (F.col("_mid") - F.col("_first") + F.col("_offset")).alias("line_no"), "value"
     )
 
 
-def numbered_records(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed records with `line_no`; the later line wins where an id occurs twice."""
+def parse_lines(numbered: DataFrame) -> DataFrame:
+    """Records of numbered lines, with `line_no`; the later line wins where an id occurs twice."""
     parsed = F.from_json("value", SOURCE_RECORD)
-    return (
-        numbered_lines(spark, path)
-        .select("line_no", parsed.alias("r"))
-        .where(F.col("r.id").isNotNull())
-        .select("r.*", "line_no")
-    )
+    return numbered.select("line_no", parsed.alias("r")).where(F.col("r.id").isNotNull()).select("r.*", "line_no")
+
+
+def numbered_records(spark: SparkSession, path: str) -> DataFrame:
+    return parse_lines(numbered_lines(spark, path))
+
+
+def sampled_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """Every n-th line up to `limit`; only the lines kept are parsed."""
+    return parse_lines(systematic(numbered_lines(spark, path), limit))
 
 
 # Line count the sampling step is derived from (fixed value)
@@ -83,6 +90,6 @@ def numbered_rows(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    return rows.join(offsets, "_file").withColumn("line_no", F.col("_row") + F.col("_offset")).drop(
+    return rows.join(broadcast_checked(offsets, SPLITS), "_file").withColumn("line_no", F.col("_row") + F.col("_offset")).drop(
         "_file", "_row", "_offset"
     )

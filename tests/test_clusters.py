@@ -73,7 +73,7 @@ def test_both_fits_recover_groups(spark):
     inertia = {}
     for name, fitted in (
         ("grouped", kmeans.fit_bounded(points, silhouette.k_candidates(sets))),
-        ("distributed", kmeans.fit_distributed(points, [4], restarts=10)),
+        ("distributed", kmeans.fit_distributed(points, {1: [4]}, restarts=10)),
     ):
         got = {r.point_id: (r.cluster, r.inertia) for r in fitted.collect()}
         assert same_partition([got[r[1]][0] for r in rows], truth), name
@@ -84,13 +84,14 @@ def test_both_fits_recover_groups(spark):
 def test_large_sets_take_the_distributed_way(spark, monkeypatch):
     _, rows = blobs([[0, 0], [6, 0]], 40)
     _, more = blobs([[0, 0], [6, 0], [0, 6]], 4, query_id=2)
-    points = spark.createDataFrame(rows + more, POINTS)
-    sets = spark.createDataFrame([(1, 2), (2, 3)], "query_id bigint, n_clusters int")
+    _, third = blobs([[0, 0], [6, 0], [0, 6]], 30, query_id=3)
+    points = spark.createDataFrame(rows + more + third, POINTS)
+    sets = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "query_id bigint, n_clusters int")
     monkeypatch.setattr(kmeans, "GROUPED_ROWS", 50)
     fitted = kmeans.fit(points, silhouette.k_candidates(sets)).collect()
-    assert len(fitted) == 92
-    assert {r.query_id for r in fitted if r.silhouette is None} == {1}
-    for query_id, size in ((1, 40), (2, 4)):
+    assert len(fitted) == 182
+    assert {r.query_id for r in fitted if r.silhouette is None} == {1, 3}
+    for query_id, size in ((1, 40), (2, 4), (3, 30)):
         codes = [r.cluster for r in sorted(fitted, key=lambda r: r.point_id) if r.query_id == query_id]
         assert same_partition(codes, [i // size for i in range(len(codes))])
 

@@ -36,7 +36,7 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch, k, block):
     asked.append((6, rows[0][2], 1980, 2025))
     queries = spark.createDataFrame(asked, "query_id bigint, dense_vector array<float>, start_year int, end_year int")
     if block:
-        monkeypatch.setattr(retrieve, "QUERY_BYTES", 8 * 8 * 2)
+        monkeypatch.setattr(retrieve, "QUERY_ROWS", 2)
     got = retrieve.dense_topk(papers, queries, k).collect()
     for query_id, vector, first, last in asked:
         mine = [r.arxiv_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == query_id]
@@ -125,6 +125,33 @@ def test_sparse_topk_by_hand(spark):
     assert [(r.arxiv_id, r.score) for r in hits] == [("c", 1.5), ("a", 1.25)]
 
 
+@pytest.mark.parametrize("block", [False, True])
+@pytest.mark.parametrize("cells", [8 << 20, 40])
+def test_sparse_scan_equals_postings(spark, monkeypatch, block, cells):
+    rng = np.random.default_rng(2)
+
+    def weights():
+        tokens = rng.choice(40, size=rng.integers(0, 12), replace=False)
+        return {int(t): float(w) for t, w in zip(tokens, rng.random(len(tokens)) + 0.1)}
+
+    papers = [(f"d{i:03d}", 1990 + i % 30, weights() if i > 70 else {1: 0.5, 2: 1.0}) for i in range(210)]
+    vectors = spark.createDataFrame(
+        papers, "arxiv_id string, publication_year int, sparse_vector map<bigint,float>"
+    ).repartition(4)
+    asked = spark.createDataFrame(
+        [(q, weights(), 1990, 2000 + q) for q in range(6)] + [(9, {}, 1990, 2000), (8, {77: 1.0}, 1990, 2000)],
+        "query_id bigint, sparse_vector map<bigint,float>, start_year int, end_year int",
+    )
+    monkeypatch.setattr(retrieve, "MATRIX_CELLS", cells)
+    if block:
+        monkeypatch.setattr(retrieve, "QUERY_ROWS", 2)
+    scan = retrieve.sparse_scan_topk(vectors, asked, 100).collect()
+    postings = encode.postings(vectors, 0.0, "publication_year")
+    lookup = retrieve.sparse_topk(postings, retrieve.query_tokens(asked), 100).collect()
+    key = lambda r: (r.query_id, r["rank"], r.arxiv_id, r.year, round(r.score, 9))
+    assert sorted(map(key, scan)) == sorted(map(key, lookup)) and len(scan) > 50
+
+
 def test_jaccard_edges(spark):
     rows = [(1, "x", "a"), (1, "y", "b"), (2, "x", "a"), (2, "y", "a")]
     hits = spark.createDataFrame(rows, "query_id bigint, method string, arxiv_id string")
