@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptstrata.operators.distances import BLOCK_ROWS, mean_silhouette, no_rows
+from conceptstrata.operators.distances import INLINE_ROWS, mean_silhouette, no_rows
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 from conceptstrata.session import task_count
 
@@ -97,7 +97,7 @@ def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.D
             "point_id": rows["point_id"].to_numpy(),
             "cluster": nearest[:, best],
             "inertia": inertia[best],
-            "silhouette": mean_silhouette(points, nearest[:, best]) if len(points) <= BLOCK_ROWS else None,
+            "silhouette": mean_silhouette(points, nearest[:, best]) if len(points) <= INLINE_ROWS else None,
         }
     )
 
@@ -107,7 +107,7 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
 
     points: query_id, point_id, vector, with at most GROUPED_ROWS rows per query_id; candidates:
     query_id, k, automatic. Every (concept, k) is a group of its own, so all of them are fitted side
-    by side. Sets of up to BLOCK_ROWS rows get their mean silhouette on the spot, others null.
+    by side. Sets of up to INLINE_ROWS rows get their mean silhouette on the spot, others null.
     """
     return (
         points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector")

@@ -37,18 +37,17 @@ def time_buckets(papers: DataFrame, buckets: int) -> DataFrame:
     Undated rows and rows without category drop out.
     """
     share = broadcast_checked(category_share(papers).where(F.col("primary_category").isNotNull()))
-    bounds = date_range(papers)
+    bounds = date_range(papers).select(F.struct("min_date", "max_date")).scalar()  # one pass for both
 
     def epoch(date: Column) -> Column:
         return F.unix_date(date) * F.lit(86400)
 
-    first, last = bounds.select("min_date").scalar(), bounds.select("max_date").scalar()
     return (
         papers.where(F.col("published_date").isNotNull())
         .join(share, "primary_category")
         .withColumn(
             "bucket_id",
-            F.width_bucket(epoch(F.col("published_date")), epoch(first), epoch(last), F.lit(buckets)).cast("int"),
+            F.width_bucket(epoch(F.col("published_date")), epoch(bounds["min_date"]), epoch(bounds["max_date"]), F.lit(buckets)).cast("int"),
         )
     )
 

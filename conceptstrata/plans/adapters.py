@@ -22,7 +22,7 @@ def paper_date(key: Column) -> Column:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as papers: the first line is the title, the whole text the abstract."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("arxiv_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"),
@@ -37,7 +37,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source records, with every kind of damage the cleaner has to handle."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     key, date = F.col("doc_id"), paper_date(F.col("doc_id"))
     stamp = F.concat(F.date_format(date, "EEE, d MMM yyyy"), F.lit(" 19:18:42 GMT"))
     v1 = F.struct(F.lit("v1").alias("version"), F.when(key % 7 == 3, "not a date").otherwise(stamp).alias("created"))
@@ -79,7 +79,7 @@ def stored_vectors(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFr
 
 def encoded_papers(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
     """documents as papers with built-in dense and sparse vectors."""
-    return hash_encode_papers(spread(papers(spark, sf_dir)), dims).withColumn("publication_year", F.year("published_date"))
+    return hash_encode_papers(papers(spark, sf_dir), dims).withColumn("publication_year", F.year("published_date"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str, dims: int = DIMS, alpha: float | None = 0.5) -> DataFrame:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conceptstrata.functions.keys import hash60
 from conceptstrata.operators import eras as era_ops
 from conceptstrata.operators import kmeans, pivotal, silhouette
-from conceptstrata.operators.distances import BLOCK_ROWS
+from conceptstrata.operators.distances import INLINE_ROWS
 from conceptstrata.operators.labels import cluster_labels
 from conceptstrata.operators.ranking import broadcast_checked
-from conceptstrata.operators.retrieve import attach_metadata, hybrid_search
+from conceptstrata.operators.retrieve import attach_metadata, dense_topk, hybrid_search
 from conceptstrata.session import cut_lineage
 
 
@@ -58,10 +59,7 @@ def analyze(
     results = attach_metadata(hits, papers)
 
     # The vectors of the hits are read once and serve clustering, silhouette and labels.
-    members = cut_lineage(
-        vectors.select("arxiv_id", "dense_vector", "sparse_vector").join(broadcast_checked(hits), "arxiv_id"),
-        "members",
-    )
+    members = cut_lineage(member_vectors(hits, vectors), "members")
     clusters = cut_lineage(cluster_concepts(members, queries, limit, max_k), "clusters")
     labels = cut_lineage(name_concepts(members, clusters, vocabulary), "labels")
     placed = clusters.join(labels.withColumnRenamed("label", "cluster_label"), ["query_id", "cluster"], "left")
@@ -82,6 +80,32 @@ def analyze(
     )
 
 
+def member_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Hits with their vectors. The year takes part in the join, so only the years hit are read."""
+    wanted = broadcast_checked(hits.withColumnRenamed("year", "publication_year"))
+    return vectors.select("arxiv_id", "publication_year", "dense_vector", "sparse_vector").join(
+        wanted, ["arxiv_id", "publication_year"]
+    )
+
+
+def search_in_eras(vectors: DataFrame, queries: DataFrame, eras: DataFrame, limit: int) -> DataFrame:
+    """A search of its own inside every era of a query: its best papers of the corpus at that time.
+
+    eras: query_id, start, end and further columns, which are kept.
+    """
+    windows = eras.withColumn("_window", hash60(F.concat_ws(":", *eras.columns)))
+    asked = windows.join(queries.drop("start_year", "end_year"), "query_id").select(
+        F.col("_window").alias("query_id"),
+        *[c for c in ("dense_vector", "sparse_vector", "alpha") if c in queries.columns],
+        F.col("start").alias("start_year"),
+        F.col("end").alias("end_year"),
+    )
+    found = (
+        hybrid_search(vectors, asked, limit) if "sparse_vector" in asked.columns else dense_topk(vectors, asked, limit)
+    )
+    return found.withColumnRenamed("query_id", "_window").join(broadcast_checked(windows), "_window").drop("_window")
+
+
 def cluster_concepts(
     members: DataFrame, queries: DataFrame, row_limit: int | None = None, max_k: int = silhouette.MAX_K
 ) -> DataFrame:
@@ -107,7 +131,7 @@ def cluster_concepts(
 def choose_k(points: DataFrame, fitted: DataFrame, row_limit: int | None = None) -> DataFrame:
     """One k per query: the one with the best silhouette, or the only one fitted."""
     per_k = fitted.groupBy("query_id", "k").agg(F.first("silhouette").alias("silhouette"))
-    if row_limit is None or row_limit > BLOCK_ROWS:
+    if row_limit is None or row_limit > INLINE_ROWS:
         several = per_k.groupBy("query_id").agg(F.count("*").alias("ks")).where(F.col("ks") > 1)
         unscored = fitted.where(F.col("silhouette").isNull()).join(several, "query_id", "left_semi")
         per_k = per_k.unionByName(scored(points, unscored, row_limit).select("query_id", "k", "silhouette"))

@@ -9,7 +9,7 @@ from conceptstrata.functions.text import words
 from conceptstrata.operators import drift, encode, eras, evaluate, kmeans, labels, pivotal, retrieve, silhouette
 from conceptstrata.plans import adapters, analysis
 from conceptstrata.plans.registry import ENCODED, VECTORS, query
-from conceptstrata.session import cut_lineage
+from conceptstrata.session import cut_lineage, spread
 
 # Clusters ------------------------------------------------------------------------------------
 
@@ -164,7 +164,7 @@ counts AS (SELECT k, t, count(*) AS n FROM sales GROUP BY ALL)"""
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts = (adapters.table(spark, sf_dir, name) for name in ("lineitem", "part"))
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    return spread(lines).join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("cluster_label"),
         (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("arxiv_id"),
@@ -459,6 +459,29 @@ def top_per_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "slice", "arxiv_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("search_in_eras", f"""
+WITH {_QUERY_COSINES},
+decades AS (SELECT query_id, unnest([1990, 2000, 2010, 2020]) AS "start" FROM (SELECT DISTINCT query_id FROM centre))
+SELECT query_id::BIGINT AS query_id, CAST("start" AS INTEGER) AS "start", rank, arxiv_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, "start" ORDER BY score DESC, arxiv_id) AS rank
+  FROM cosines JOIN decades USING (query_id) WHERE year BETWEEN "start" AND "start" + 9)
+WHERE rank <= 5
+""")
+def search_in_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of every label searched within every decade."""
+    vectors = adapters.vectors(spark, sf_dir)
+    asked = drift.centroids(vectors, ["cluster"]).select(
+        F.col("cluster").cast("bigint").alias("query_id"), F.col("centroid").alias("dense_vector")
+    )
+    decades = asked.select(
+        "query_id", F.explode(F.array(*[F.lit(y) for y in (1990, 2000, 2010, 2020)])).alias("start")
+    ).withColumn("end", F.col("start") + 9)
+    hits = analysis.search_in_eras(vectors, asked, decades, 5)
+    return hits.select(
+        "query_id", "start", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", F.round("score", 6).alias("score")
+    )
+
+
 @query("centroid_trajectory")
 def centroid_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.trajectory(drift.centroids(_slices(spark, sf_dir), ["query_id", "slice"]))

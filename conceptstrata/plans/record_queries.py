@@ -60,6 +60,11 @@ def ingest_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clean_view(records.clean_records(json_lines.read_records(spark, path)))
 
 
+@query("json_row_count", "SELECT count(*) AS n FROM documents")
+def json_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_lines.read_records(spark, _written_records(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
 @query("strict_records", f"""
 WITH {PAPERS}
 SELECT arxiv_id, md5(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) AS abstract_md5, published_date
@@ -155,6 +160,19 @@ def pending_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return together.agg(F.count("*").alias("n"), F.countDistinct("arxiv_id").alias("n_distinct"))
 
 
+@query("pending_count", """
+SELECT count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def pending_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers still to encode once the labelled ones are embedded."""
+    done = adapters.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("embedded").alias("status")
+    )
+    papers = adapters.papers(spark, sf_dir).select("arxiv_id", "processed_status").join(done, "arxiv_id", "left")
+    current = papers.withColumn("processed_status", F.coalesce("status", "processed_status"))
+    return records.pending(current).agg(F.count("*").alias("n"))
+
+
 @query("latest_by_key", """
 SELECT user_id, event_id, event_type, round(value, 6) AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
