@@ -66,11 +66,14 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table with few files over the cores; a table with many files stays as it lies."""
-    spark = df.sparkSession
-    few = len(df.inputFiles()) < spark.sparkContext.defaultParallelism
-    return df.repartition(task_count(spark)) if few else df
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a table read in fewer splits than there are cores; larger tables stay as they lie.
+
+    For a plain table scan: looking at its splits runs no job.
+    """
+    spark = table.sparkSession
+    few = table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    return table.repartition(task_count(spark)) if few else table
 
 
 def ship_package(spark: SparkSession) -> None:
