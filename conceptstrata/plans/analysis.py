@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptstrata.functions.keys import hash60
 from conceptstrata.operators import eras as era_ops
 from conceptstrata.operators import kmeans, pivotal, silhouette
 from conceptstrata.operators.distances import INLINE_ROWS
+from conceptstrata.operators.encode import hash_encode
 from conceptstrata.operators.labels import cluster_labels
 from conceptstrata.operators.ranking import broadcast_checked
-from conceptstrata.operators.retrieve import attach_metadata, dense_topk, hybrid_search
+from conceptstrata.operators.retrieve import FIRST_YEAR, LAST_YEAR, attach_metadata, dense_topk, hybrid_search
+from conceptstrata.schemas import QUERIES
 from conceptstrata.session import cut_lineage
 
 
@@ -36,6 +39,20 @@ class ConceptAnalysis:
         return pivotal.evolution(self.concept_clusters, pivotal.KEYS)
 
 
+def text_queries(
+    spark: SparkSession,
+    texts: list[str],
+    alpha: float = 0.5,
+    start_year: int = FIRST_YEAR,
+    end_year: int = LAST_YEAR,
+    n_clusters: int | None = None,
+    encode: Callable[[DataFrame], DataFrame] = lambda asked: hash_encode(asked, F.col("text")),
+) -> DataFrame:
+    """Queries from typed concept texts, numbered from 1, encoded like the papers."""
+    rows = [(i, text, alpha, start_year, end_year, n_clusters) for i, text in enumerate(texts, 1)]
+    return encode(spark.createDataFrame(rows, QUERIES))
+
+
 def analyze(
     queries: DataFrame,
     vectors: DataFrame,

@@ -12,7 +12,7 @@ from conceptstrata.functions.keys import md5_shard
 from conceptstrata.operators import encode, records, sampling
 from conceptstrata.operators.ranking import latest_by_key
 from conceptstrata.plans import adapters
-from conceptstrata.plans.registry import DATE, HASH, PAPERS, VECTORS, WORDS, query
+from conceptstrata.plans.registry import HASH, PAPERS, VECTORS, WORDS, query
 from conceptstrata.session import new_path
 from conceptstrata.sources import csv_files, json_lines, tables
 from conceptstrata.streaming import feeds

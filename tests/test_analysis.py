@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conceptstrata.operators import encode
-from conceptstrata.plans.analysis import analyze
+from conceptstrata.plans.analysis import analyze, text_queries
+from conceptstrata.sources.database import shard_predicates
 
 SEA, LIGHT = "wave ocean tide sea shore", "wave photon quantum laser beam"
 
@@ -85,3 +86,16 @@ def test_nested_and_evolution(result):
 def test_sparse_only_query_scores_only_papers_with_its_words(result):
     hits = result.search_results.where("query_id = 4").collect()
     assert [r.arxiv_id for r in hits if r.score > 0] == ["other"]
+
+
+def test_queries_from_texts(spark):
+    rows = text_queries(spark, ["Token", "Entropy"], alpha=0.75, n_clusters=3).orderBy("query_id").collect()
+    assert [(r.query_id, r.text, r.alpha, r.start_year, r.end_year, r.n_clusters) for r in rows] == [
+        (1, "Token", 0.75, 1980, 2025, 3),
+        (2, "Entropy", 0.75, 1980, 2025, 3),
+    ]
+    assert [len(r.dense_vector) for r in rows] == [768, 768] and [len(r.sparse_vector) for r in rows] == [1, 1]
+
+
+def test_database_shards():
+    assert shard_predicates("id", 2) == ["ABS(hashtext(id)) % 2 = 0", "ABS(hashtext(id)) % 2 = 1"]

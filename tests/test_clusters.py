@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conceptstrata.operators import kmeans, labels, silhouette
+from conceptstrata.operators import drift, kmeans, labels, silhouette
 from conceptstrata.operators.distances import mean_silhouette
 from conceptstrata.plans import analysis
 
@@ -159,3 +159,44 @@ def test_label_keeps_order_and_drops_pieces_after_the_cut(spark):
     stop = spark.createDataFrame([(1, "graphs")], "query_id bigint, token string")
     got = {r.cluster: r.label for r in labels.cluster_labels(weights, vocabulary, stop=stop).collect()}
     assert got == {0: "node, edge, path, cut", 1: ""}
+
+
+def test_coarse_to_fine(spark):
+    _, rows = blobs([[0, 0, 0], [4, 0, 0], [40, 0, 0], [44, 0, 0]], 15)
+    points = spark.createDataFrame(rows, POINTS).select("point_id", "vector")
+    got = {r.point_id: (r.cell, r.cluster) for r in kmeans.coarse_to_fine(points, 2, 2, dims=1).collect()}
+    assert same_partition([got[r[1]] for r in rows], [i // 15 for i in range(60)])
+    assert len({cell for cell, _ in got.values()}) == 2
+
+
+def test_distributed_fit_is_a_fixed_point(spark):
+    data, rows = blobs([[0, 0], [1, 0], [0, 1]], 60, seed=9)
+    points = spark.createDataFrame(rows, POINTS).repartition(6)
+    fitted = {r.point_id: (r.cluster, r.inertia) for r in kmeans.fit_distributed(points, {1: [3]}).collect()}
+    codes = np.array([fitted[r[1]][0] for r in rows])
+    stored = np.array([r[2] for r in rows], dtype=np.float32).astype(float)
+    centres = np.array([stored[codes == c].mean(axis=0) for c in range(3)])
+    squared = ((stored[:, None] - centres) ** 2).sum(axis=2)
+    assert (squared.argmin(axis=1) == codes).mean() > 0.97
+    assert squared[np.arange(len(codes)), codes].sum() == pytest.approx(fitted[rows[0][1]][1], rel=0.02)
+
+
+def test_trajectory_of_a_straight_line(spark):
+    centres = spark.createDataFrame(
+        [(1, 1990 + 10 * i, [float(i), 2.0 * i, 0.0], 5) for i in range(4)],
+        "query_id bigint, slice int, centroid array<double>, n bigint",
+    )
+    rows = drift.trajectory(centres).orderBy("slice").collect()
+    steps = np.diff([r.x for r in rows])
+    assert np.allclose(np.abs(steps), 5**0.5) and len(set(np.sign(steps))) == 1
+    assert np.allclose(np.diff([r.y for r in rows]), 0.0)
+
+
+def test_drift_and_spread(spark):
+    rows = [(1, 1990, [1.0, 0.0]), (1, 1990, [3.0, 0.0]), (1, 2000, [0.0, 1.0]), (1, 2010, [0.0, 5.0])]
+    points = spark.createDataFrame(rows, "query_id bigint, slice int, dense_vector array<double>")
+    centres = drift.centroids(points, ["query_id", "slice"])
+    moved = {r.slice: r.drift for r in drift.adjacent_drift(centres).collect()}
+    assert moved == {1990: None, 2000: pytest.approx(1.0), 2010: pytest.approx(0.0)}
+    spread = {r.slice: r.spread for r in drift.spread(points, centres, ["query_id", "slice"]).collect()}
+    assert spread == {1990: pytest.approx(1.0), 2000: 0.0, 2010: 0.0}
