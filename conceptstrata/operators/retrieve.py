@@ -15,12 +15,15 @@ from conceptstrata.functions.vectors import scaled_cosine, scaled_inner_product
 from conceptstrata.operators.distances import no_rows
 from conceptstrata.operators.encode import drop_smallest
 from conceptstrata.operators.ranking import broadcast_checked, top_k
+from conceptstrata.session import task_count
 
 FIRST_YEAR, LAST_YEAR = 1980, 2025
 MAX_CANDIDATES = 16384
 RRF_CONSTANT = 60
 # Queries sent along with the scoring function (12 MB at 768 dimensions); more are scored in blocks.
 QUERY_ROWS = 2_048
+# Papers one task holds when it meets a block of queries (about 100 MB at 768 dimensions)
+SHARD_ROWS = 20_000
 # Cells of the paper-by-token matrix of the sparse scan (64 MB)
 MATRIX_CELLS = 8 << 20
 
@@ -203,10 +206,13 @@ def _scan_topk(vectors: DataFrame, queries: DataFrame, k: int, kind: type[_Query
 
 
 def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, kind: type[_QueryBlock]) -> DataFrame:
-    """Same scores for a query set of any size: blocks of queries meet shards of papers in tasks."""
+    """Same scores for a query set of any size: blocks of queries meet shards of papers in tasks.
+
+    The number of shards follows the number of papers, so a task never holds more than a shard.
+    """
     column = kind.column
     blocks = -(-queries.count() // QUERY_ROWS) * 2  # hashing fills blocks unevenly
-    shards = int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(task_count(papers.sparkSession), -(-papers.count() // SHARD_ROWS))
     stored = pa.list_(pa.float32()) if column == "dense_vector" else pa.map_(pa.int64(), pa.float32())
 
     def score(papers: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

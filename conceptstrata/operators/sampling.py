@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conceptstrata.functions.keys import uniform
+from conceptstrata.functions.keys import HASH_SPACE, shuffle_key, uniform
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 
 
@@ -70,7 +70,7 @@ def stratified_sample(
         {
             "exact_target": F.lit(cell_target) * F.col("global_ratio"),
             "_pin": F.when(F.col("arxiv_id").isin(*pinned), 0).otherwise(1) if pinned else F.lit(1),
-            "_shuffle": uniform(F.col("arxiv_id"), f"order-{seed}"),
+            "_shuffle": shuffle_key(F.col("arxiv_id"), f"order-{seed}"),
         }
     )
     ranked = top_k(
@@ -93,6 +93,17 @@ def sample_listing(sample: DataFrame) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows (fewer only if there are fewer), the same ones on every run."""
-    shuffled = df.withColumns({"_all": F.lit(0), "_shuffle": uniform(F.col(key), f"sample-{seed}")})
+    """Exactly n rows (fewer only if there are fewer), the same ones on every run.
+
+    The n smallest shuffle keys are wanted, and keys are uniform: all rows above a bound that is met
+    by a little more than n rows are left out before the ranking. Should fewer than n rows meet it,
+    all rows are ranked.
+    """
+    shuffled = df.withColumns({"_all": F.lit(0), "_shuffle": shuffle_key(F.col(key), f"sample-{seed}")})
+    total = df.count()
+    if total > 10 * n:
+        share = (n + 6 * math.sqrt(n) + 10) / total
+        likely = shuffled.where(F.col("_shuffle") < f"{int(share * HASH_SPACE):015x}")
+        if likely.count() >= n:
+            shuffled = likely
     return top_k(shuffled, ["_all"], [F.col("_shuffle"), F.col(key)], n, rank="_rank").drop("_all", "_shuffle", "_rank")

@@ -232,6 +232,12 @@ def test_exact_sample(spark):
     a, b = (sampling.exact_sample(rows.repartition(n), 37, "id").collect() for n in (3, 11))
     assert sorted(a) == sorted(b) and len(a) == 37
 
+    def rank(i):
+        return hashlib.md5(f"sample-42:{i}".encode()).hexdigest()[:15]
+
+    assert {r.id for r in a} == set(sorted(range(1000), key=rank)[:37])
+    assert sampling.exact_sample(rows, 2000, "id").count() == 1000
+
 
 def test_ingest_feed_takes_new_files_once(spark, tmp_path):
     tables.create_papers(spark, "fed", str(tmp_path / "fed"), buckets=2)
