@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.llm import packing, simhash, token_files
+from conceptstrata.llm import decontaminate, html_text, imatch, language, packing, simhash, token_files
 from conceptstrata.llm.common import load
 from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
 from conceptstrata.session import new_path
 
 
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @query("op5_simhash_near_duplicates")
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -27,3 +37,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write(load(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.index(spark, path)
+
+
+@query("op9_document_fingerprints")
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(load(spark, sf_dir, "documents"))
+
+
+@query("op10_language_mixture")
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language.fit(docs.where(~held_out))
+    named = language.predict(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
