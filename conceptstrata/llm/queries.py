@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.llm import decontaminate, html_text, imatch, language, packing, simhash, token_files
+from conceptstrata.llm import decontaminate, html_text, imatch, language, line_runs, packing, pseudonyms, simhash, token_files
 from conceptstrata.llm.common import load
 from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
 from conceptstrata.session import new_path
 
+PSEUDONYM_KEY = "key of the registered query"  # a caller keeps a key of their own
+
 
 @query("op1_main_text")
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, key=PSEUDONYM_KEY)
+
+
 @query("op5_simhash_near_duplicates")
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -32,6 +40,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.deduplicate(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
