@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.llm import decontaminate, html_text, imatch, language, line_runs, packing, pseudonyms, simhash, token_files
+from conceptstrata.llm import decontaminate, html_text, imatch, language, line_runs, packing, passages, pseudonyms, simhash, token_files
 from conceptstrata.llm.common import load
 from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
@@ -19,6 +19,12 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = passages.removals(load(spark, sf_dir, "documents"))
+    return named.withColumnRenamed("class_key", "class_doc_id")
+
+
 @query("op3_benchmark_decontamination")
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
