@@ -24,7 +24,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(stored)] = path
         return stored
@@ -36,6 +36,17 @@ class Scratch:
                 remove_path(self.spark, path)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it is counted below the bound.
+
+    A million rows are some 30 MB on every executor. Above the bound Spark shuffles both sides.
+    """
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,6 +57,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches that are sorted by the keys: a group never straddles two tables."""
     held: list[pa.Table] = []

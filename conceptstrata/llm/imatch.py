@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conceptstrata.llm.common import Scratch
+from conceptstrata.llm.common import Scratch, let
 
 SLICES = 16
 LEVELS = 3
@@ -89,25 +89,35 @@ def neighbours(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 def fingerprint_terms(terms: Column) -> Column:
     """Per subset, the hash of its sorted distinct terms. `terms`: structs (level, term)."""
-    slots = F.transform(
-        F.array_sort(F.array_distinct(terms)),
-        lambda t: F.struct((t["level"] * F.lit(SLICES) + F.pmod(F.shiftright(t["term"], 40), F.lit(SLICES)).cast("int")).alias("slot"), t["term"].alias("term")),
+    slots = F.array_sort(
+        F.array_distinct(
+            F.transform(
+                terms,
+                lambda t: F.struct(
+                    (t["level"] * F.lit(SLICES) + F.pmod(F.shiftright(t["term"], 40), F.lit(SLICES)).cast("int")).alias("slot"), t["term"].alias("term")
+                ),
+            )
+        )
     )
-    used = F.array_sort(F.array_distinct(slots["slot"]))
 
-    def line(slot: Column) -> Column:
-        own = F.transform(F.filter(slots, lambda s: s["slot"] == slot), lambda s: F.hex(s["term"]))
-        where = F.concat_ws(".", F.floor(slot / SLICES).cast("string"), (slot % SLICES).cast("string"))
-        return F.concat(where, F.lit(":"), F.substring(F.md5(F.concat_ws(" ", own)), 1, 8))
+    def lines(sorted_slots: Column) -> Column:
+        def line(slot: Column) -> Column:
+            own = F.transform(F.filter(sorted_slots, lambda s: s["slot"] == slot), lambda s: F.hex(s["term"]))
+            where = F.concat_ws(".", F.floor(slot / SLICES).cast("string"), (slot % SLICES).cast("string"))
+            return F.concat(where, F.lit(":"), F.substring(F.md5(F.concat_ws(" ", own)), 1, 8))
 
-    return F.concat_ws(" ", F.transform(used, line))
+        return F.concat_ws(" ", F.transform(F.array_distinct(sorted_slots["slot"]), line))
+
+    return let(slots, lines)
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
     """Share of equal subsets among those of either fingerprint."""
-    lines = [F.filter(F.split(x, " "), lambda s: s != "") for x in (a, b)]
-    slots = [F.transform(x, lambda s: F.substring_index(s, ":", 1)) for x in lines]
-    share = F.try_divide(F.size(F.array_intersect(*lines)), F.size(F.array_union(*slots)))
+    def share_of(lines: Column) -> Column:
+        slots = [F.transform(lines[i], lambda s: F.substring_index(s, ":", 1)) for i in (0, 1)]
+        return F.try_divide(F.size(F.array_intersect(lines[0], lines[1])), F.size(F.array_union(*slots)))
+
+    share = let(F.array(*[F.filter(F.split(x, " "), lambda s: s != "") for x in (a, b)]), share_of)
     return F.when(equal, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
@@ -131,7 +141,6 @@ def fingerprints(
     pairs = neighbours(docs, key, text, buckets)
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    # A literal bound on the level keeps the expression small: no text is longer than 2^31 characters.
     made = pairs.select(
         "bucket",
         "at",
@@ -142,9 +151,11 @@ def fingerprints(
     ).select("bucket", "at", key, "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"))
 
     def chosen(column: str, kind: int) -> Column:
-        low = level_of(F.length(column))
-        terms = F.filter(term_hashes(F.col(column)), lambda t: on_level(t, low))
-        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), low.alias("low"), t.alias("term")))
+        def of_level(low: Column) -> Column:
+            terms = F.filter(term_hashes(F.col(column)), lambda t: on_level(t, low))
+            return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), low.alias("low"), t.alias("term")))
+
+        return let(level_of(F.length(column)), of_level)
 
     none = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("low"), F.lit(None).cast("long").alias("term")))
     rows = made.select(

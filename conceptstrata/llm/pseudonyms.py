@@ -12,11 +12,11 @@ A null text stays null; repeated rows have the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conceptstrata.llm.common import let
+
 ROUNDS = 8
 DIGIT, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -37,11 +37,6 @@ DAY_RADICES = (17, 4_297)
 AREAS, SERIALS = 898, 99 * 9_999  # social security: 001-899 without 666, group 01-99 and serial 0001-9999
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def characters(value: Column) -> Column:
     return F.when(F.length(value) > 0, F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))).otherwise(
         F.array().cast("array<string>")
