@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs by MinHash banding, and passages inside paragraphs by content-defined blocks.
 
 A paragraph is a line of at least `min_words` words. Its five-word shingles are min-hashed into BANDS bands of
-ROWS rows, which find a pair of similarity 0.8 with probability 0.999. Paragraphs that collide in a band are
+ROWS rows, which find a pair of similarity 0.8 with probability 0.994 and one of 0.9 with 0.9999. Paragraphs that collide in a band are
 compared: exact Jaccard similarity of the shingle sets, from 0.8 on a link; links make components.
 
 A copied passage can also begin and end in the middle of lines. So every text is cut as well into blocks where
@@ -25,11 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.llm.common import Scratch, components, sorted_runs
+from conceptstrata.llm.common import Scratch, components, small_side, sorted_runs
 from conceptstrata.session import ship_package, task_count
 
 SHINGLE = 5
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 5, 2
 SIMILARITY = 0.8
 MIN_WORDS = 10
 REACH = 5  # words on either side of a cut
@@ -101,7 +101,7 @@ def block_starts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
 
 def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Band keys (paragraph x band) of the shingles that begin at each start."""
-    keys = np.zeros((len(starts), BANDS), np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
     for b in range(BANDS):
         for r in range(ROWS):
             least = np.minimum.reduceat(mixed(values * ODD[b * ROWS + r]), starts)
@@ -165,28 +165,29 @@ def unit_rows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def similar_links(paragraphs: DataFrame, similarity: float) -> DataFrame:
+def similar_links(paragraphs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of hashes of different paragraphs with at least this Jaccard similarity.
 
     They span the components of each band key's paragraphs. Keys that hold the same paragraphs are compared
     once; the paragraphs of a crowded key are dealt to tiles, and every two tiles meet.
     """
     spark = paragraphs.sparkSession
-    distinct = paragraphs.dropDuplicates(["h"])
-    keyed = distinct.select("h", F.posexplode("bands").alias("band", "value"))
-    keys = keyed.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 20)).alias("s"))
-    crowded = keys.where("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("band", "value")).alias("k")).select("n", "k.*")
+    distinct = paragraphs.select("h", "bands").dropDuplicates(["h"])
+    keyed = distinct.select("h", F.explode("bands").alias("band"))  # the band's number is part of its key
+    keys = keyed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 20)).alias("s"))
+    crowded = keys.where("n > 1").groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("n", "band")
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    members = (
-        keyed.join(crowded, ["band", "value"])
-        .withColumn("tiles", tiles)
+    members = scratch.keep(keyed.join(crowded, "band"), "members")
+    names = scratch.keep(members.select("h").distinct(), "colliding")
+    texts = paragraphs.select("h", "line").join(small_side(names), "h", "left_semi").dropDuplicates(["h"])
+    group = ["band", "ti", "tj"]
+    paired = (
+        members.withColumn("tiles", tiles)
         .withColumn("mine", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("h", "band", "value", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"))
+        .select("h", "band", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"))
     )
-    texts = paragraphs.select("h", "line").join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    group = ["band", "value", "ti", "tj"]
-    dealt = members.join(texts, "h").repartition(task_count(spark), *group).sortWithinPartitions(*group, "h")
+    dealt = paired.join(texts, "h").repartition(task_count(spark), *group).sortWithinPartitions(*group, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, group):
@@ -227,11 +228,13 @@ def spanning_pairs(names: list[int], sets: list[set], similarity: float) -> list
     return pairs
 
 
-def repeated_passages(blocks: DataFrame, key: str, min_run: int) -> DataFrame:
+def repeated_passages(blocks: DataFrame, key: str, min_run: int, scratch: Scratch) -> DataFrame:
     """Blocks that occur again, in unbroken runs of at least min_run words, with the first place of the block."""
     place = F.struct(F.col(key).alias("key"), F.col("begin").alias("begin"))
-    firsts = blocks.groupBy("h", "words").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    again = blocks.join(firsts, ["h", "words"])
+    often = scratch.keep(blocks.groupBy("h").count().where("count > 1").select("h"), "often")
+    again = scratch.keep(blocks.join(small_side(often), "h"), "again")
+    firsts = again.groupBy("h").agg(F.min(place).alias("first"))
+    again = again.join(firsts, "h")
     order = W.partitionBy(key).orderBy("seq")
     run = again.withColumn("run", F.col("seq") - F.dense_rank().over(order))
     total = F.sum("words").over(W.partitionBy(key, "run"))
@@ -255,7 +258,7 @@ def removals(
     scratch = Scratch(spark)
     rows = scratch.keep(unit_rows(docs, key, text, min_words), "units")
     paragraphs, blocks = rows.where(~F.col("is_block")), rows.where("is_block").select(key, "seq", "begin", "end", "words", "h")
-    found = components(scratch.keep(similar_links(paragraphs, similarity), "links"), scratch)
+    found = components(scratch.keep(similar_links(paragraphs, similarity, scratch), "links"), scratch)
     place = F.struct(F.col(key).alias("key"), F.col("begin").alias("begin"))
     exact = paragraphs.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     rooted = exact.join(found, exact.h == found.node, "left").select("h", "n", "first", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"))
@@ -264,7 +267,7 @@ def removals(
     named = rooted.join(classes.withColumnRenamed("first", "class"), "root").select("h", "class")
     columns = [key, "begin", "end", F.col("words").alias("n_words")]
     lines = paragraphs.select(key, "begin", "end", "words", "h").join(named, "h").select(*columns, F.lit("paragraph").alias("kind"), "class")
-    inner = repeated_passages(blocks, key, min_run).select(*columns, F.lit("passage").alias("kind"), F.col("first").alias("class"))
+    inner = repeated_passages(blocks, key, min_run, scratch).select(*columns, F.lit("passage").alias("kind"), F.col("first").alias("class"))
     result = lines.unionByName(inner)
     return result.select(
         key, "begin", "end", "n_words", "kind", F.col("class.key").alias("class_key"), F.col("class.begin").alias("class_begin"), (place != F.col("class")).alias("removed")
