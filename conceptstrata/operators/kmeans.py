@@ -18,12 +18,12 @@ from conceptstrata.session import task_count
 
 SEED = 42
 RESTARTS = 10
-# Above this many rows a set is fitted over the whole cluster, with fewer restarts.
+# Above this many rows a set is fitted over the whole cluster, from the same starts.
 GROUPED_ROWS = 10_000
-LARGE_RESTARTS = 3
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
-SEEDING_ROWS = 2_000
+# Rows of a set that starts are drawn from, those with the smallest hash; all rows are fitted.
+SEEDING_ROWS, SEEDING_ROWS_PER_CENTRE = 2_000, 10
 # Centres that travel with one pass of a distributed fit
 MODEL_BYTES = 64 << 20
 
@@ -44,6 +44,17 @@ def _spread_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.
     return points[chosen].copy()
 
 
+def _seeding_rows(k: int) -> int:
+    return max(SEEDING_ROWS, SEEDING_ROWS_PER_CENTRE * k)
+
+
+def _starts(rows: pd.DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Starting centres of all restarts; rows carry their hash `_h`. The same for every way of fitting."""
+    sample = rows.sort_values(["_h", "point_id"]).head(_seeding_rows(k)).sort_values("point_id")
+    vectors = np.array(sample["vector"].tolist(), dtype=np.float64)
+    return np.stack([_spread_centres(vectors, k, np.random.default_rng([seed, k, r])) for r in range(restarts)])
+
+
 def _assign(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre and squared distance to it; centres is (models, k, dims)."""
     models, k, dims = centres.shape
@@ -76,10 +87,8 @@ def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.D
         return no_rows(_FIT)
     rows = rows.sort_values("point_id")
     points = np.array(rows["vector"].tolist(), dtype=np.float64)
-    centres = np.stack(
-        [_spread_centres(points, k, np.random.default_rng([seed, k, r])) for r in range(restarts)]
-    )
-    tolerance = TOLERANCE * points.var(axis=0).mean()
+    centres = _starts(rows, k, restarts, seed)
+    tolerance = TOLERANCE * points.var(axis=0, ddof=1).mean()
     active = np.arange(restarts)
     for _ in range(MAX_ITERATIONS):
         nearest, _squared = _assign(points, centres[active])
@@ -111,6 +120,7 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
     """
     return (
         points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector")
+        .withColumn("_h", F.xxhash64(F.lit(seed), "point_id"))
         .join(broadcast_checked(candidates), "query_id")
         .repartition(task_count(points.sparkSession), "query_id", "k")
         .groupBy("query_id", "k")
@@ -119,20 +129,19 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
 
 
 def _initial_centres(points: DataFrame, ks: dict[int, list[int]], restarts: int, seed: int) -> pd.DataFrame:
-    """k-means++ centres drawn from a hash sample of every set; seeding only, all rows are fitted."""
+    """k-means++ centres of every set and k that it has rows for."""
+    most = _seeding_rows(max((k for own in ks.values() for k in own), default=0))
     shuffled = points.withColumn("_h", F.xxhash64(F.lit(seed), "point_id"))
-    sample = top_k(shuffled, ["query_id"], [F.col("_h"), F.col("point_id")], SEEDING_ROWS)
+    sample = top_k(shuffled, ["query_id"], [F.col("_h"), F.col("point_id")], most)
 
     def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        vectors = np.array(rows["vector"].tolist(), dtype=np.float64)
         return pd.DataFrame(
             [
                 {"query_id": int(key[0]), "k": k, "restart": r, "cluster": c, "centre": centre}
                 for k in ks[int(key[0])]
-                if k <= len(vectors)
-                for r in range(restarts)
-                for c, centre in enumerate(_spread_centres(vectors, k, np.random.default_rng([seed, k, r])))
+                if k <= len(rows)
+                for r, centres in enumerate(_starts(rows, k, restarts, seed))
+                for c, centre in enumerate(centres)
             ],
             columns=["query_id", "k", "restart", "cluster", "centre"],
         )
@@ -231,7 +240,7 @@ def lloyd_totals(points: DataFrame, models: dict[tuple[int, int], np.ndarray]) -
 def fit_distributed(
     points: DataFrame,
     ks: dict[int, list[int]],
-    restarts: int = LARGE_RESTARTS,
+    restarts: int = RESTARTS,
     seed: int = SEED,
     max_iterations: int = MAX_ITERATIONS,
 ) -> DataFrame:
@@ -315,7 +324,7 @@ def fit(points: DataFrame, candidates: DataFrame, row_limit: int | None = None)
     batch: dict[int, list[int]] = {}
     for query_id in large:
         batch[query_id] = ks[query_id]
-        if query_id == large[-1] or sum(map(sum, batch.values())) * LARGE_RESTARTS * dims * 8 > MODEL_BYTES:
+        if query_id == large[-1] or sum(map(sum, batch.values())) * RESTARTS * dims * 8 > MODEL_BYTES:
             mine = points.where(F.col("query_id").isin(*batch))
             labels = labels.unionByName(fit_distributed(mine, batch))
             batch = {}

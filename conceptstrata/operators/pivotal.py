@@ -51,9 +51,18 @@ def evolution(clusters: DataFrame, keys: Sequence[str] = ("cluster_label",), tim
     return clusters.groupBy(time, *keys).agg(F.count("*").alias("n"))
 
 
-def evolution_matrix(clusters: DataFrame, labels: Sequence[str], label: str = "cluster_label", time: str = "year") -> DataFrame:
-    """Papers per year, one column per given label, 0 where there are none."""
-    return clusters.groupBy(time).pivot(label, list(labels)).count().na.fill(0)
+MATRIX_LABELS = 2_000
+
+
+def evolution_matrix(clusters: DataFrame, label: str = "cluster_label", time: str = "year") -> DataFrame:
+    """Papers per year, one column per label found, 0 where there are none.
+
+    A matrix has a column per label; with more than MATRIX_LABELS of them use `evolution`, the long form.
+    """
+    found = clusters.select(label).where(F.col(label).isNotNull()).distinct().limit(MATRIX_LABELS + 1).collect()
+    if len(found) > MATRIX_LABELS:
+        raise ValueError(f"more than {MATRIX_LABELS} labels: no matrix")
+    return clusters.groupBy(time).pivot(label, sorted(r[0] for r in found)).count().na.fill(0)
 
 
 def concept_names(clusters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -18,7 +18,6 @@ from conceptstrata.operators.ranking import broadcast_checked, top_k
 from conceptstrata.session import task_count
 
 FIRST_YEAR, LAST_YEAR = 1980, 2025
-MAX_CANDIDATES = 16384
 RRF_CONSTANT = 60
 # Queries sent along with the scoring function (12 MB at 768 dimensions); more are scored in blocks.
 QUERY_ROWS = 2_048
@@ -39,7 +38,7 @@ def best_first() -> list[Column]:
 
 def candidate_limit(limit: int) -> int:
     """How many hits each side fetches before fusion."""
-    return min(limit * 10, MAX_CANDIDATES)
+    return limit * 10
 
 
 def with_years(queries: DataFrame) -> DataFrame:
@@ -338,14 +337,15 @@ def hybrid_search(
     norm: str = "bounded",
     drop_ratio: float = 0.0,
     postings: DataFrame | None = None,
+    candidates: int | None = None,
 ) -> DataFrame:
-    """Dense and sparse search with over-fetch, then fusion.
+    """Dense and sparse search with over-fetch (`candidates` hits of each side), then fusion.
 
     vectors: arxiv_id, publication_year, dense_vector, sparse_vector; queries: query_id,
     dense_vector, sparse_vector, alpha, optionally a year range. alpha = 1 is dense only, 0 sparse
     only. Given a postings table, the sparse side looks the query tokens up there instead of scanning.
     """
-    pool = candidate_limit(limit)
+    pool = candidate_limit(limit) if candidates is None else candidates
     dense = dense_topk(vectors, queries, pool)
     if postings is None:
         trimmed = queries.withColumn("sparse_vector", drop_smallest(F.col("sparse_vector"), drop_ratio))

@@ -13,7 +13,7 @@ from conceptstrata.operators.distances import BLOCK_ROWS, euclidean, membership,
 from conceptstrata.session import task_count
 
 MAX_K = 8
-EXACT_ROWS = 50_000
+MEASURES = ("exact", "squared")
 
 _SUMS = "query_id bigint, point_id string, k int, own int, other int, distance double"
 
@@ -110,8 +110,7 @@ def silhouette(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROW
 def silhouette_large(points: DataFrame, labels: DataFrame) -> DataFrame:
     """Squared-Euclidean silhouette per (query_id, k), linear in the number of points.
 
-    For sets whose pairwise distances are out of reach; it is another measure than the exact one and
-    is marked as such.
+    For sets whose pairwise distances are out of reach; the caller chooses it, as it is another measure.
     """
     joined = labels.join(
         points.select("query_id", "point_id", array_to_vector("vector").alias("features")), ["query_id", "point_id"]

@@ -124,11 +124,12 @@ def search_in_eras(vectors: DataFrame, queries: DataFrame, eras: DataFrame, limi
 
 
 def cluster_concepts(
-    members: DataFrame, queries: DataFrame, row_limit: int | None = None, max_k: int = silhouette.MAX_K
+    members: DataFrame, queries: DataFrame, row_limit: int | None = None, max_k: int = silhouette.MAX_K, measure: str = "exact"
 ) -> DataFrame:
     """Cluster number per (query_id, point_id) under the given or the best-scoring k.
 
-    members: query_id, arxiv_id, dense_vector. `row_limit` bounds the rows per query, if known.
+    members: query_id, arxiv_id, dense_vector. `row_limit` bounds the rows per query, if known;
+    `measure` names the silhouette that chooses k ("exact", or the linear "squared").
     A query with fewer rows than clusters asked for has no rows here.
     """
     points = members.select("query_id", F.col("arxiv_id").alias("point_id"), F.col("dense_vector").alias("vector"))
@@ -139,37 +140,26 @@ def cluster_concepts(
     )
     candidates = silhouette.k_candidates(asked, max_k)
     fitted = cut_lineage(kmeans.fit(points, candidates, row_limit), "fits")
-    chosen = choose_k(points, fitted, row_limit)
+    chosen = choose_k(points, fitted, row_limit, measure)
     return fitted.join(broadcast_checked(chosen.select("query_id", "k")), ["query_id", "k"]).select(
         "query_id", "k", "point_id", "cluster"
     )
 
 
-def choose_k(points: DataFrame, fitted: DataFrame, row_limit: int | None = None) -> DataFrame:
-    """One k per query: the one with the best silhouette, or the only one fitted."""
+def choose_k(points: DataFrame, fitted: DataFrame, row_limit: int | None = None, measure: str = "exact") -> DataFrame:
+    """One k per query: the one with the best silhouette by the measure, or the only one fitted."""
+    if measure not in silhouette.MEASURES:
+        raise ValueError(f"measure is one of {silhouette.MEASURES}")
     per_k = fitted.groupBy("query_id", "k").agg(F.first("silhouette").alias("silhouette"))
-    if row_limit is None or row_limit > INLINE_ROWS:
-        several = per_k.groupBy("query_id").agg(F.count("*").alias("ks")).where(F.col("ks") > 1)
+    several = per_k.groupBy("query_id").agg(F.count("*").alias("ks")).where(F.col("ks") > 1)
+    if measure == "squared":
+        asked = fitted.join(several, "query_id", "left_semi")
+        alone = per_k.join(several, "query_id", "left_anti")
+        per_k = alone.unionByName(silhouette.silhouette_large(points, asked).select("query_id", "k", "silhouette"))
+    elif row_limit is None or row_limit > INLINE_ROWS:
         unscored = fitted.where(F.col("silhouette").isNull()).join(several, "query_id", "left_semi")
-        per_k = per_k.unionByName(scored(points, unscored, row_limit).select("query_id", "k", "silhouette"))
-    return silhouette.best_k(per_k)
-
-
-def scored(points: DataFrame, fitted: DataFrame, row_limit: int | None = None) -> DataFrame:
-    """Silhouette per (query_id, k): exact, or for sets past EXACT_ROWS the linear measure."""
-    if row_limit is not None and row_limit <= silhouette.EXACT_ROWS:
-        return silhouette.silhouette(points, fitted)
-    sizes = points.groupBy("query_id").count()
-    large = [
-        r.query_id
-        for r in sizes.where(F.col("count") > silhouette.EXACT_ROWS).select("query_id").toLocalIterator()
-    ]
-    if not large:
-        return silhouette.silhouette(points, fitted)
-    big = F.col("query_id").isin(*large)
-    return silhouette.silhouette(points.where(~big), fitted.where(~big)).unionByName(
-        silhouette.silhouette_large(points.where(big), fitted.where(big))
-    )
+        per_k = per_k.unionByName(silhouette.silhouette(points, unscored).select("query_id", "k", "silhouette"))
+    return silhouette.best_k(per_k).withColumn("measure", F.lit(measure))
 
 
 def name_concepts(members: DataFrame, clusters: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -318,7 +318,7 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     f"""count(*) FILTER (WHERE o_orderpriority = '{p}') AS "{p}\"""" for p in _PRIORITIES
 ) + " FROM orders GROUP BY 1")
 def evolution_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivotal.evolution_matrix(_dated_orders(spark, sf_dir), _PRIORITIES)
+    return pivotal.evolution_matrix(_dated_orders(spark, sf_dir))
 
 
 @query("concept_names", "SELECT DISTINCT o_orderpriority AS cluster_label FROM orders")

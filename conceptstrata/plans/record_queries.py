@@ -65,6 +65,25 @@ def json_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_lines.read_records(spark, _written_records(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
+@query("json_mixed_records", """
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN lang END AS title, 'record' AS kind
+FROM documents WHERE doc_id % 3 < 2
+UNION ALL
+SELECT NULL, 'junk ' || doc_id, 'malformed' FROM documents WHERE doc_id % 3 = 2
+""")
+def json_mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good lines, lines whose title is an object and lines that are no JSON, read back."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    key = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title")))
+    odd = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.struct("lang").alias("versions")))
+    line = F.when(F.col("doc_id") % 3 == 0, key).when(F.col("doc_id") % 3 == 1, odd)
+    path = new_path(spark, "mixed")
+    docs.select(F.coalesce(line, F.concat(F.lit("junk "), F.col("doc_id").cast("string"))).alias("value")).write.text(path)
+    read = json_lines.read_records(spark, path).select("id", "title", F.lit("record").alias("kind"))
+    junk = json_lines.malformed_lines(spark, path).where(~F.col("value").startswith("{"))
+    return read.unionByName(junk.select(F.lit(None).cast("string").alias("id"), F.col("value").alias("title"), F.lit("malformed").alias("kind")))
+
+
 @query("strict_records", f"""
 WITH {PAPERS}
 SELECT arxiv_id, md5(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) AS abstract_md5, published_date
@@ -89,24 +108,26 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("systematic_sample", """
 SELECT doc_id, pos AS line_no
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-WHERE pos % 24 = 0 AND pos < 24 * 100000
+WHERE pos % (SELECT greatest(1, count(*) // 90) FROM documents) = 0
+  AND pos < 90 * (SELECT greatest(1, count(*) // 90) FROM documents)
 """)
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = json_lines.numbered_rows(spark, f"{sf_dir}/documents.parquet")
-    return json_lines.systematic(rows, limit=100_000).select("doc_id", "line_no")
+    return json_lines.systematic(rows, limit=90).select("doc_id", "line_no")
 
 
 @query("systematic_lines", """
 SELECT CAST(doc_id AS VARCHAR) AS id, pos AS line_no
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-WHERE pos % 24 = 0 AND pos < 24 * 100000
+WHERE pos % (SELECT greatest(1, count(*) // 90) FROM documents) = 0
+  AND pos < 90 * (SELECT greatest(1, count(*) // 90) FROM documents)
 """)
 def systematic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "lines")
     adapters.records(spark, sf_dir).repartitionByRange(4, F.col("id").cast("bigint")).sortWithinPartitions(
         F.col("id").cast("bigint")
     ).write.json(path)
-    return json_lines.sampled_records(spark, path, limit=100_000).select("id", "line_no")
+    return json_lines.sampled_records(spark, path, limit=90).select("id", "line_no")
 
 
 @query("hash_ids", f"""

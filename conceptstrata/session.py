@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="conceptstrata-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -9,7 +9,7 @@ from conceptstrata.schemas import PAPERS
 
 def shard_predicates(key: str, shards: int) -> list[str]:
     """Disjoint and complete row filters, one per parallel connection."""
-    return [f"ABS(hashtext({key})) % {shards} = {shard}" for shard in range(shards)]
+    return [f"ABS(CAST(hashtext({key}) AS bigint)) % {shards} = {shard}" for shard in range(shards)]
 
 
 def read_papers(

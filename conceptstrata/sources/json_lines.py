@@ -17,8 +17,12 @@ WITH_CORRUPT = T.StructType([*SOURCE_RECORD.fields, T.StructField(CORRUPT, T.Str
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records with the declared schema; malformed lines are dropped (see `malformed_lines`)."""
-    return spark.read.schema(SOURCE_RECORD).option("mode", "DROPMALFORMED").json(path)
+    """Records with the declared schema and an id.
+
+    A field of another type is null and the rest of its record stays; lines that are no record have no id
+    and are left to `malformed_lines`.
+    """
+    return spark.read.schema(SOURCE_RECORD).option("mode", "PERMISSIVE").json(path).where(F.col("id").isNotNull())
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,17 +68,15 @@ def sampled_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
     return parse_lines(systematic(numbered_lines(spark, path), limit))
 
 
-# Line count the sampling step is derived from (fixed value)
-ESTIMATED_LINES = 2_400_000
-
-
-def systematic(numbered: DataFrame, limit: int, estimated_lines: int = ESTIMATED_LINES) -> DataFrame:
-    """Every n-th line up to `limit` lines.
+def systematic(numbered: DataFrame, limit: int, estimated_lines: int | None = None) -> DataFrame:
+    """Every n-th line up to `limit` lines, spread over all lines.
 
-    The kept lines are 0, step, 2*step, ..., so the first `limit` of them are those below
-    step*limit: a filter, with no sort.
+    The step follows from the number of lines, which is counted unless an estimate is given. The kept
+    lines are 0, step, 2*step, ..., so the first `limit` of them are those below step*limit: a filter,
+    with no sort.
     """
-    step = max(1, estimated_lines // limit)
+    lines = numbered.count() if estimated_lines is None else estimated_lines
+    step = max(1, lines // limit)
     return numbered.where((F.col("line_no") % step == 0) & (F.col("line_no") < step * limit))
 
 

@@ -98,4 +98,4 @@ def test_queries_from_texts(spark):
 
 
 def test_database_shards():
-    assert shard_predicates("id", 2) == ["ABS(hashtext(id)) % 2 = 0", "ABS(hashtext(id)) % 2 = 1"]
+    assert shard_predicates("id", 2) == ["ABS(CAST(hashtext(id) AS bigint)) % 2 = 0", "ABS(CAST(hashtext(id) AS bigint)) % 2 = 1"]

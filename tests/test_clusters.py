@@ -200,3 +200,31 @@ def test_drift_and_spread(spark):
     assert moved == {1990: None, 2000: pytest.approx(1.0), 2010: pytest.approx(0.0)}
     spread = {r.slice: r.spread for r in drift.spread(points, centres, ["query_id", "slice"]).collect()}
     assert spread == {1990: pytest.approx(1.0), 2000: 0.0, 2010: 0.0}
+
+
+def test_both_ways_of_fitting_agree(spark):
+    _, rows = blobs([[0, 0], [9, 0], [0, 9], [9, 9], [20, 5], [5, 20]], 420)  # above the rows that starts come from
+    points = spark.createDataFrame(rows, POINTS)
+    sets = spark.createDataFrame([(1, 6)], "query_id bigint, n_clusters int")
+    grouped = kmeans.fit_bounded(points, silhouette.k_candidates(sets), restarts=2).collect()
+    distributed = kmeans.fit_distributed(points, {1: [6]}, restarts=2).collect()
+    assert {r.point_id: r.cluster for r in grouped} == {r.point_id: r.cluster for r in distributed}
+
+
+def test_no_k_is_dropped_for_its_size(spark):
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(1, f"p{i}", rng.normal(size=2).tolist()) for i in range(2_600)], POINTS)
+    fitted = kmeans.fit_distributed(points, {1: [2_001]}, restarts=1, max_iterations=2)
+    assert fitted.count() == 2_600
+    assert fitted.select("cluster").distinct().count() > 1_500
+
+
+def test_measure_is_the_callers_choice(spark):
+    _, rows = blobs([[0, 0], [8, 0], [0, 8]], 20)
+    points = spark.createDataFrame(rows, POINTS)
+    sets = spark.createDataFrame([(1, None)], "query_id bigint, n_clusters int")
+    fitted = kmeans.fit_bounded(points, silhouette.k_candidates(sets)).persist()
+    for measure in silhouette.MEASURES:
+        assert [(r.k, r.measure) for r in analysis.choose_k(points, fitted, measure=measure).collect()] == [(3, measure)]
+    with pytest.raises(ValueError):
+        analysis.choose_k(points, fitted, measure="other")

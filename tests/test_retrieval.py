@@ -113,7 +113,7 @@ def test_known_item(spark):
 
 
 def test_candidate_limit():
-    assert [retrieve.candidate_limit(n) for n in (10, 1000, 5000)] == [100, 10000, 16384]
+    assert [retrieve.candidate_limit(n) for n in (10, 1000, 5000)] == [100, 10000, 50000]
 
 
 def test_sparse_topk_by_hand(spark):
@@ -233,3 +233,17 @@ def test_vector_expressions(spark):
     assert (row.dot, row.zero, row.half, row.middle) == (24.0, 0.0, 0.5, 0.5)
     assert row.cosine == pytest.approx(0.96) and row.distance == pytest.approx(2**0.5)
     assert row.unit == pytest.approx([0.6, 0.8]) and row.same == [0.0, 0.0]
+
+
+def test_more_hits_than_any_cap(spark):
+    papers = spark.range(17_000).select(
+        F.col("id").cast("string").alias("arxiv_id"),
+        F.lit(2000).alias("publication_year"),
+        F.array(F.lit(1.0), F.col("id") / 17_000).cast("array<float>").alias("dense_vector"),
+        F.create_map(F.lit(1).cast("bigint"), (F.col("id") + 1).cast("float")).alias("sparse_vector"),
+    )
+    asked = spark.createDataFrame(
+        [(1, [0.0, 1.0], {1: 1.0}, 0.5)], "query_id bigint, dense_vector array<float>, sparse_vector map<bigint,float>, alpha double"
+    )
+    assert retrieve.hybrid_search(papers, asked, 16_900).count() == 16_900
+    assert retrieve.hybrid_search(papers, asked, 100, candidates=50).count() == 50
