@@ -92,6 +92,8 @@ class Model:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Score the words of a block of texts that the table lacks."""
+        if not self.languages:
+            return
         missing = set().union(*texts).difference(self.rows)
         if len(self.rows) + len(missing) > KNOWN_WORDS:
             self.rows, self.table = {}, self.table[:0]

@@ -138,7 +138,7 @@ def maximal_runs(gone: Column) -> Column:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns, with the text after deletion and `runs`, the deleted runs of lines (first, last)."""
-    plan = repeats(docs, key, text, min_chars).withColumnRenamed(key, "_key").withColumnRenamed("th", "_th")
+    plan = repeats(docs, key, text, min_chars).toDF("_key", "_th", "_gone")
     columns = [c for c in docs.columns if c != "runs"]
     rows = docs.select(*columns).withColumn("_own", F.xxhash64(text))
     joined = rows.join(plan, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_th")), "left")
@@ -151,14 +151,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         ).otherwise(
             F.struct(
                 (acc["at"] + 1).alias("at"),
-                F.when(F.array_contains("gone", acc["at"] + 1), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["line"]))).alias("kept"),
-                (acc["any"] | ~F.array_contains("gone", acc["at"] + 1)).alias("any"),
+                F.when(F.array_contains("_gone", acc["at"] + 1), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["line"]))).alias("kept"),
+                (acc["any"] | ~F.array_contains("_gone", acc["at"] + 1)).alias("any"),
             )
         ),
     )
     left = F.when(marked["any"], F.array_join(marked["kept"], "\n")).otherwise(F.lit(""))
     none = F.array().cast("array<struct<first:int,last:int>>")
     return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in columns],
-        F.when(F.col("gone").isNull(), none).otherwise(maximal_runs(F.col("gone"))).alias("runs"),
+        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in columns],
+        F.when(F.col("_gone").isNull(), none).otherwise(maximal_runs(F.col("_gone"))).alias("runs"),
     )

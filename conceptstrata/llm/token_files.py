@@ -80,16 +80,17 @@ def write(
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint") -> DataFrame:
+    """(key, n_tokens, ids, part); the schema is named, as an empty table has no files."""
+    return spark.read.schema(f"`{key}` {key_type}, n_tokens bigint, ids array<int>, part int").parquet(path)
 
 
-def index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def index(spark: SparkSession, path: str, key: str = "doc_id", key_type: str = "bigint") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) from the files: start counts the ids of all documents before.
 
     The totals of the key ranges, one row per file, are summed first; within a range rows are summed by key.
     """
-    stored = read(spark, path)
+    stored = read(spark, path, key, key_type)
     schema = stored.select(key, "part", "n_tokens").schema.add("ids_crc32", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
     sums = stored.select(key, "part", "n_tokens", "ids").mapInArrow(run, schema)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    totals = read(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     within = W.partitionBy("part").orderBy(key, "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
     return sums.join(offsets, "part").select(
