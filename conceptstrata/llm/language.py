@@ -17,21 +17,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conceptstrata.llm.common import small_side
 from conceptstrata.session import ship_package
 
 BUCKETS = 1 << 16  # hashed n-grams of a language
-SAMPLE = 2_000  # texts learned from per language, the bound of the fitted sample
+SAMPLE = 2_000  # texts learned from per language, the bound (in the mean) of the fitted sample
 SAMPLE_CHARS = 20_000  # of each of them
 SMOOTHING = 0.5
 FLOOR = 12.0  # a word is at most this much (in nats) less likely in one language than in the best one
 PENALTY = 6.0  # nats that a further language must gain, times the logarithm of the number of words
 ROUNDS, FIRST_ROUNDS = 12, 3
 LEAST_SHARE = 0.03  # a further language that has less after the first rounds is dropped
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 BLOCK_CHARS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
 UND = "und"
@@ -58,10 +58,16 @@ def words(text: str) -> list[str]:
 
 
 def sample(docs: DataFrame, lang: str, text: str, key: str) -> DataFrame:
-    """At most SAMPLE rows per language, chosen by a hash of the key and so the same in every run."""
-    ranked = W.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
-    chosen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("n", F.row_number().over(ranked))
-    return chosen.where(F.col("n") <= SAMPLE).select(lang, F.substring(text, 1, SAMPLE_CHARS).alias(text))
+    """About SAMPLE rows per language, all of them where there are fewer.
+
+    A row is chosen by a hash of its key and text, so the same rows in every run, and no language is gathered
+    in one place. The counts have a row per language.
+    """
+    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = named.groupBy(F.col(lang).alias("_lang")).count().select("_lang", (F.lit(SAMPLE) / F.col("count")).alias("_share"))
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = named.join(small_side(counts), F.col(lang) == F.col("_lang")).where(draw < F.col("_share"))
+    return chosen.select(lang, F.substring(text, 1, SAMPLE_CHARS).alias(text))
 
 
 def count_grams(rows: DataFrame, lang: str, text: str) -> DataFrame:

@@ -66,7 +66,7 @@ def write(
     bounds = sorted(set(docs.agg(F.percentile_approx(key, probs, 10_000)).first()[0] or [])) if probs else []
     at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
     ranged = docs.select(key, text).withColumn("part", F.coalesce(at, F.lit(0)).cast("int"))
-    sorted_rows = ranged.repartition(files, "part").sortWithinPartitions("part", key, text).drop("part")
+    sorted_rows = ranged.repartitionByRange(files, "part").sortWithinPartitions("part", key, text).drop("part")
     (
         encode(sorted_rows, tokenizer, key, text, end_id)
         .withColumn("part", F.coalesce(at, F.lit(0)).cast("int"))

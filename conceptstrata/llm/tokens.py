@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-TABLE_WORDS = 900_000  # words kept by a Python worker; further ones are encoded whenever they come
+TABLE_WORDS = 600_000  # words kept by a Python worker; further ones are encoded whenever they come
 BLOCK_CHARS = 1 << 20
 SPACES = re.compile(r"\s\s|^\s|\s$|[^\S \n]")  # anything but single blanks and line ends inside the text
 CONTROLS = re.compile("[\x01\x1c-\x1f]")  # the separator below, and what only Python takes for white space
