@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.session import ship_package
+from conceptstrata.llm.common import short_batches
+
 
 MAX_ERROR = 0.06
 MIN_CHARS = 32
@@ -138,7 +139,7 @@ def contamination(
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """(key, item_key, distance, begin, end): a row per document and item that it holds, places in the normal text."""
-    ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     own = [T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType)]
     schema = T.StructType(own + [T.StructField(n, T.IntegerType()) for n in ("distance", "begin", "end")])
     found = docs.sparkSession.createDataFrame([], schema)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from conceptstrata.session import ship_package
+from conceptstrata.llm.common import short_batches
+
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -244,7 +245,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_column: str = "html", to: str = "text") -> DataFrame:
     """The rows without their markup, with the main text and its length in code points."""
-    ship_package(pages.sparkSession)
+    short_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html_column, to, "n_chars")]
     schema = T.StructType([*pages.select(keep).schema.fields, T.StructField(to, T.StringType()), T.StructField("n_chars", T.LongType())])
 

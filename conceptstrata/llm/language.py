@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.llm.common import small_side
-from conceptstrata.session import ship_package
+from conceptstrata.llm.common import short_batches, small_side
 
 BUCKETS = 1 << 16  # hashed n-grams of a language
 SAMPLE = 2_000  # texts learned from per language, the bound (in the mean) of the fitted sample
@@ -171,7 +170,7 @@ def select_languages(likely: np.ndarray) -> tuple[list[int], np.ndarray]:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model of the rows' languages. Its size is languages x BUCKETS, whatever the number of rows."""
-    ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     counts = count_grams(sample(docs, lang, text, key), lang, text).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.full((len(languages), BUCKETS), SMOOTHING)
@@ -194,7 +193,7 @@ def worker_model(languages: list[str], logs: np.ndarray) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of the rows, with lang_pred, score and the mixture of languages."""
-    ship_package(docs.sparkSession)
+    short_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "mixture")]
     mixture = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", mixture)]

@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.llm.common import Scratch
+from conceptstrata.llm.common import Scratch, short_batches
 from conceptstrata.llm.tokens import encoder
-from conceptstrata.session import ship_package
 
 GROUP = 50_000  # pieces that one task packs, in the mean
 ROUNDS = 3
@@ -135,7 +134,7 @@ def pack(
 ) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset, certified) of every piece."""
     spark = docs.sparkSession
-    ship_package(spark)
+    short_batches(spark)
     scratch = Scratch(spark)
     cut = scratch.keep(pieces(docs, tokenizer, key, text, end_id, capacity), "pieces")
     full = cut.where(F.col("length") == capacity)

@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.llm.common import Scratch, components, small_side, sorted_runs
-from conceptstrata.session import ship_package, task_count
+from conceptstrata.llm.common import Scratch, components, short_batches, small_side, sorted_runs
+from conceptstrata.session import task_count
 
 SHINGLE = 5
 BANDS, ROWS = 5, 2
@@ -254,7 +254,7 @@ def removals(
     The class is named by its first occurrence, which is kept. Places count characters from 0, the end excluded.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    short_batches(spark)
     scratch = Scratch(spark)
     rows = scratch.keep(unit_rows(docs, key, text, min_words), "units")
     paragraphs, blocks = rows.where(~F.col("is_block")), rows.where("is_block").select(key, "seq", "begin", "end", "words", "h")

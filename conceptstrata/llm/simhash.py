@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptstrata.llm.common import Scratch, components, sorted_runs
-from conceptstrata.session import ship_package, task_count
+from conceptstrata.llm.common import Scratch, components, short_batches, sorted_runs
+from conceptstrata.session import task_count
 
 SEED = 42
 CHUNK = 1 << 14  # shingles counted at a time
@@ -165,7 +165,7 @@ def links(distinct: DataFrame, radius: int = 3, parts: int = PARTS) -> DataFrame
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(key, fingerprint, component_id) per row; documents link within `radius` differing bits."""
     spark = docs.sparkSession
-    ship_package(spark)
+    short_batches(spark)
     scratch = Scratch(spark)
     printed = scratch.keep(fingerprints(docs, key, text, shingle), "simhash")
     distinct = printed.groupBy("fp").agg(F.min(key).alias("first"))

@@ -20,8 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conceptstrata.llm.common import short_batches
+
 from conceptstrata.llm.tokens import encoder
-from conceptstrata.session import ship_package
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -59,7 +60,7 @@ def write(
 ) -> None:
     """Write the token files of a table below `path`, one folder per ascending key range."""
     spark = docs.sparkSession
-    ship_package(spark)
+    short_batches(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds that are values, not partition numbers: a task that runs again deals rows alike.
     probs = [i / files for i in range(1, files)]

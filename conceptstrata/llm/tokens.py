@@ -13,7 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-TABLE_WORDS = 600_000  # words kept by a Python worker; further ones are encoded whenever they come
+TABLE_WORDS = 400_000  # words kept by a Python worker; further ones are encoded whenever they come
+SPACED_WORDS = 800_000  # of the dearer vocabulary
 BLOCK_CHARS = 1 << 20
 SPACES = re.compile(r"\s\s|^\s|\s$|[^\S \n]")  # anything but single blanks and line ends inside the text
 CONTROLS = re.compile("[\x01\x1c-\x1f]")  # the separator below, and what only Python takes for white space
@@ -36,7 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = spaced
+        self.spaced, self.room = spaced, SPACED_WORDS if spaced else TABLE_WORDS
         self.table: dict[str, bytes] = {}
         self.marks = {mark: self.whole(mark) for mark in MARKS}
 
@@ -65,7 +66,7 @@ class Encoder:
         missing = set().union(*rest).difference(self.table)
         fresh = self._encode_missing(missing)
         table = self.table
-        if len(table) + len(fresh) <= TABLE_WORDS:
+        if len(table) + len(fresh) <= self.room:
             table.update(fresh)
         else:
             table = {w: self.table[w] for w in set().union(*rest).difference(missing)} | fresh

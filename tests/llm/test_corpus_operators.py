@@ -198,12 +198,12 @@ def test_packing(spark, sf_small, monkeypatch):
 
 
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_word_by_word_ids_are_those_of_the_whole(spark, sf_small, name, spaced, monkeypatch):
+def test_word_by_word_ids_are_those_of_the_whole(spark, sf_small, name, spaced):
     odd = ["", "a", " a  b\n\n c ", "it's don't  x€ y é́ z", "Ü　\tx\r\ny", "x\x1cy <|endoftext|> 漢字 4.5!!??", "ΑΣ ΟΔΟΣ. İI", "\n", "a\n", "\na", "x \x01 y", "a\nb c.\nd, e"]
     texts = [*odd, *texts_of(spark, sf_small).values()]
     for room in (600_000, 50):
-        monkeypatch.setattr("conceptstrata.llm.tokens.TABLE_WORDS", room)
         encoder = Encoder(tokenizer_path(name), spaced)
+        encoder.room = room
         assert list(encoder.encode_all(texts)) == [encoder.whole(t) for t in texts]
 
 
