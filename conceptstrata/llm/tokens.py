@@ -8,6 +8,7 @@ it lacks are encoded together. The ids are those of encoding the text as a whole
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -16,9 +17,12 @@ import numpy as np
 TABLE_WORDS = 400_000  # words kept by a Python worker; further ones are encoded whenever they come
 SPACED_WORDS = 800_000  # of the dearer vocabulary
 BLOCK_CHARS = 1 << 20
-SPACES = re.compile(r"\s\s|^\s|\s$|[^\S \n]")  # anything but single blanks and line ends inside the text
 CONTROLS = re.compile("[\x01\x1c-\x1f]")  # the separator below, and what only Python takes for white space
 MARKS = ".,;:!?"
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+# Fixed rule of byte-level vocabularies: bytes without a printable Latin-1 character are named from U+0100 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
 SEPARATOR = "\x01"
 JOINED = 64  # words in one text; longer texts cost the library more a word
 
@@ -57,7 +61,9 @@ class Encoder:
     def _words(self, text: str) -> list[str] | None:
         """The words of a text, None if it must be encoded as a whole. A line end belongs to the word after it."""
         if self.spaced:
-            return None if not text or SPACES.search(text) else text.replace("\n", " \n").split(" ")
+            # Only single blanks and line ends inside the text: then it is its words, joined by them.
+            plain = text and " ".join(text.split()) == text.replace("\n", " ")
+            return text.replace("\n", " \n").split(" ") if plain else None
         return None if CONTROLS.search(text) else text.split()
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
@@ -93,6 +99,21 @@ class Encoder:
         """Ids of each word, from a few long texts in which a separator of one id stands between the words."""
         if not self.spaced:
             return self._separated(words, f" {SEPARATOR} ", SEPARATOR)
+        letters = [i for i, w in enumerate(words) if LETTERS.fullmatch(w)]
+        if len(letters) < len(words):
+            others = sorted(set(range(len(words))).difference(letters))
+            out = dict(zip(others, self._encode_spaced([words[i] for i in others]), strict=True))
+        else:
+            out = {}
+        merge = self.tokenizer.model.tokenize
+        for i in letters:
+            # A blank and letters are one piece to the pre-tokenizer, which only names its bytes.
+            named = (" " + words[i]).encode().decode("latin-1").translate(BYTE_NAMES)
+            out[i] = struct.pack(f"<{len(ids := [t.id for t in merge(named)])}I", *ids)
+        return [out[i] for i in range(len(words))]
+
+    def _encode_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any characters, with the blank or line end before them."""
         lines = [i for i, w in enumerate(words) if w[:1] == "\n"]
         plain = [i for i, w in enumerate(words) if w[:1] != "\n"]
         out = [b""] * len(words)
