@@ -43,6 +43,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
 # The characters at which Python splits words.
 WHITE = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+IS_WHITE = np.isin(np.arange(0x3002), WHITE)  # the last entry stands for all characters beyond
 HASHES: dict[str, int] = {}
 
 
@@ -61,7 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and its line."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    white = np.concatenate(([True], (codes <= 0x3000) & np.isin(codes, WHITE), [True])) if len(codes) else np.array([True, True])
+    white = np.concatenate(([True], IS_WHITE[np.minimum(codes, len(IS_WHITE) - 1)], [True]))
     turns = np.flatnonzero(white[1:] != white[:-1])
     starts, ends = turns[::2], turns[1::2]
     return starts, ends, np.searchsorted(np.flatnonzero(codes == 10), starts)
