@@ -199,7 +199,7 @@ def test_packing(spark, sf_small, monkeypatch):
 
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_word_by_word_ids_are_those_of_the_whole(spark, sf_small, name, spaced):
-    odd = ["", "a", " a  b\n\n c ", "it's don't  x€ y é́ z", "Ü　\tx\r\ny", "x\x1cy <|endoftext|> 漢字 4.5!!??", "ΑΣ ΟΔΟΣ. İI", "\n", "a\n", "\na", "x \x01 y", "a\nb c.\nd, e"]
+    odd = ["", "a", " a  b\n\n c ", "it's don't  x€ y é́ z", "Ü　\tx\r\ny", "x\x1cy <|endoftext|> 漢字 4.5!!??", "ΑΣ ΟΔΟΣ. İI", "\n", "a\n", "\na", "x \x01 y", "a\nb c.\nd, e", "À Ñandú. Öl ſt ĳ ß, à×b", "a\x85b c\u2003d", "one\u00a0two"]
     texts = [*odd, *texts_of(spark, sf_small).values()]
     for room in (600_000, 50):
         encoder = Encoder(tokenizer_path(name), spaced)
