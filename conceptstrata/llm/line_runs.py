@@ -7,7 +7,9 @@ chains of consecutive repeated lines enter the suffix array. Prefix doubling ran
 leaves the other groups as they are, so no round sorts the corpus. A repeat counts from `min_chars` characters:
 the least number of lines that reaches them is a suffix's depth, and the suffixes that agree to that depth are
 an interval of longest common prefixes. In every interval the first copy, by key and line, stays; the lines of
-later copies are deleted. Overlapping and touching deletions make up the maximal repeated runs.
+later copies are deleted. A run goes on to its end: where the next suffix is no later copy, the lines beyond the
+depth (its tail, under `min_chars` characters after the first line) are compared line by line within the interval,
+and those that an earlier copy has as well are deleted too. So every line of a maximal run goes.
 
 A null text stays null. Blank lines stay where they are, unless everything else in the document goes: then the
 text is empty. Rows with the same key and text are one document to the counts, and each keeps its row.
@@ -57,9 +59,11 @@ def first_ranks(lines: DataFrame) -> DataFrame:
 
 
 def repeated_chains(lines: DataFrame, key: str, min_chars: int) -> DataFrame:
-    """(key, th, chain, idx, r, depth): repeated lines with their rank, in chains of consecutive ones.
+    """(key, th, chain, idx, r, depth, tail): repeated lines with their rank, in chains of consecutive ones.
 
-    The depth is the number of lines from here that reach min_chars, null where the chain ends before.
+    The depth is the number of lines from here that reach min_chars, null where the chain ends before. The tail has
+    the ranks of the lines beyond, as long as those after this one stay below min_chars: from there on, the next
+    suffix has the same run in an interval of its own.
     """
     often = lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     again = lines.join(often, ["h1", "h2"]).distinct()  # equal rows are one document
@@ -71,11 +75,13 @@ def repeated_chains(lines: DataFrame, key: str, min_chars: int) -> DataFrame:
     chain = W.partitionBy(key, "th", "chain").orderBy("idx")
     chained = chained.withColumn("upto", F.sum("size").over(chain))
     # Lines are not empty, so at most min_chars of them are needed.
-    ahead = F.collect_list("upto").over(chain.rowsBetween(0, min_chars))
+    chained = chained.withColumn("ahead", F.collect_list(F.struct("upto", "r")).over(chain.rowsBetween(0, min_chars)))
     need = F.col("upto") - F.col("size") + min_chars
-    short = F.size(F.filter(ahead, lambda v: v < need))
-    depth = F.when(short < F.size(ahead), (short + 1).cast("int"))
-    return chained.withColumn("depth", depth).select(key, "th", "chain", "idx", "r", "depth")
+    short = F.size(F.filter("ahead", lambda v: v["upto"] < need))
+    depth = F.when(short < F.size("ahead"), (short + 1).cast("int"))
+    beyond = F.filter("ahead", lambda v, i: (i >= F.col("depth")) & (v["upto"] - F.col("upto") < min_chars))
+    tail = F.transform(beyond, lambda v: v["r"])
+    return chained.withColumn("depth", depth).select(key, "th", "chain", "idx", "r", "depth", tail.alias("tail"))
 
 
 def refine(state: DataFrame, key: str, k: int) -> DataFrame:
@@ -93,7 +99,7 @@ def refine(state: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def intervals(lines: DataFrame, key: str, min_chars: int, scratch: Scratch) -> DataFrame:
-    """(key, th, idx, depth, k, ra, rb): suffixes that reach min_chars; equal (k, ra, rb) means equal to the depth.
+    """(key, th, idx, depth, tail, k, ra, rb): suffixes that reach min_chars; equal (k, ra, rb) means equal to the depth.
 
     With k the largest power of two within the depth, the ranks by k lines at both ends of the prefix name it.
     """
@@ -105,7 +111,7 @@ def intervals(lines: DataFrame, key: str, min_chars: int, scratch: Scratch) -> D
         last = state.withColumn("ranks", F.collect_list(F.struct("idx", "r")).over(chain.rowsBetween(0, k)))
         at_end = F.filter("ranks", lambda s: s["idx"] == F.col("idx") + F.col("depth") - k)
         settled = last.where((F.col("depth") >= k) & (F.col("depth") < 2 * k)).select(
-            key, "th", "idx", "depth", F.lit(k).alias("k"), F.col("r").alias("ra"), F.try_element_at(at_end, F.lit(1))["r"].alias("rb")
+            key, "th", "idx", "depth", "tail", F.lit(k).alias("k"), F.col("r").alias("ra"), F.try_element_at(at_end, F.lit(1))["r"].alias("rb")
         )
         found = settled if found is None else found.unionByName(settled)
         deeper = state.where(F.col("depth") >= 2 * k).select(key, "th", "chain").distinct()
@@ -113,7 +119,7 @@ def intervals(lines: DataFrame, key: str, min_chars: int, scratch: Scratch) -> D
             return found
         going = state.join(deeper, [key, "th", "chain"])
         refined = refine(going, key, k)
-        state = scratch.keep(refined.select(key, "th", "chain", "idx", F.col("r2").alias("r"), "depth"), "suffixes")
+        state = scratch.keep(refined.select(key, "th", "chain", "idx", F.col("r2").alias("r"), "depth", "tail"), "suffixes")
         k *= 2
 
 
@@ -124,11 +130,28 @@ def repeats(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     grams = scratch.keep(intervals(lines, key, min_chars, scratch), "intervals")
     name = ["k", "depth", "ra", "rb"]
     firsts = grams.groupBy(*name).agg(F.min(F.struct(key, "th", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = grams.join(firsts, name).where(F.struct(key, "th", "idx") > F.col("first"))
+    later = grams.join(firsts, name).where(F.struct(key, "th", "idx") > F.col("first")).select(key, "th", "idx", *name, "tail")
+    later = scratch.keep(later, "later")
     covered = later.select(key, "th", F.explode(F.sequence("idx", F.col("idx") + F.col("depth") - 1)).alias("idx"))
+    covered = covered.unionByName(run_ends(grams, later, key, name))
     return covered.groupBy(key, "th").agg(F.array_sort(F.collect_set("idx")).alias("gone"))
 
 
+def run_ends(grams: DataFrame, later: DataFrame, key: str, name: list[str]) -> DataFrame:
+    """(key, th, idx): the lines beyond the last window of a run that an earlier copy has as well.
+
+    Only where the next suffix is no later copy; elsewhere its run reaches as far as this one.
+    """
+    follows = F.lead("idx").over(W.partitionBy(key, "th").orderBy("idx"))
+    ends = later.withColumn("follows", follows).where(~F.col("follows").eqNullSafe(F.col("idx") + 1) & (F.size("tail") > 0))
+    members = grams.where(F.size("tail") > 0).join(ends.select(*name).distinct(), name)
+    prefixes = members.select(key, "th", "idx", *name, "tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("more"))
+    prefixes = prefixes.withColumn("tail", F.slice("tail", F.lit(1), F.col("more")))
+    firsts = prefixes.groupBy(*name, "tail").agg(F.min(F.struct(key, "th", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = prefixes.join(firsts, [*name, "tail"]).where(F.struct(key, "th", "idx") > F.col("first"))
+    return again.select(key, "th", (F.col("idx") + F.col("depth") + F.col("more") - 1).alias("idx"))
+
+
 def maximal_runs(gone: Column) -> Column:
     """Structs (first, last) of the runs of consecutive places."""
     starts = F.filter(gone, lambda i: ~F.array_contains(gone, i - 1))

@@ -128,6 +128,34 @@ def test_line_dedup_against_brute_force(spark, sf_small):
     assert line_runs.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def whole_runs(rows, least):
+    """Texts without the maximal runs of lines that begin anywhere, have `least` characters and stand at an earlier place."""
+    bare = {k: [x.strip(" \t\r") for x in t.split("\n") if x.strip(" \t\r")] for k, t in rows}
+    places = [(k, i) for k in sorted(bare) for i in range(len(bare[k]))]
+    gone = {k: set() for k in bare}
+    for n, (k, i) in enumerate(places):
+        for other, j in places[:n]:
+            size = 0
+            while i + size < len(bare[k]) and j + size < len(bare[other]) and bare[k][i + size] == bare[other][j + size]:
+                size += 1
+            if sum(map(len, bare[k][i : i + size])) >= least:
+                gone[k] |= set(range(i, i + size))
+    return {k: "\n".join(x for i, x in enumerate(bare[k]) if i not in gone[k]) for k in bare}
+
+
+def test_whole_maximal_runs_go(spark):
+    rng = random.Random(11)
+    run = ["a" * 120, "b" * 30, "c" * 30]
+    rows = [(1, "\n".join([*run, "one"])), (2, "\n".join(["two", *run, "three"])), (3, "\n".join([*run[:2], "four", "c" * 30]))]
+    got = line_runs.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "two\nthree", 3: "four\n" + "c" * 30}
+    pool = ["p" * 45, "q" * 20, "r" * 9, "s" * 3, "t", "u" * 38, "v" * 12]
+    rows = [(i, "\n".join(rng.choices([*pool, f"own {i}"], k=rng.randint(1, 14)))) for i in range(60)]
+    got = line_runs.deduplicate(spark.createDataFrame(rows, DOCS), min_chars=40).collect()
+    assert {r.doc_id: r.text for r in got} == whole_runs(rows, 40)
+    assert whole_runs(rows, 40) != slow_line_dedup(rows, 40)
+
+
 def test_suffix_ranks_are_in_order(spark):
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choices("abc", k=12))) for i in range(8)]
