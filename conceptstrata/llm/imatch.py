@@ -2,9 +2,9 @@
 
 Terms are runs of letters and digits, lower-cased. The lexicon holds the terms within a band of inverse
 document frequency, counted over all documents. Its randomised subsets lie on levels: level l keeps a term with
-chance 2^-l and deals the kept terms to SLICES subsets. A document uses the LEVELS levels on which its length
-gives a subset a few terms; for each subset that holds any of its terms, the distinct terms are sorted and
-hashed. The fingerprint lists `level.slice:hash`. The likeness of two fingerprints is the share of subsets with
+chance 2^-l and deals the kept terms to SLICES subsets. A document uses LEVELS levels, the lowest by the number of
+its lexicon terms, such that LEAST_TERMS or all of them lie on it; for each subset that holds any of its terms,
+the distinct terms are sorted and hashed. The fingerprint lists `level.slice:hash`. The likeness of two fingerprints is the share of subsets with
 the same hash among the subsets that either has; equal texts have equal fingerprints and likeness 1.
 
 A null text is an empty one. A text without lexicon terms has an empty fingerprint, whose likeness to another
@@ -22,7 +22,7 @@ from conceptstrata.llm.common import Scratch, let
 SLICES = 16
 LEVELS = 3
 TERMS = 24  # terms of a document on its lowest level, about
-CHARS_A_TERM = 10
+LEAST_TERMS = 6
 MAX_SHARE = 0.02  # terms of more than this share of the documents are outside the band
 MIN_DOCS = 1
 WORDS = r"[^\p{L}\p{N}]+"
@@ -34,15 +34,26 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def level_of(chars: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(chars, F.lit(1)) / F.lit(CHARS_A_TERM * TERMS)))).cast("int")
-
-
 def on_level(term: Column, level: Column) -> Column:
     """The lowest `level` bits of the term's hash are zero."""
     return term.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0
 
 
+def lowest_level(terms: Column) -> Column:
+    """The level on which a document of these lexicon terms has half of TERMS to TERMS, about; level 0 has all terms."""
+    aim = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(terms), F.lit(1)) / F.lit(TERMS)))).cast("int")
+    return F.array_max(F.filter(F.sequence(F.lit(0), aim), lambda v: (v == 0) | (F.size(F.filter(terms, lambda t: on_level(t, v))) >= LEAST_TERMS)))
+
+
+def levelled(terms: Column) -> Column:
+    """Structs (level, term) of the lexicon terms on the document's levels."""
+
+    def on(level: Column) -> Column:
+        return F.transform(F.filter(terms, lambda t: on_level(t, level)), lambda t: F.struct(level.alias("level"), t.alias("term")))
+
+    return let(lowest_level(terms), lambda low: F.concat(*[on(low + i) for i in range(LEVELS)]))
+
+
 def lexicon_edges(docs: DataFrame, text: str, max_share: float, min_docs: int) -> tuple[DataFrame, DataFrame | None]:
     """Terms outside the band: the common ones, and those of under `min_docs` documents (None if there is no such bound).
 
@@ -150,31 +161,29 @@ def fingerprints(
         F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("follower"), F.lit(1), half)).alias("edited"),
     ).select("bucket", "at", key, "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"))
 
-    def chosen(column: str, kind: int) -> Column:
-        def of_level(low: Column) -> Column:
-            terms = F.filter(term_hashes(F.col(column)), lambda t: on_level(t, low))
-            return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), low.alias("low"), t.alias("term")))
+    about = F.struct(key, "n_chars", "edited_sha256", "sha")
 
-        return let(level_of(F.length(column)), of_level)
+    def of_kind(column: str, kind: int) -> Column:
+        none = F.when(F.lit(False), about)
+        return F.transform(term_hashes(F.col(column)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"), none.alias("about")))
 
-    none = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("low"), F.lit(None).cast("long").alias("term")))
-    rows = made.select(
-        "bucket", "at", key, "n_chars", "edited_sha256", "sha", F.explode(F.concat(chosen("text", 0), chosen("edited", 1), none)).alias("t")
-    ).select("bucket", "at", key, "n_chars", "edited_sha256", "sha", "t.*")
+    # Every lexicon term is needed to choose the level. One row a document has the other columns, so that the rest are narrow.
+    one = F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("term"), about.alias("about")))
+    rows = made.select("bucket", "at", F.explode(F.concat(of_kind("text", 0), of_kind("edited", 1), one)).alias("t")).select("bucket", "at", "t.*")
     # The bound on the common terms is the one in lexicon_edges; beyond it Spark would shuffle for this join.
     outside = F.broadcast(common.withColumn("outside", F.lit(True)))
     rows = rows.join(outside, "term", "left").where("outside is null").drop("outside")
     if rare is not None:
         rows = rows.join(rare, "term", "left_anti")
-    deeper = F.filter(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.col("low") + i), lambda v: on_level(F.col("term"), v))
-    levels = F.transform(deeper, lambda v: F.struct(v.alias("level"), F.col("term").alias("term")))
     groups = rows.groupBy("bucket", "at").agg(
-        F.first(key).alias(key),
-        *[F.first(c).alias(c) for c in ("n_chars", "edited_sha256", "sha")],
-        *[F.flatten(F.collect_list(F.when((F.col("kind") == kind) & F.col("term").isNotNull(), levels))).alias(f"terms{kind}") for kind in (0, 1)],
+        F.first("about", ignorenulls=True).alias("about"), *[F.collect_list(F.when(F.col("kind") == kind, F.col("term"))).alias(f"terms{kind}") for kind in (0, 1)]
     )
     printed = groups.select(
-        "bucket", "at", key, "n_chars", "edited_sha256", "sha", fingerprint_terms(F.col("terms0")).alias("fingerprint"), fingerprint_terms(F.col("terms1")).alias("edited_fingerprint")
+        "bucket",
+        "at",
+        "about.*",
+        fingerprint_terms(levelled(F.col("terms0"))).alias("fingerprint"),
+        fingerprint_terms(levelled(F.col("terms1"))).alias("edited_fingerprint"),
     )
     printed = scratch.keep(printed, "imatch")
     return next_likeness(printed, key)

@@ -275,6 +275,20 @@ def test_fingerprints(spark, sf_small):
     assert imatch.fingerprints(spark.createDataFrame([], DOCS), buckets=3).count() == 0
 
 
+def test_no_document_with_lexicon_terms_has_an_empty_fingerprint(spark):
+    rng = random.Random(12)
+    shared = [f"shared{i}" for i in range(600)]
+    rows = [(i, " ".join(rng.sample([*shared, *[f"own{i}x{j}" for j in range(1 + i)]], 601 + i))) for i in range(60)]
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(spark.createDataFrame(rows, DOCS), buckets=3).collect()}
+    assert all(got.values()) and len(set(got.values())) == len(rows)
+    short = [got[i].split() for i in range(imatch.TERMS)]
+    # All lexicon terms of a document of up to TERMS are on its lowest level.
+    assert all({x.split(".")[0] for x in p} >= {"0"} and sum(x.startswith("0.") for x in p) >= min(i, 3) for i, p in enumerate(short))
+    mixed = spark.createDataFrame([([rng.getrandbits(63) for _ in range(n)],) for n in (1, 5, 24, 25, 300, 5000)], "terms array<long>")
+    for r in mixed.select(F.size("terms").alias("n"), imatch.lowest_level(F.col("terms")).alias("low"), F.size(F.filter(imatch.levelled(F.col("terms")), lambda t: t["level"] == imatch.lowest_level(F.col("terms")))).alias("on")).collect():
+        assert r.on >= min(r.n, imatch.LEAST_TERMS) and (r.low > 0 or r.on == r.n)
+
+
 def words_of(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
 
