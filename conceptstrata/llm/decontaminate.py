@@ -171,5 +171,6 @@ def search(docs: DataFrame, named: list[tuple], schema: T.StructType, max_error:
 
 
 def clean(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without those that hold an item."""
-    return docs.join(found.select(key).distinct(), key, "left_anti")
+    """The documents without those that hold an item; a null key is a key like others."""
+    held = found.select(F.col(key).alias("_held")).distinct()
+    return docs.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")

@@ -30,18 +30,30 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds `row`, the identity of a row: id (nulls last), hashes of the text, other columns. Equal rows share it."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    return docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *hashes, *others))
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=3, radius=3)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    one_each = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return one_each.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each SimHash component stays: the one with the smallest id, and of these with the smallest hash.
+
+    Ids decide nothing else: rows with a null id, or with an id that several share, stay if their texts differ.
+    """
+    rows = with_row(docs)
+    found = simhash.near_duplicates(rows, key="row", shingle=3, radius=3)
+    kept = found.select(F.col("component_id").alias("kept")).distinct()
+    one_each = rows.join(kept, F.col("row").eqNullSafe(F.col("kept")), "left_semi")
+    return one_each.dropDuplicates(["row"]).select(docs.columns)
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"))
-    return decontaminate.clean(docs, found).select(docs.columns)
+    """Rows whose text holds a benchmark item go, whatever their id."""
+    rows = with_row(docs)
+    found = decontaminate.contamination(rows, load(spark, sf_dir, "benchmark"), key="row")
+    return decontaminate.clean(rows, found, key="row").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,24 @@ def test_stages_keep_the_columns(spark, sf_small):
     odd = spark.createDataFrame([(None, "the of and words", "en", None, None), (7, None, None, "s", 0), (7, None, None, "s", 0)], docs.schema)
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, odd, sf_small).count() == (2 if name == "simhash_near_dedup" else 3), name
+
+
+def test_rows_with_null_and_shared_ids(spark, sf_small):
+    docs = load(spark, sf_small, "documents")
+    item = next(r.text for r in load(spark, sf_small, "benchmark").collect() if len(decontaminate.normal(r.text)) >= 60)
+    bird = "a robin sat on the garden wall and sang until the rain began to fall over the hills " * 3
+    ship = "every container ship that enters this harbour has to report its cargo to the customs office first " * 3
+    rock = "granite forms deep below the surface where molten minerals cool slowly for millions of years " * 3
+    moon = "the lunar module left its descent stage behind when both astronauts returned to orbit " * 3
+    rows = [(None, bird), (None, ship), (None, ship), (8, rock), (8, moon), (9, bird), (9, bird)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["simhash_near_dedup"](spark, odd, sf_small).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("9", bird), ("None", ship), ("8", rock), ("8", moon)])
+    leaked = f"{rock} {item} {rock}"
+    rows = [(None, leaked), (None, ship), (8, leaked), (8, moon), (9, bird)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = stages["benchmark_decontamination"](spark, odd, sf_small).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", ship), ("8", moon), ("9", bird)])
+    found = decontaminate.contamination(odd, load(spark, sf_small, "benchmark"))
+    assert {r.doc_id for r in decontaminate.clean(odd, found).collect()} == {9}
