@@ -20,10 +20,48 @@ from conceptstrata.llm.common import let
 ROUNDS = 8
 DIGIT, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# Characters of an account number, by country (IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers of their country's length, in one piece or in groups of four; else of any length.
+
+    A number ends where its length says, whatever words or numbers follow.
+    """
+
+    def body(size: int) -> str:
+        groups, rest = divmod(size - 4, 4)
+        return rf"(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = "|".join(rf"(?:{'|'.join(countries.split())})\d{{2}}{body(size)}" for size, countries in IBAN_LENGTHS.items())
+    others = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:(?:{known})(?![A-Za-z0-9])|{others}(?![A-Za-z0-9]))"
+
+
 # In order of preference where several could begin at the same place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": iban_pattern(),
     "secret": r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\d|\.\d)",

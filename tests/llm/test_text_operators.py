@@ -147,3 +147,29 @@ def test_pseudonyms_are_a_permutation(spark):
     for values in (days, cards):
         got = pseudonyms_of(spark, values)
         assert len(set(got)) == len(values) and {len(g) for g in got} == {len(values[0])}
+
+
+def account(rng, country, size):
+    body = "".join(rng.choices("0123456789", k=size - 4))
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
+def is_account(bare):
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    rng = random.Random(13)
+    numbers = [account(rng, c, n) for c, n in (("AT", 20), ("BE", 16), ("ES", 24), ("LU", 20), ("PL", 28), ("DE", 22), ("NO", 15), ("XX", 24))]
+    assert is_account("AT611904300234573201")
+    cases = []
+    for number in ["AT611904300234573201", *numbers]:
+        grouped = " ".join(number[i : i + 4] for i in range(0, len(number), 4))
+        after = ["", ", x"] if number[:2] == "XX" else ["", " BIC", " EUR 50", " 2024 OK", f" {grouped}", " A", ". B"]
+        cases += [(f"to {form}", form, end) for form in (number, grouped) for end in after]
+    got = pseudonyms_of(spark, [start + end for start, _, end in cases])
+    for (start, form, end), text in zip(cases, got, strict=True):
+        new = text[3 : 3 + len(form)]
+        assert len(text) == len(start + end) and new != form and is_account(new.replace(" ", "")), (start, end, text)
+        assert form not in text and (text.endswith(end) or is_account(end.replace(" ", ""))), (start, end, text)
