@@ -51,3 +51,16 @@ def test_rows_with_null_and_shared_ids(spark, sf_small):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", ship), ("8", moon), ("9", bird)])
     found = decontaminate.contamination(odd, load(spark, sf_small, "benchmark"))
     assert {r.doc_id for r in decontaminate.clean(odd, found).collect()} == {9}
+
+
+def test_run_deletes_whole_runs(spark, sf_small):
+    from test_corpus_operators import whole_runs
+
+    docs = load(spark, sf_small, "documents")
+    kept = {r.doc_id: r.text for r in language.predict(docs, language.fit(docs)).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    texts = whole_runs(sorted(kept.items()), 100)
+    prints = {d: slow_fingerprint(t) for d, t in texts.items()}
+    roots = roots_of(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    items = [decontaminate.normal(r.text) for r in load(spark, sf_small, "benchmark").collect()]
+    clean = {d for d, t in texts.items() if roots[d] == d and not any(i in decontaminate.normal(t) for i in items)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_small).collect()} == clean
