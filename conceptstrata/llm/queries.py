@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.llm import decontaminate, html_text, imatch, language, line_runs, packing, passages, pseudonyms, simhash, token_files
+from conceptstrata.llm import (
+    conversation_repair,
+    decontaminate,
+    divergence,
+    html_text,
+    imatch,
+    language,
+    line_runs,
+    oracles,
+    packing,
+    passages,
+    pseudonyms,
+    sharding,
+    simhash,
+    token_files,
+)
 from conceptstrata.llm.common import load
 from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
@@ -70,3 +85,41 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held_out))
     named = language.predict(docs.select("doc_id", "text"), model)
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query("op11_histogram_sort_shards", oracles.SHARDS)
+def op11_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(load(spark, sf_dir, "documents"), shards=16)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return placed.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The conversations of the contract: some rows dropped, emptied, cut, repeated or given to the user."""
+    blank = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    kind = F.col("kind")
+    return rows.withColumn("kind", F.crc32(name.cast("binary")) % 20).where("kind <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+
+
+@query("op12_conversation_repair", oracles.REPAIR)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.report(conversation_repair.repair(damaged(rows)))
+    every = rows.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+@query("op13_source_divergence", oracles.DIVERGENCE)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
