@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conceptstrata.llm.common import short_batches
-
 from conceptstrata.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
 
-def encode(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int) -> DataFrame:
-    """(key, n_tokens, ids) per row, in the order of the input's partitions."""
-    schema = docs.select(key).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
+def encode(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int, *others: str) -> DataFrame:
+    """(key, other columns, n_tokens, ids) per row, in the order of the input's partitions."""
+    schema = docs.select(key, *others).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
+    last = 1 + len(others)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,13 +39,13 @@ def encode(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # short batches out: a row can hold many ids
                 rows = batch.slice(at, 256)
-                packed = [ids + end for ids in encode_all(t.as_py() for t in rows.column(1))]
+                packed = [ids + end for ids in encode_all(rows.column(last).to_pylist())]
                 sizes = np.array([len(p) // 4 for p in packed], np.int64)
                 cuts = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
                 ids = pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), ids], schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:last], pa.array(sizes), ids], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, *others, text).mapInArrow(run, schema)
 
 
 def write(
@@ -65,12 +66,16 @@ def write(
     # Range bounds that are values, not partition numbers: a task that runs again deals rows alike.
     probs = [i / files for i in range(1, files)]
     bounds = sorted(set(docs.agg(F.percentile_approx(key, probs, 10_000)).first()[0] or [])) if probs else []
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    ranged = docs.select(key, text).withColumn("part", F.coalesce(at, F.lit(0)).cast("int"))
-    sorted_rows = ranged.repartitionByRange(files, "part").sortWithinPartitions("part", key, text).drop("part")
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:  # a binary search, as there may be many bounds
+        return pd.Series(np.searchsorted(np.array(bounds), keys.to_numpy(), side="right").astype(np.int32))
+
+    part = F.when(F.col(key).isNull(), 0).otherwise(place(F.coalesce(key, F.lit(bounds[0])))) if bounds else F.lit(0)
+    ranged = docs.select(key, text).withColumn("part", part)
+    sorted_rows = ranged.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", key, text)
     (
-        encode(sorted_rows, tokenizer, key, text, end_id)
-        .withColumn("part", F.coalesce(at, F.lit(0)).cast("int"))
+        encode(sorted_rows, tokenizer, key, text, end_id, "part")
         .write.option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "false")
         .option("parquet.block.size", row_group_bytes)

@@ -1,39 +1,63 @@
 """Token ids of whole texts, word by word through a public tokenizer.
 
-Both vocabularies cut texts into words before merging, so a text's ids are the ids of its words in order.
-Texts repeat their words: a bounded table holds words already encoded, and the words of a block of texts that
-it lacks are encoded together. The ids are those of encoding the text as a whole, which the tests check.
+Both vocabularies cut texts into words before merging, so a text's ids are the ids of its words in order. Texts repeat
+their words: a bounded table holds words already encoded, in two generations, so that words which still occur stay and
+others make room. A word of letters goes straight to the merges of the library, which is several times cheaper than
+its whole chain of steps; other words go through all of it. The ids are those of encoding the text as a whole,
+which the tests check.
 """
 
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from struct import Struct
 
 import numpy as np
 
-TABLE_WORDS = 400_000  # words kept by a Python worker; further ones are encoded whenever they come
-SPACED_WORDS = 800_000  # of the dearer vocabulary
-BLOCK_CHARS = 1 << 20
-CONTROLS = re.compile("[\x01\x1c-\x1f]")  # the separator below, and what only Python takes for white space
-MARKS = ".,;:!?"
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+TABLE_WORDS = 600_000  # words kept by a Python worker, some 200 bytes each
+CONTROLS = re.compile("[\x1c-\x1f]")  # what only Python takes for white space
+MARK = "\x00"  # before a mark that follows a letter and stands by itself in the table
+TAIL_RUNS = 20_000  # runs of punctuation kept
+MARKED = re.compile("(?<=[a-z])([.,;:!?]) ")
+# ASCII punctuation but the apostrophe, which belongs to the letters after it in some vocabularies.
+TAIL = r"[!-&(-/:-@\[-`{-~]+"
+# Letters that are one character in every normal form, and whose lower case is one letter.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+WORD_AND_TAIL = re.compile(f"({LETTERS.pattern})({TAIL})")
 # Fixed rule of byte-level vocabularies: bytes without a printable Latin-1 character are named from U+0100 on.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
-SEPARATOR = "\x01"
-JOINED = 64  # words in one text; longer texts cost the library more a word
+BLANK = chr(BYTE_NAMES[0x20])
+PACKERS = [Struct(f"<{n}I").pack for n in range(64)]
+
+
+class Words(dict):
+    """Ids by word, encoded when first met. A full table becomes the old one, and words found there move back."""
+
+    def __init__(self, encode: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.encode, self.half, self.old = encode, max(1, room // 2), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    spaced=False: white space only separates words (word_bpe). spaced=True: a blank belongs to the word after
-    it (byte_bpe), and texts are cut only at single blanks, which no piece of the pre-tokenizer straddles.
-    Texts with other white space than single blanks and line ends are encoded as a whole, and names of
-    special tokens are ordinary text.
+    spaced=False: white space only separates words, and case is folded (word_bpe). spaced=True: a blank belongs to the
+    word after it (byte_bpe), and texts are cut only at single blanks and line ends, which no piece of the
+    pre-tokenizer straddles. Texts with other white space are encoded as a whole, and names of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -41,101 +65,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.room = spaced, SPACED_WORDS if spaced else TABLE_WORDS
-        self.table: dict[str, bytes] = {}
-        self.marks = {mark: self.whole(mark) for mark in MARKS}
+        self.merge = self.tokenizer.model.tokenize
+        self.spaced = spaced
+        self.tails = Words(self.whole, TAIL_RUNS)
+        self.newline = self.whole("\n") if spaced else b""
+        self.table = Words(self._spaced_word if spaced else self._word, TABLE_WORDS)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        block, size = [], 0
-        for text in texts:
-            block.append(text or "")
-            size += len(block[-1])
-            if size >= BLOCK_CHARS:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
+        one = self._spaced_text if self.spaced else self._text
+        return (one(text or "") for text in texts)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
-        """The words of a text, None if it must be encoded as a whole. A line end belongs to the word after it."""
-        if self.spaced:
-            # Only single blanks and line ends inside the text: then it is its words, joined by them.
-            plain = text and " ".join(text.split()) == text.replace("\n", " ")
-            return text.replace("\n", " \n").split(" ") if plain else None
-        return None if CONTROLS.search(text) else text.split()
-
-    def _block(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [self._words(text) for text in texts]
-        rest = [words[1:] if self.spaced and words else words or [] for words in cut]
-        missing = set().union(*rest).difference(self.table)
-        fresh = self._encode_missing(missing)
-        table = self.table
-        if len(table) + len(fresh) <= self.room:
-            table.update(fresh)
-        else:
-            table = {w: self.table[w] for w in set().union(*rest).difference(missing)} | fresh
-        for text, words, later in zip(texts, cut, rest, strict=True):
-            packed = b"".join(map(table.__getitem__, later))
-            if words is None:
-                packed = self.whole(text)
-            elif self.spaced:
-                packed = self.whole(words[0]) + packed
-            yield packed
-
-    def _encode_missing(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of the words; a mark after a letter is a word of its own to both vocabularies."""
-        marked = [w for w in missing if len(w) > 1 and w[-1] in MARKS and w[-2].isalpha()]
-        stems = missing.difference(marked).union({w[:-1] for w in marked}).difference(self.table)
-        words = list(stems)
-        fresh = dict(zip(words, self._encode_words(words), strict=True))
-        for w in marked:
-            stem = w[:-1]
-            fresh[w] = (fresh.get(stem) or self.table[stem]) + self.marks[w[-1]]
-        return fresh
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from a few long texts in which a separator of one id stands between the words."""
-        if not self.spaced:
-            return self._separated(words, f" {SEPARATOR} ", SEPARATOR)
-        letters = [i for i, w in enumerate(words) if LETTERS.fullmatch(w)]
-        if len(letters) < len(words):
-            others = sorted(set(range(len(words))).difference(letters))
-            out = dict(zip(others, self._encode_spaced([words[i] for i in others]), strict=True))
-        else:
-            out = {}
-        merge = self.tokenizer.model.tokenize
-        for i in letters:
-            # A blank and letters are one piece to the pre-tokenizer, which only names its bytes.
-            named = (" " + words[i]).encode().decode("latin-1").translate(BYTE_NAMES)
-            out[i] = struct.pack(f"<{len(ids := [t.id for t in merge(named)])}I", *ids)
-        return [out[i] for i in range(len(words))]
-
-    def _encode_spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words of any characters, with the blank or line end before them."""
-        lines = [i for i, w in enumerate(words) if w[:1] == "\n"]
-        plain = [i for i, w in enumerate(words) if w[:1] != "\n"]
-        out = [b""] * len(words)
-        for i, packed in zip(plain, self._separated([" " + words[i] for i in plain], "\n", "\n"), strict=True):
-            out[i] = packed
-        newline = self.whole("\n")
-        for i, packed in zip(lines, self._separated([words[i][1:] for i in lines], "\n", "\n"), strict=True):
-            out[i] = newline + packed
-        return out
-
-    def _separated(self, words: list[str], between: str, separator: str) -> list[bytes]:
-        if not words:
-            return []
-        stop = np.frombuffer(self.whole(separator), "<u4")
-        texts = [between.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        out = []
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            packed = np.array(found.ids, "<u4")
-            ends = (4 * np.flatnonzero(packed == stop[0])).tolist()
-            raw = packed.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
-        return out
+    def _text(self, text: str) -> bytes:
+        if CONTROLS.search(text):
+            return self.whole(text)
+        # Only A-Z here: the library folds the case of all other characters by itself. A mark after a letter is a piece
+        # of its own, so it need not be kept with every word that it follows.
+        folded = MARKED.sub(r" \1 ", text.encode().lower().decode())
+        return b"".join(map(self.table.__getitem__, folded.split()))
+
+    def _spaced_text(self, text: str) -> bytes:
+        # Only single blanks and line ends inside the text: then it is its words, joined by them.
+        if not text or " ".join(text.split()) != text.replace("\n", " "):
+            return self.whole(text)
+        if MARK in text:
+            return self.whole(text)
+        first, *rest = MARKED.sub(f" {MARK}\\1 ", text.replace("\n", " \n")).split(" ")
+        return self.whole(first) + b"".join(map(self.table.__getitem__, rest))
+
+    def _letters(self, letters: str, blank: bool = False) -> bytes:
+        """Ids of letters, after a blank or not: a single piece to the pre-tokenizer, which names its bytes."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = [token.id for token in self.merge(BLANK + letters if blank else letters)]
+        return PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else np.array(ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if LETTERS.fullmatch(word):
+            return self._letters(word.lower())
+        parts = WORD_AND_TAIL.fullmatch(word)  # the pre-tokenizer cuts between letters and punctuation
+        return self.table[parts[1]] + self.tails[parts[2]] if parts else self.whole(word)
+
+    def _spaced_word(self, word: str) -> bytes:
+        """A word with the blank before it; a line end before a word takes the place of the blank."""
+        if LETTERS.fullmatch(word):
+            return self._letters(word, blank=True)
+        if word[:1] == MARK:
+            return self.tails[word[1:]]
+        line = word[:1] == "\n"
+        bare = word[1:] if line else word
+        if line and LETTERS.fullmatch(bare):
+            return self.newline + self._letters(bare)
+        parts = WORD_AND_TAIL.fullmatch(bare)
+        if parts:
+            return self.table["\n" + parts[1] if line else parts[1]] + self.tails[parts[2]]
+        return self.newline + (self.whole(bare) if bare else b"") if line else self.whole(" " + word)
 
 
 @lru_cache(maxsize=4)
