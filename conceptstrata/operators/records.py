@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptstrata.functions import keys, text
+from conceptstrata.operators.lookup import rows_with_keys
 from conceptstrata.schemas import STATUSES
 
 
@@ -89,8 +90,8 @@ def missing_ids(candidates: DataFrame, stored: DataFrame, key: str = "arxiv_id")
 
 
 def with_ids(papers: DataFrame, ids: DataFrame, key: str = "arxiv_id") -> DataFrame:
-    """Rows whose key is in the given list."""
-    return papers.join(ids.select(key), key, "left_semi")
+    """Rows whose key is in the given list; the papers stay where they lie."""
+    return rows_with_keys(papers, ids, key)
 
 
 def pending(papers: DataFrame, num_shards: int = 1, shard_id: int = 0) -> DataFrame:

@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from conceptstrata.functions.vectors import scaled_cosine, scaled_inner_product
 from conceptstrata.operators.distances import no_rows
 from conceptstrata.operators.encode import drop_smallest
+from conceptstrata.operators.lookup import joined_by_key
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 from conceptstrata.session import task_count
 
@@ -356,10 +356,9 @@ def hybrid_search(
 
 
 def attach_metadata(hits: DataFrame, papers: DataFrame) -> DataFrame:
-    """Hits with title, abstract, category and date. The hits are the small side."""
-    return papers.select("arxiv_id", "title", "abstract", "primary_category", "published_date").join(
-        broadcast_checked(hits), "arxiv_id"
-    )
+    """Hits with title, abstract, category and date; papers that are no hits are left out where they are read."""
+    found = hits.persist()  # counted first, then joined
+    return joined_by_key(papers.select("arxiv_id", "title", "abstract", "primary_category", "published_date"), found, "arxiv_id")
 
 
 def restrict(papers: DataFrame, year: int | None = None, category: str | None = None) -> DataFrame:
@@ -380,9 +379,3 @@ def known_item_rank(hits: DataFrame, targets: DataFrame) -> DataFrame:
             "reciprocal_rank": F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)),
         }
     )
-
-
-def rerank(hits: DataFrame) -> DataFrame:
-    """Recompute ranks by score, for instance after a filter."""
-    w = W.partitionBy("query_id").orderBy(*best_first())
-    return hits.withColumn("rank", F.row_number().over(w))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conceptstrata.functions.keys import md5_shard
+from conceptstrata.functions.keys import hash60, md5_shard
 from conceptstrata.operators import encode, records, sampling
+from conceptstrata.operators.lookup import rows_with_keys
 from conceptstrata.operators.ranking import latest_by_key
 from conceptstrata.plans import adapters
-from conceptstrata.plans.registry import HASH, PAPERS, VECTORS, WORDS, query
+from conceptstrata.plans.registry import ENCODED, HASH, PAPERS, VECTORS, WORDS, hashed, query
 from conceptstrata.session import new_path
 from conceptstrata.sources import csv_files, json_lines, tables
 from conceptstrata.streaming import feeds
@@ -258,6 +259,93 @@ def upsert_moved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_VECTOR_VALUES = "round(list_sum(v.v), 6) AS total, round(v.v[1], 6) AS first_value"
+
+
+def _vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<float>"))
+    return records.with_vector_keys(
+        adapters.table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").cast("string").alias("arxiv_id"),
+            F.col("embedding").alias("dense_vector"),
+            empty.alias("sparse_vector"),
+            F.lit("none").alias("primary_category"),
+            adapters.paper_date(F.col("vec_id")).alias("published_date"),
+        )
+    )
+
+
+def _vector_values(vectors: DataFrame) -> DataFrame:
+    total = F.aggregate("dense_vector", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    first = F.col("dense_vector")[0].cast("double")
+    return vectors.select(
+        "paper_id", "arxiv_id", F.col("publication_year").cast("int").alias("publication_year"),
+        F.round(total, 6).alias("total"), F.round(first, 6).alias("first_value"),
+    )
+
+
+@query("versioned_upsert_papers", f"""
+WITH {PAPERS}
+SELECT p.arxiv_id, CASE WHEN l.doc_id IS NULL THEN p.title ELSE 'second' END AS title, md5(p.abstract) AS abstract_md5,
+  CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'embedded' END AS processed_status
+FROM papers p LEFT JOIN labels l USING (doc_id)
+""")
+def versioned_upsert_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all papers, then replace the labelled ones; the batch names each of them twice, the later one counts."""
+    stored = tables.versioned_papers(spark, new_path(spark, "papers"), buckets=8)
+    papers = adapters.papers(spark, sf_dir).withColumn("line_no", F.lit(0))
+    stored.upsert(papers, latest="line_no")
+    labelled = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("arxiv_id"))
+    revised = records.with_ids(papers, labelled).withColumn("processed_status", F.lit("embedded"))
+    lines = F.explode(F.array(F.struct(F.lit("second").alias("title"), F.lit(2).alias("line_no")), F.struct(F.lit("first").alias("title"), F.lit(1).alias("line_no"))))
+    stored.upsert(revised.drop("title", "line_no").select("*", lines.alias("line")).select("*", "line.*"), latest="line_no")
+    return stored.read().select("arxiv_id", "title", F.md5("abstract").alias("abstract_md5"), "processed_status")
+
+
+@query("versioned_moved_vectors", f"""
+WITH {VECTORS}
+SELECT {HASH.format(text='v.arxiv_id')} AS paper_id, v.arxiv_id,
+  CAST(CASE WHEN l.doc_id IS NULL THEN v.year ELSE 2030 END AS INTEGER) AS publication_year, {_VECTOR_VALUES}
+FROM vectors v LEFT JOIN labels l ON l.doc_id = v.vec_id
+""")
+def versioned_moved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all vectors, then move the labelled ones to another year in three batches."""
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=8)
+    rows = _vector_rows(spark, sf_dir)
+    stored.upsert(rows, latest="publication_year")
+    labels = adapters.table(spark, sf_dir, "labels")
+    for batch in range(3):
+        ids = labels.where(F.col("doc_id") % 3 == batch).select(F.col("doc_id").cast("string").alias("arxiv_id"))
+        stored.upsert(records.with_ids(rows, ids).withColumn("publication_year", F.lit(2030)), latest="publication_year")
+    return _vector_values(stored.read())
+
+
+@query("versioned_lookup", f"""
+WITH {VECTORS}
+SELECT {HASH.format(text='v.arxiv_id')} AS paper_id, v.arxiv_id, CAST(v.year AS INTEGER) AS publication_year, {_VECTOR_VALUES}
+FROM vectors v WHERE vec_id IN (SELECT doc_id FROM labels)
+""")
+def versioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the labelled papers, from a base and a delta that replaces every second row by itself."""
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=8)
+    rows = _vector_rows(spark, sf_dir)
+    stored.upsert(rows, latest="publication_year")
+    stored.upsert(rows.where(F.col("paper_id") % 2 == 0), latest="publication_year")
+    ids = adapters.table(spark, sf_dir, "labels").select(hash60(F.col("doc_id").cast("string")).alias("paper_id"))
+    return _vector_values(stored.lookup(ids))
+
+
+@query("bitmap_lookup", f"""
+WITH {PAPERS}
+SELECT arxiv_id, title, md5(abstract) AS abstract_md5 FROM papers WHERE doc_id IN (SELECT doc_id FROM labels)
+""")
+def bitmap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of a list that is treated as too long to broadcast."""
+    ids = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("arxiv_id"))
+    papers = adapters.papers(spark, sf_dir).select("arxiv_id", "title", "abstract")
+    return rows_with_keys(papers, ids, "arxiv_id", max_rows=0).select("arxiv_id", "title", F.md5("abstract").alias("abstract_md5"))
+
+
 @query("missing_ids", """
 SELECT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
@@ -437,3 +525,34 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("dense_vector").cast("bigint").alias("dims"),
         F.size("sparse_vector").cast("bigint").alias("n_tokens"),
     )
+
+
+@query("stream_ingest_versioned", _EXPECTED_CLEAN)
+def stream_ingest_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records twice, the second time as they should be, in two runs of the feed into a versioned table."""
+    stored = tables.versioned_papers(spark, new_path(spark, "streamed"), buckets=4)
+    source, progress = new_path(spark, "records"), new_path(spark, "progress")
+    for title in (F.lit("draft"), F.col("title")):
+        adapters.records(spark, sf_dir).withColumn("title", title).write.mode("append").json(source)
+        feeds.ingest_feed(spark, source, stored, progress).awaitTermination()
+    return _clean_view(stored.read())
+
+
+@query("stream_encode_versioned", f"""
+WITH {ENCODED}, dense AS ({hashed('tf', 'arxiv_id', 64)})
+SELECT arxiv_id, CAST(year(published_date) AS INTEGER) AS publication_year, dim, round(x, 6) AS x
+FROM dense JOIN papers USING (arxiv_id) WHERE round(x, 6) <> 0
+""")
+def stream_encode_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the papers, then all of them: the feed encodes those that are not stored. The values are compared."""
+    stored = tables.versioned_vectors(spark, new_path(spark, "streamed"), buckets=4)
+    source, progress = new_path(spark, "papers"), new_path(spark, "progress")
+    papers = adapters.papers(spark, sf_dir)
+    for batch in (papers.where(F.col("arxiv_id").cast("bigint") % 2 == 0), papers):
+        batch.write.mode("append").parquet(source)
+        feeds.encode_feed(spark, source, stored, progress, lambda rows: encode.hash_encode_papers(rows, 64)).awaitTermination()
+    values = stored.read().select("arxiv_id", "publication_year", F.posexplode("dense_vector").alias("dim", "x"))
+    return values.select(
+        "arxiv_id", F.col("publication_year").cast("int").alias("publication_year"), F.col("dim").cast("bigint").alias("dim"),
+        F.round(F.col("x").cast("double"), 6).alias("x"),
+    ).where(F.col("x") != 0)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from conceptstrata import schemas
 from conceptstrata.functions.keys import hash60
+from conceptstrata.operators.lookup import in_partitions, rows_with_keys
 from conceptstrata.operators.ranking import latest_by_key
 from conceptstrata.session import new_path
+from conceptstrata.sources.versioned import VersionedTable, create_table, ordered_columns
 
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 BUCKETS_PROPERTY = "conceptstrata.buckets"
@@ -64,20 +66,20 @@ def with_bucket(rows: DataFrame, table: str) -> DataFrame:
 def upsert(table: str, rows: DataFrame, key: str, latest: str | None = None, rows_move: bool = False) -> None:
     """Insert or replace rows by key; only the partitions concerned are rewritten.
 
-    `latest` names the column whose largest value wins where `rows` holds a key twice. `rows_move`
+    `latest` names the column whose largest value wins where `rows` holds a key twice; among equal ones, and
+    without it, the row with the largest values does, so that a repeated run picks the same. `rows_move`
     says that a key may change partition (another publication year): the partitions that now hold
     the keys are then found by a scan of the key column and rewritten as well. Running the same
-    upsert again leaves the same table, so a failed run is simply repeated. One writer at a time.
+    upsert again leaves the same table, so a failed run is simply repeated. One writer at a time, and a reader may
+    see rows that moved in both partitions until the old one is dropped: `versioned` tables do not have this.
     """
     spark = rows.sparkSession
     target = read(spark, table)
     columns = target.columns
     partition = next(c.name for c in spark.catalog.listColumns(table) if c.isPartition)
 
-    if latest is None:
-        rows = rows.select(*columns).dropDuplicates([key])
-    else:
-        rows = latest_by_key(rows, key, [F.desc(latest)]).select(*columns)
+    order = [latest] if latest else []
+    rows = latest_by_key(rows, key, [F.desc_nulls_last(c) for c in [*order, *ordered_columns(target.schema)]]).select(*columns)
     # Read several times below; the written copy also pins down what is being merged.
     stage = new_path(spark, "upsert")
     rows.write.parquet(stage)
@@ -125,6 +127,21 @@ def materialise_once(df: DataFrame, table: str, path: str | None = None) -> Data
 
 
 def fetch_vectors(vectors: DataFrame, ids: DataFrame, *fields: str) -> DataFrame:
-    """Chosen vector fields of the listed arxiv ids, found by their hashed key."""
-    wanted = ids.select(hash60(F.col("arxiv_id")).alias("paper_id")).distinct()
-    return vectors.join(wanted, "paper_id", "left_semi").select("arxiv_id", *fields)
+    """Chosen vector fields of the listed arxiv ids, found by their hashed key.
+
+    Where the list also names publication years, only these partitions are read.
+    """
+    if "publication_year" in ids.columns:
+        vectors = in_partitions(vectors, ids, "publication_year")
+    wanted = ids.select(hash60(F.col("arxiv_id")).alias("paper_id"))
+    return rows_with_keys(vectors.select("paper_id", "arxiv_id", *fields), wanted, "paper_id").select("arxiv_id", *fields)
+
+
+def versioned_papers(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTable:
+    """Papers whose upserts write about the bytes of their rows."""
+    return create_table(spark, path, schemas.PAPERS, "arxiv_id", buckets)
+
+
+def versioned_vectors(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTable:
+    """Vectors in the order of their year within a bucket: a year range skips row groups, and a paper may change its year."""
+    return create_table(spark, path, schemas.VECTORS, "paper_id", buckets, order=["publication_year", "paper_id"])
