@@ -5,8 +5,10 @@ in k = floor(m * max_error) edits from a passage of the document. Cut into k + 1
 must then occur unchanged (pigeonhole); one automaton over the pieces of a block of items finds all exact piece
 hits of a document in one pass, and each hit's surroundings are verified with Myers' bit-parallel distance.
 
-Items and documents that are null, and items shorter than `min_chars`, match nothing. Repeated items and rows
-are matched each for itself. The items are taken in blocks of bounded size, each a pass over the documents.
+Items shorter than `min_chars` must occur unchanged, as whole words. Items and documents that are null or blank match
+nothing, and empty tables give no rows. Repeated items and rows are matched each for itself, null keys included. A text
+is searched as a whole, in one task. Other columns are not read. The items are taken in blocks of bounded size, each
+a pass over the documents.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql import types as T
 
 from conceptstrata.llm.common import short_batches
 
-
 MAX_ERROR = 0.06
 MIN_CHARS = 32
 BLOCK_ITEMS = 2_000
@@ -68,14 +69,21 @@ def best_match(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def stands_alone(text: str, begin: int, end: int) -> bool:
+    """No letter or digit goes on at either end of the passage."""
+    before, after = text[begin - 1 : begin], text[end : end + 1]
+    return not (before.isalnum() and text[begin].isalnum()) and not (after.isalnum() and text[end - 1].isalnum())
+
+
 class Index:
     """An automaton over the pieces of a block of items."""
 
-    def __init__(self, items: tuple[str, ...], max_error: float):
+    def __init__(self, items: tuple[str, ...], max_error: float, min_chars: int):
         import ahocorasick
 
         self.items = items
-        self.budgets = [int(len(item) * max_error) for item in items]
+        self.exact = [len(item) < min_chars for item in items]
+        self.budgets = [0 if exact else int(len(item) * max_error) for item, exact in zip(items, self.exact, strict=True)]
         self.automaton = ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
@@ -97,7 +105,11 @@ class Index:
         for i, starts in sorted(hits.items()):
             item, budget = self.items[i], self.budgets[i]
             found = None
-            begin = None
+            if self.exact[i]:
+                begin = min((b for b in starts if stands_alone(text, b, b + len(item))), default=None)
+                if begin is not None:
+                    yield i, 0, begin, begin + len(item)
+                continue
             spans: list[list[int]] = []
             for begin in sorted(starts):
                 if spans and begin - budget <= spans[-1][1]:
@@ -115,8 +127,8 @@ class Index:
 
 
 @lru_cache(maxsize=2)
-def index(items: tuple[str, ...], max_error: float) -> Index:
-    return Index(items, max_error)
+def index(items: tuple[str, ...], max_error: float, min_chars: int) -> Index:
+    return Index(items, max_error, min_chars)
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
@@ -145,17 +157,17 @@ def contamination(
     found = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark, item_key, item_text):
         named = [(row[0], normal(row[1])) for row in block]
-        named = sorted(((i, t) for i, t in named if len(t) >= min_chars), key=lambda x: (x[1], str(x[0])))
+        named = sorted(((i, t) for i, t in named if t), key=lambda x: (x[1], str(x[0])))
         if named:
-            found = found.unionByName(search(docs.select(key, text), named, schema, max_error))
+            found = found.unionByName(search(docs.select(key, text), named, schema, max_error, min_chars))
     return found
 
 
-def search(docs: DataFrame, named: list[tuple], schema: T.StructType, max_error: float) -> DataFrame:
+def search(docs: DataFrame, named: list[tuple], schema: T.StructType, max_error: float, min_chars: int) -> DataFrame:
     ids, items = [i for i, _ in named], tuple(t for _, t in named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index(items, max_error)
+        own = index(items, max_error, min_chars)
         for batch in batches:
             rows, out = [], []
             for r, value in enumerate(batch.column(1)):

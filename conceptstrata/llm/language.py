@@ -6,7 +6,8 @@ estimates the proportions, and the set of languages grows only while the log-lik
 penalty per language. The prediction is the language with the largest share; the score is that share.
 
 A null text, or one without letters, is `und` with score 0. Rows without language are not learned from. With
-nothing to learn from, every text is `und`. Repeated rows count as often as they occur.
+nothing to learn from, every text is `und`. Repeated rows count as often as they occur. A null key is learned from like
+others. Whole texts are learned from and read, in one task each. Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from conceptstrata.llm.common import short_batches, small_side
 
 BUCKETS = 1 << 16  # hashed n-grams of a language
 SAMPLE = 2_000  # texts learned from per language, the bound (in the mean) of the fitted sample
-SAMPLE_CHARS = 20_000  # of each of them
 SMOOTHING = 0.5
 FLOOR = 12.0  # a word is at most this much (in nats) less likely in one language than in the best one
 PENALTY = 6.0  # nats that a further language must gain, times the logarithm of the number of words
-ROUNDS, FIRST_ROUNDS = 12, 3
-LEAST_SHARE = 0.03  # a further language that has less after the first rounds is dropped
+ROUNDS = 12
 KNOWN_WORDS = 150_000
 BLOCK_CHARS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
@@ -66,7 +65,7 @@ def sample(docs: DataFrame, lang: str, text: str, key: str) -> DataFrame:
     counts = named.groupBy(F.col(lang).alias("_lang")).count().select("_lang", (F.lit(SAMPLE) / F.col("count")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = named.join(small_side(counts), F.col(lang) == F.col("_lang")).where(draw < F.col("_share"))
-    return chosen.select(lang, F.substring(text, 1, SAMPLE_CHARS).alias(text))
+    return chosen.select(lang, text)
 
 
 def count_grams(rows: DataFrame, lang: str, text: str) -> DataFrame:
@@ -158,9 +157,7 @@ def select_languages(likely: np.ndarray) -> tuple[list[int], np.ndarray]:
         for extra in np.flatnonzero(slope > penalty):
             trial = [*chosen, int(extra)]
             some = np.ascontiguousarray(likely[:, trial])
-            begun, _ = fit_shares(some, np.append(shares * 0.9, 0.1).astype(likely.dtype), FIRST_ROUNDS)
-            if begun[-1] >= LEAST_SHARE:
-                fitted.append((trial, *fit_shares(some, begun, ROUNDS - FIRST_ROUNDS)))
+            fitted.append((trial, *fit_shares(some, np.append(shares * 0.9, 0.1).astype(likely.dtype), ROUNDS)))
         best = max(fitted, key=lambda f: f[2], default=None)
         if best is None or best[2] - value <= penalty:
             break

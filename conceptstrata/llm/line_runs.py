@@ -13,6 +13,8 @@ and those that an earlier copy has as well are deleted too. So every line of a m
 
 A null text stays null. Blank lines stay where they are, unless everything else in the document goes: then the
 text is empty. Rows with the same key and text are one document to the counts, and each keeps its row.
+A null key is a key, the smallest. An empty table gives no rows. However long a text, its lines are rows of their own
+until the kept ones are joined again. A column named `runs` is replaced; other extra columns pass.
 """
 
 from __future__ import annotations
@@ -114,10 +116,12 @@ def intervals(lines: DataFrame, key: str, min_chars: int, scratch: Scratch) -> D
             key, "th", "idx", "depth", "tail", F.lit(k).alias("k"), F.col("r").alias("ra"), F.try_element_at(at_end, F.lit(1))["r"].alias("rb")
         )
         found = settled if found is None else found.unionByName(settled)
-        deeper = state.where(F.col("depth") >= 2 * k).select(key, "th", "chain").distinct()
+        deeper = state.where(F.col("depth") >= 2 * k).select(F.col(key).alias("_key"), F.col("th").alias("_th"), F.col("chain").alias("_chain"))
+        deeper = deeper.distinct()
         if deeper.isEmpty():
             return found
-        going = state.join(deeper, [key, "th", "chain"])
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("th") == F.col("_th")) & (F.col("chain") == F.col("_chain"))
+        going = state.join(deeper, same, "left_semi")
         refined = refine(going, key, k)
         state = scratch.keep(refined.select(key, "th", "chain", "idx", F.col("r2").alias("r"), "depth", "tail"), "suffixes")
         k *= 2
@@ -164,7 +168,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     plan = repeats(docs, key, text, min_chars).toDF("_key", "_th", "_gone")
     columns = [c for c in docs.columns if c != "runs"]
     rows = docs.select(*columns).withColumn("_own", F.xxhash64(text))
-    joined = rows.join(plan, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_th")), "left")
+    joined = rows.join(plan, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_th")), "left")
     # Places count lines that are not blank: the running number of a line is looked up in the deleted ones.
     marked = F.aggregate(
         bare_lines(F.col(text)),

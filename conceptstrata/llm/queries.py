@@ -81,7 +81,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_mixture")
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     model = language.fit(docs.where(~held_out))
     named = language.predict(docs.select("doc_id", "text"), model)
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")

@@ -16,11 +16,11 @@ from struct import Struct
 
 import numpy as np
 
-TABLE_WORDS = 600_000  # words kept by a Python worker, some 200 bytes each
+TABLE_WORDS = 600_000  # words kept by a Python worker, some 180 bytes each
+SPACED_WORDS = 1_200_000  # of the vocabulary that tells case and line ends apart
 CONTROLS = re.compile("[\x1c-\x1f]")  # what only Python takes for white space
-MARK = "\x00"  # before a mark that follows a letter and stands by itself in the table
+MARKS = ".,;:!?"
 TAIL_RUNS = 20_000  # runs of punctuation kept
-MARKED = re.compile("(?<=[a-z])([.,;:!?]) ")
 # ASCII punctuation but the apostrophe, which belongs to the letters after it in some vocabularies.
 TAIL = r"[!-&(-/:-@\[-`{-~]+"
 # Letters that are one character in every normal form, and whose lower case is one letter.
@@ -34,13 +34,19 @@ PACKERS = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 class Words(dict):
-    """Ids by word, encoded when first met. A full table becomes the old one, and words found there move back."""
+    """Ids by word, encoded when first met. A full table becomes the old one, and words found there move back.
 
-    def __init__(self, encode: Callable[[str], bytes], room: int):
+    A mark after a letter is a piece of its own: such a word is put together each time and takes no room.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], room: int, marks: dict[str, bytes] | None = None):
         super().__init__()
-        self.encode, self.half, self.old = encode, max(1, room // 2), {}
+        self.encode, self.half, self.old, self.marks = encode, max(1, room // 2), {}, marks or {}
 
     def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        if mark is not None and word[-2:-1].isalpha():
+            return self[word[:-1]] + mark
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
@@ -55,9 +61,8 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     spaced=False: white space only separates words, and case is folded (word_bpe). spaced=True: a blank belongs to the
-    word after it (byte_bpe), and texts are cut only at single blanks and line ends, which no piece of the
-    pre-tokenizer straddles. Texts with other white space are encoded as a whole, and names of special tokens are
-    ordinary text.
+    word after it (byte_bpe). Texts in which more than a single blank or line end stands between words are encoded as
+    a whole, and names of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -69,7 +74,8 @@ class Encoder:
         self.spaced = spaced
         self.tails = Words(self.whole, TAIL_RUNS)
         self.newline = self.whole("\n") if spaced else b""
-        self.table = Words(self._spaced_word if spaced else self._word, TABLE_WORDS)
+        marks = {mark: self.whole(mark) for mark in MARKS}
+        self.table = Words(*((self._spaced_word, SPACED_WORDS) if spaced else (self._word, TABLE_WORDS)), marks)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         one = self._spaced_text if self.spaced else self._text
@@ -81,18 +87,16 @@ class Encoder:
     def _text(self, text: str) -> bytes:
         if CONTROLS.search(text):
             return self.whole(text)
-        # Only A-Z here: the library folds the case of all other characters by itself. A mark after a letter is a piece
-        # of its own, so it need not be kept with every word that it follows.
-        folded = MARKED.sub(r" \1 ", text.encode().lower().decode())
-        return b"".join(map(self.table.__getitem__, folded.split()))
+        # Only A-Z here: the library folds the case of all other characters by itself.
+        return b"".join(map(self.table.__getitem__, text.encode().lower().decode().split()))
 
     def _spaced_text(self, text: str) -> bytes:
-        # Only single blanks and line ends inside the text: then it is its words, joined by them.
-        if not text or " ".join(text.split()) != text.replace("\n", " "):
-            return self.whole(text)
-        if MARK in text:
+        # A piece of the pre-tokenizer never goes on from a character into white space, so a text can be cut before any
+        # of it. Where more than one stands together, or at an end, the blanks do not separate the words.
+        cut = text.replace("\n", " \n")
+        if len(text.split()) != cut.count(" ") + 1:
             return self.whole(text)
-        first, *rest = MARKED.sub(f" {MARK}\\1 ", text.replace("\n", " \n")).split(" ")
+        first, *rest = cut.split(" ")
         return self.whole(first) + b"".join(map(self.table.__getitem__, rest))
 
     def _letters(self, letters: str, blank: bool = False) -> bytes:
@@ -112,8 +116,6 @@ class Encoder:
         """A word with the blank before it; a line end before a word takes the place of the blank."""
         if LETTERS.fullmatch(word):
             return self._letters(word, blank=True)
-        if word[:1] == MARK:
-            return self.tails[word[1:]]
         line = word[:1] == "\n"
         bare = word[1:] if line else word
         if line and LETTERS.fullmatch(bare):
