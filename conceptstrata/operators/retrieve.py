@@ -11,22 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptstrata.functions.vectors import scaled_cosine, scaled_inner_product
-from conceptstrata.operators.distances import no_rows
 from conceptstrata.operators.encode import drop_smallest
 from conceptstrata.operators.lookup import joined_by_key
 from conceptstrata.operators.ranking import broadcast_checked, top_k
-from conceptstrata.session import task_count
+from conceptstrata.session import cut_lineage
 
 FIRST_YEAR, LAST_YEAR = 1980, 2025
 RRF_CONSTANT = 60
 # Queries sent along with the scoring function (12 MB at 768 dimensions); more are scored in blocks.
 QUERY_ROWS = 2_048
-# Papers one task holds when it meets a block of queries (about 100 MB at 768 dimensions)
-SHARD_ROWS = 20_000
+# Rows that all lists of a task together may have, some 100 MB; each list is cut at twice its length.
+HELD_ROWS = 1_000_000
 # Cells of the paper-by-token matrix of the sparse scan (64 MB)
 MATRIX_CELLS = 8 << 20
 
-_HITS = "query_id bigint, arxiv_id string, year int, score double"
+HITS = "query_id bigint, arxiv_id string, year int, score double"
 _ARROW_HITS = pa.schema(
     [("query_id", pa.int64()), ("arxiv_id", pa.string()), ("year", pa.int32()), ("score", pa.float64())]
 )
@@ -57,6 +56,7 @@ class _QueryBlock:
         self.start = rows["start_year"].to_numpy(np.int64)
         self.end = rows["end_year"].to_numpy(np.int64)
         self.k = k
+        self.least = np.full(len(self.ids), -np.inf)  # score below which no paper can be a hit
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
         """Papers by queries, and which of them are hits at all (None for all).
@@ -66,10 +66,10 @@ class _QueryBlock:
         raise NotImplementedError
 
     def best(self, ids: np.ndarray, years: np.ndarray, column: pa.Array) -> Iterator[pd.DataFrame]:
-        """Per query the k best of these papers."""
+        """Per query the k best of these papers, without those that cannot reach the k best seen so far."""
         scores, hit = self.scores(column)
         for q, query_id in enumerate(self.ids):
-            valid = (years >= self.start[q]) & (years <= self.end[q])
+            valid = (years >= self.start[q]) & (years <= self.end[q]) & (scores[:, q] >= self.least[q])
             rows = np.flatnonzero(valid if hit is None else valid & hit[:, q])
             hits = pd.DataFrame({"arxiv_id": ids[rows], "year": years[rows], "score": scores[rows, q]})
             yield self.cut(hits.assign(query_id=query_id))
@@ -85,27 +85,33 @@ class _QueryBlock:
         return pd.concat([above, ties])
 
     def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Running top-k of a whole task, so a task hands on at most k rows per query."""
-        kept: dict[int, list[pd.DataFrame]] = {int(q): [] for q in self.ids}
-        held = 0
+        """Running top-k of a whole task, so a task hands on at most k rows per query.
+
+        A query's list is cut as soon as it has twice its k rows; from then on its k-th score is the least that counts.
+        """
+        self.least = np.full(len(self.ids), -np.inf)
+        kept: list[list[pd.DataFrame]] = [[] for _ in self.ids]
+        held = np.zeros(len(self.ids), np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             years = batch.column(1).to_numpy(zero_copy_only=False)
-            for query_id, hits in zip(self.ids, self.best(ids, years, batch.column(2))):
-                kept[int(query_id)].append(hits)
-                held += len(hits)
-            if held > 4 * self.k * len(self.ids):
-                kept = {q: [self.cut(pd.concat(parts))] for q, parts in kept.items()}
-                held = sum(len(parts[0]) for parts in kept.values())
-        for parts in kept.values():
+            for q, hits in enumerate(self.best(ids, years, batch.column(2))):
+                if len(hits):
+                    kept[q].append(hits)
+                    held[q] += len(hits)
+                if held[q] >= 2 * self.k:
+                    kept[q] = [self.cut(pd.concat(kept[q]))]
+                    held[q] = len(kept[q][0])
+                    self.least[q] = kept[q][0]["score"].min()
+        for parts in kept:
             if parts:
                 hits = self.cut(pd.concat(parts))
                 yield pa.RecordBatch.from_pandas(hits, schema=_ARROW_HITS, preserve_index=False)
 
 
-class _DenseBlock(_QueryBlock):
+class DenseBlock(_QueryBlock):
     """Cosine of every paper with every query: one matrix product per batch."""
 
     column = "dense_vector"
@@ -115,8 +121,11 @@ class _DenseBlock(_QueryBlock):
         self.unit = _unit(np.array(rows[self.column].tolist(), dtype=np.float64))
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, None]:
+        return np.round(self.cosines(column), 12), None
+
+    def cosines(self, column: pa.Array, queries: np.ndarray | slice = slice(None)) -> np.ndarray:
         vectors = column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
-        return np.round(_unit(vectors) @ self.unit.T, 12), None
+        return _unit(vectors) @ self.unit[queries].T
 
 
 class _SparseBlock(_QueryBlock):
@@ -170,7 +179,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vectors: arxiv_id, publication_year, dense_vector; queries: query_id, dense_vector and
     optionally start_year, end_year.
     """
-    return _scan_topk(vectors, queries, k, _DenseBlock)
+    return _scan_topk(vectors, queries, k, DenseBlock)
 
 
 def sparse_scan_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -185,57 +194,37 @@ def sparse_scan_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFram
 def _scan_topk(vectors: DataFrame, queries: DataFrame, k: int, kind: type[_QueryBlock]) -> DataFrame:
     """Top-k of a scan: the papers are scored where they lie and every task keeps its own top-k.
 
-    Neither papers nor scores are shuffled, only k rows per query and task. Up to QUERY_ROWS queries
-    travel with the scoring function; a larger set meets the papers in blocks on the executors.
+    Neither papers nor scores are shuffled, only k rows per query and task. The queries travel with the scoring function,
+    as many of them as a task can hold lists for; a larger set is scored block by block, each block in a scan of its own
+    whose lists are written to the shared folder, so that the driver never holds more than a block.
     """
     column = kind.column
     papers = vectors.select("arxiv_id", F.col("publication_year").cast("int").alias("year"), column).where(
         F.col("year").isNotNull() & (F.size(column) > 0)
     )
     asked = with_years(queries.where(F.size(column) > 0)).select("query_id", column, "start_year", "end_year")
-    rows = asked.limit(QUERY_ROWS + 1).collect()
+    most = max(1, min(QUERY_ROWS, HELD_ROWS // k))
+    rows = asked.limit(most + 1).collect()
     if not rows:
-        return papers.sparkSession.createDataFrame([], _HITS + ", rank int")
-    if len(rows) > QUERY_ROWS:
-        return top_k(_scored_in_blocks(papers, asked, k, kind), ["query_id"], best_first(), k)
-
+        return papers.sparkSession.createDataFrame([], HITS + ", rank int")
+    if len(rows) <= most:
+        return _scored(papers, rows, k, kind)
+    asked = cut_lineage(asked, "queries")
+    blocks = -(-asked.count() // most)
+    found: DataFrame | None = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        for at in range(0, len(rows), most):  # hashing fills blocks unevenly
+            part = cut_lineage(_scored(papers, rows[at : at + most], k, kind), "hits")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _scored(papers: DataFrame, rows: list, k: int, kind: type[_QueryBlock]) -> DataFrame:
+    """The k best papers for a bounded number of queries: one scan of the papers in the years that any of them asks for."""
     block = kind(pd.DataFrame([r.asDict() for r in rows]), k)
     span = papers.where(F.col("year").between(int(block.start.min()), int(block.end.max())))
-    return top_k(span.mapInArrow(block.scan, _HITS), ["query_id"], best_first(), k)
-
-
-def _scored_in_blocks(papers: DataFrame, queries: DataFrame, k: int, kind: type[_QueryBlock]) -> DataFrame:
-    """Same scores for a query set of any size: blocks of queries meet shards of papers in tasks.
-
-    The number of shards follows the number of papers, so a task never holds more than a shard.
-    """
-    column = kind.column
-    blocks = -(-queries.count() // QUERY_ROWS) * 2  # hashing fills blocks unevenly
-    shards = max(task_count(papers.sparkSession), -(-papers.count() // SHARD_ROWS))
-    stored = pa.list_(pa.float32()) if column == "dense_vector" else pa.map_(pa.int64(), pa.float32())
-
-    def score(papers: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if papers.empty or queries.empty:
-            return no_rows(_HITS)
-        cells = [list(c.items()) if isinstance(c, dict) else c for c in papers[column]]
-        found = kind(queries, k).best(
-            papers["arxiv_id"].to_numpy(), papers["year"].to_numpy(), pa.array(cells, stored)
-        )
-        return pd.concat(found)[["query_id", "arxiv_id", "year", "score"]]
-
-    left = papers.withColumns(
-        {
-            "_shard": F.pmod(F.xxhash64("arxiv_id"), F.lit(shards)),
-            "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-        }
-    )
-    right = queries.withColumns(
-        {
-            "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
-            "_shard": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))),
-        }
-    )
-    return left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(score, _HITS)
+    return top_k(span.mapInArrow(block.scan, HITS), ["query_id"], best_first(), k)
 
 
 def query_tokens(queries: DataFrame, drop_ratio: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conceptstrata.functions.keys import hash60
 from conceptstrata.functions.text import words
 from conceptstrata.operators import drift, encode, evaluate, retrieve
+from conceptstrata.operators.pruned_search import PostingBlocks, VectorCells
 from conceptstrata.plans import adapters
 from conceptstrata.plans.adapters import DIMS
 from conceptstrata.plans.registry import ENCODED, HASH, PAPERS, VECTORS, WORDS, hashed, query
@@ -155,6 +156,19 @@ def dense_topk_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieve.dense_topk(adapters.vectors(spark, sf_dir), _label_queries(spark, sf_dir), 20))
 
 
+@query("dense_topk_cells", f"""
+WITH {_LABEL_QUERIES}
+SELECT query_id::BIGINT AS query_id, arxiv_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, arxiv_id) AS rank FROM cosines
+  WHERE year BETWEEN 1990 + query_id AND 2015 + query_id)
+WHERE rank <= 20
+""")
+def dense_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in vectors written by their nearest centre; cells out of reach are not read."""
+    cells = VectorCells(adapters.vectors(spark, sf_dir), cells=32)
+    return _rounded(cells.search(_label_queries(spark, sf_dir), 20))
+
+
 def _rounded(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id", "arxiv_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank")
@@ -230,6 +244,32 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieve.sparse_topk(postings, retrieve.query_tokens(asked), _LIMIT))
 
 
+@query("sparse_topk_blocks", f"WITH {_lists(_LIMIT)} SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM sparse")
+def sparse_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in blocks of postings by falling weight; blocks out of reach are not read."""
+    vectors, postings, asked = _text_inputs(spark, sf_dir)
+    return _rounded(PostingBlocks(postings).search(retrieve.query_tokens(asked), vectors, _LIMIT))
+
+
+_TRIMMED = f"""{ENCODED},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w::FLOAT, token_id) AS r,
+                  floor(count(*) OVER (PARTITION BY query_id) * 0.2::DOUBLE) AS dropped FROM qtf),
+scored AS (
+  SELECT query_id, arxiv_id, round(sum(q.w::FLOAT::DOUBLE * tf.w::FLOAT::DOUBLE), 12) AS score
+  FROM ranked q JOIN tf USING (token_id) WHERE r > dropped AND year(published_date) BETWEEN 1980 AND 2025 GROUP BY ALL)"""
+
+
+@query("sparse_topk_trimmed_queries", f"""
+WITH {_TRIMMED}
+SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, arxiv_id) AS rank FROM scored) WHERE rank <= {_LIMIT}
+""")
+def sparse_topk_trimmed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lightest fifth of each query's tokens is left out."""
+    _, postings, asked = _text_inputs(spark, sf_dir)
+    return _rounded(retrieve.sparse_topk(postings, retrieve.query_tokens(asked, 0.2), _LIMIT))
+
+
 @query("sparse_scan_topk", f"WITH {_lists(_LIMIT)} SELECT query_id, arxiv_id, round(score, 6) AS score, rank FROM sparse")
 def sparse_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, _, asked = _text_inputs(spark, sf_dir)
@@ -359,11 +399,12 @@ def jaccard_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topn_by_method", f"""
 {_METHODS}
-SELECT query_id, method, rank, arxiv_id, CAST(year(published_date) AS INTEGER) AS year, round(score, 6) AS score
+SELECT query_id, method, rank, arxiv_id, title, CAST(year(published_date) AS INTEGER) AS year, round(score, 6) AS score
 FROM lists JOIN papers USING (arxiv_id) WHERE rank <= 10
 """)
 def topn_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _methods(spark, sf_dir, _LIMIT).drop("rank")
-    return evaluate.top_by_method(hits, 10).select(
-        "query_id", "method", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "year", F.round("score", 6).alias("score")
+    named = retrieve.attach_metadata(evaluate.top_by_method(hits, 10), adapters.papers(spark, sf_dir))
+    return named.select(
+        "query_id", "method", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "title", "year", F.round("score", 6).alias("score")
     )

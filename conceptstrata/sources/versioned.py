@@ -160,12 +160,13 @@ class VersionedTable:
 
     def lookup(self, ids: DataFrame, number: int | None = None) -> DataFrame:
         """Rows whose key is in `ids` (a column named like the key). The table stays where it lies: only ids move."""
-        wanted = ids.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        # Dealt like the buckets, or Spark would deal the table like the ids.
+        wanted = ids.select(self.key).where(F.col(self.key).isNotNull()).repartition(self.buckets, self.key).distinct()
         return self._merged(self.version(number).parts, lambda rows: rows.join(wanted, self.key, "left_semi"))
 
     def missing(self, candidates: DataFrame) -> DataFrame:
         """Candidates whose key no part holds; a null key is none that could be stored."""
-        rows = candidates.where(F.col(self.key).isNotNull())
+        rows = candidates.where(F.col(self.key).isNotNull()).repartition(self.buckets, self.key)
         for part in self.version().parts:
             rows = rows.join(self._part(part).select(self.key), self.key, "left_anti")
         return rows

@@ -37,7 +37,7 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch, k, block):
     queries = spark.createDataFrame(asked, "query_id bigint, dense_vector array<float>, start_year int, end_year int")
     if block:
         monkeypatch.setattr(retrieve, "QUERY_ROWS", 2)
-        monkeypatch.setattr(retrieve, "SHARD_ROWS", 9)
+        monkeypatch.setattr(retrieve, "HELD_ROWS", 2 * k)
     got = retrieve.dense_topk(papers, queries, k).collect()
     for query_id, vector, first, last in asked:
         mine = [r.arxiv_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == query_id]

@@ -127,6 +127,7 @@ def test_the_table_is_not_shuffled(spark, tmp_path):
         assert "Exchange hashpartitioning" in exchanges(looked)[1]  # of the ids
         new = table.missing(ids)
         assert sorted(int(r.id) for r in new.collect()) == list(range(70, 100, 7))
+        assert exchanges(new)[0] == 0, exchanges(new)[1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
