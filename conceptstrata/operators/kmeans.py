@@ -21,38 +21,69 @@ RESTARTS = 10
 # Above this many rows a set is fitted over the whole cluster, from the same starts.
 GROUPED_ROWS = 10_000
 MAX_ITERATIONS = 300
+PASSES = 16  # over the points, to draw the starting centres
 TOLERANCE = 1e-4
-# Rows of a set that starts are drawn from, those with the smallest hash; all rows are fitted.
-SEEDING_ROWS, SEEDING_ROWS_PER_CENTRE = 2_000, 10
 # Centres that travel with one pass of a distributed fit
 MODEL_BYTES = 64 << 20
 
 _FIT = "query_id bigint, k int, point_id string, cluster int, inertia double, silhouette double"
-_CENTRES = "query_id bigint, k int, restart int, cluster int, centre array<double>"
+_WORD = (1 << 64) - 1
+_LAST = 1e300  # draw of a row that has a chosen copy
 
 
-def _spread_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeding: each next centre is drawn with probability proportional to squared distance."""
-    chosen = [int(rng.integers(len(points)))]
-    nearest = np.full(len(points), np.inf)
-    while len(chosen) < k:
-        nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-        nearest[chosen] = 0.0
-        total = nearest.sum()
-        odds = nearest / total if total > 0 else None
-        chosen.append(int(rng.choice(len(points), p=odds)))
-    return points[chosen].copy()
+def _races(hashes: np.ndarray, restart: int, step: int) -> np.ndarray:
+    """Exponential draws of the rows, from their hashes alone: the same wherever and however often they are made.
+
+    The row with the smallest draw divided by its weight is a random row, with odds in proportion to the weights.
+    """
+    with np.errstate(over="ignore"):
+        mixed = hashes.astype(np.uint64) + np.uint64((restart * 65_537 + step + 1) & _WORD) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+    return -np.log((mixed.astype(np.float64) + 1.0) / 2.0**64)
 
 
-def _seeding_rows(k: int) -> int:
-    return max(SEEDING_ROWS, SEEDING_ROWS_PER_CENTRE * k)
+def _next_starts(points: np.ndarray, hashes: np.ndarray, chosen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `width` rows that each restart draws next, best first, and their draws (restarts, width).
 
+    Odds are squared distances to the chosen ones (restarts, steps, dims). Rows that are copies of chosen ones come last.
+    """
+    restarts, step = chosen.shape[:2]
+    width = min(width, len(points))
+    rows, draws = np.empty((restarts, width), np.int64), np.empty((restarts, width))
+    for r in range(restarts):
+        race = _races(hashes, r, step)
+        weight = _squares(points, chosen[r : r + 1]).min(axis=2)[:, 0] if step else np.ones(len(points))
+        with np.errstate(divide="ignore"):
+            draw = np.where(weight > 0, race / weight, _LAST * (1.0 + race))
+        likely = np.argpartition(draw, width - 1)[:width]
+        rows[r] = likely[np.lexsort((likely, draw[likely]))]
+        draws[r] = draw[rows[r]]
+    return rows, draws
+
+
+def _width(k: int) -> int:
+    """Rows drawn at once: one by one up to PASSES centres, in as many rounds beyond."""
+    return -(-k // PASSES)
+
+
+def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (points, models, k) to centres (models, k, dims); those within rounding count as 0."""
+    models, k, dims = centres.shape
+    flat = centres.reshape(models * k, dims)
+    own = (points**2).sum(axis=1, keepdims=True)
+    distances = (flat**2).sum(axis=1) - 2.0 * (points @ flat.T) + own
+    return np.where(distances > 1e-12 * (own + 1e-300), distances, 0.0).reshape(len(points), models, k)
 
-def _starts(rows: pd.DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
-    """Starting centres of all restarts; rows carry their hash `_h`. The same for every way of fitting."""
-    sample = rows.sort_values(["_h", "point_id"]).head(_seeding_rows(k)).sort_values("point_id")
-    vectors = np.array(sample["vector"].tolist(), dtype=np.float64)
-    return np.stack([_spread_centres(vectors, k, np.random.default_rng([seed, k, r])) for r in range(restarts)])
+
+def _starts(points: np.ndarray, hashes: np.ndarray, k: int, restarts: int) -> np.ndarray:
+    """Starting centres of all restarts, drawn from all rows by k-means++. The same for every way of fitting."""
+    chosen = np.empty((restarts, 0, points.shape[1]))
+    while chosen.shape[1] < k:
+        rows, _draws = _next_starts(points, hashes, chosen, _width(k))
+        chosen = np.concatenate([chosen, points[rows]], axis=1)
+    return chosen[:, :k].copy()
 
 
 def _assign(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +110,7 @@ def _moved(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[n
     return new, ((new - centres) ** 2).sum(axis=(1, 2))
 
 
-def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.DataFrame:
+def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int) -> pd.DataFrame:
     """All restarts for one (concept, k); the labels of the restart with least inertia."""
     query_id, k = int(key[0]), int(key[1])
     usable = max(2, len(rows) - 1) if rows["automatic"].iloc[0] else len(rows)
@@ -87,7 +118,7 @@ def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int, seed: int) -> pd.D
         return no_rows(_FIT)
     rows = rows.sort_values("point_id")
     points = np.array(rows["vector"].tolist(), dtype=np.float64)
-    centres = _starts(rows, k, restarts, seed)
+    centres = _starts(points, rows["_h"].to_numpy(np.int64), k, restarts)
     tolerance = TOLERANCE * points.var(axis=0, ddof=1).mean()
     active = np.arange(restarts)
     for _ in range(MAX_ITERATIONS):
@@ -124,29 +155,71 @@ def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTAR
         .join(broadcast_checked(candidates), "query_id")
         .repartition(task_count(points.sparkSession), "query_id", "k")
         .groupBy("query_id", "k")
-        .applyInPandas(lambda key, rows: _fit_group(key, rows, restarts, seed), _FIT)
+        .applyInPandas(lambda key, rows: _fit_group(key, rows, restarts), _FIT)
     )
 
 
-def _initial_centres(points: DataFrame, ks: dict[int, list[int]], restarts: int, seed: int) -> pd.DataFrame:
-    """k-means++ centres of every set and k that it has rows for."""
-    most = _seeding_rows(max((k for own in ks.values() for k in own), default=0))
-    shuffled = points.withColumn("_h", F.xxhash64(F.lit(seed), "point_id"))
-    sample = top_k(shuffled, ["query_id"], [F.col("_h"), F.col("point_id")], most)
-
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            [
-                {"query_id": int(key[0]), "k": k, "restart": r, "cluster": c, "centre": centre}
-                for k in ks[int(key[0])]
-                if k <= len(rows)
-                for r, centres in enumerate(_starts(rows, k, restarts, seed))
-                for c, centre in enumerate(centres)
-            ],
-            columns=["query_id", "k", "restart", "cluster", "centre"],
-        )
+def _initial_models(points: DataFrame, ks: dict[int, list[int]], restarts: int) -> dict[tuple[int, int], np.ndarray]:
+    """k-means++ centres of every set and k that it has rows for, drawn from all rows.
 
-    return sample.groupBy("query_id").applyInPandas(draw, _CENTRES).toPandas()
+    A pass over the points draws the next centres of all sets and restarts: each task hands on its best rows, and the
+    best of these are they. Centres drawn one by one for a small k are the first ones of a larger.
+    """
+    sizes = {r.query_id: r["count"] for r in points.groupBy("query_id").count().where(F.col("query_id").isin(*ks)).collect()}  # one row per set
+    ks = {q: [k for k in own if k <= sizes.get(q, 0)] for q, own in ks.items()}
+    most: dict[tuple[int, int], int] = {}  # (set, rows drawn at once) -> centres wanted
+    for q, own in ks.items():
+        for k in own:
+            most[q, _width(k)] = max(k, most.get((q, _width(k)), 0))
+    dims = len(points.first()["vector"]) if most else 0
+    chosen = {key: np.empty((restarts, 0, dims)) for key in most}
+    while True:
+        open_sets = {key: chosen[key] for key, n in most.items() if chosen[key].shape[1] < n}
+        if not open_sets:
+            return {(q, k): chosen[q, _width(k)][:, :k].copy() for q, own in ks.items() for k in own}
+        widest = max(width for _, width in open_sets)
+        best = top_k(_drawn(points, open_sets), ["query_id", "width", "restart"], [F.col("draw"), F.col("point_id")], widest)
+        new: dict[tuple[int, int], list] = {}
+        for r in best.where(F.col("rank") <= F.col("width")).orderBy("query_id", "width", "restart", "rank").collect():
+            new.setdefault((r.query_id, r.width), []).append(r.vector)
+        for key, rows in new.items():
+            chosen[key] = np.concatenate([chosen[key], np.array(rows, dtype=np.float64).reshape(restarts, -1, dims)], axis=1)
+
+
+def _drawn(points: DataFrame, chosen: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """(query_id, width, restart, draw, point_id, vector): the best `width` rows of every task and restart."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int, int], list[tuple[float, str, np.ndarray]]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            query, hashes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+            for (q, width), before in chosen.items():
+                rows = np.flatnonzero(query == q)
+                if not len(rows):
+                    continue
+                found, draws = _next_starts(vectors[rows], hashes[rows], before, width)
+                for r in range(len(before)):
+                    new = [(float(d), ids[i], vectors[i]) for i, d in zip(rows[found[r]], draws[r], strict=True)]
+                    held = best.get((q, width, r), []) + new
+                    best[q, width, r] = sorted(held, key=lambda b: b[:2])[:width]
+        for (q, width, r), held in best.items():
+            n = len(held)
+            columns = [
+                pa.array(np.full(n, q, np.int64)),
+                pa.array(np.full(n, width, np.int32)),
+                pa.array(np.full(n, r, np.int32)),
+                pa.array([b[0] for b in held], pa.float64()),
+                pa.array([b[1] for b in held], pa.string()),
+                pa.array([b[2].tolist() for b in held], pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "width", "restart", "draw", "point_id", "vector"])
+
+    schema = "query_id bigint, width int, restart int, draw double, point_id string, vector array<double>"
+    return points.select("query_id", "point_id", "vector", "_h").mapInArrow(draw, schema)
 
 
 def models_of(centres: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -250,12 +323,13 @@ def fit_distributed(
     centres of all sets, cluster counts and restarts. Only centres (sets x k x restarts x dims) travel
     through the driver, never points.
     """
-    points = points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector").persist()
+    points = points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector")
+    points = points.withColumn("_h", F.xxhash64(F.lit(seed), "point_id")).persist()
     variance = Summarizer.variance(array_to_vector("vector"))
     spread = points.groupBy("query_id").agg(vector_to_array(variance).alias("v"))
     tolerance = {int(r.query_id): TOLERANCE * float(np.nanmean(r.v)) for r in spread.toLocalIterator()}
 
-    models = models_of(_initial_centres(points, ks, restarts, seed))
+    models = _initial_models(points, ks, restarts)
     active = {key: np.arange(len(c)) for key, c in models.items()}
     for _ in range(max_iterations):
         moving = {key: models[key][rows] for key, rows in active.items() if len(rows)}
@@ -299,7 +373,7 @@ def label_points(points: DataFrame, best: dict[tuple[int, int], tuple[np.ndarray
                     names=["query_id", "k", "point_id", "cluster", "inertia", "silhouette"],
                 )
 
-    return points.mapInArrow(_over_points(per_query), _FIT)
+    return points.select("query_id", "point_id", "vector").mapInArrow(_over_points(per_query), _FIT)
 
 
 def fit(points: DataFrame, candidates: DataFrame, row_limit: int | None = None) -> DataFrame:
@@ -331,16 +405,6 @@ def fit(points: DataFrame, candidates: DataFrame, row_limit: int | None = None)
     return labels
 
 
-def cluster_centres(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean vector and size per (query_id, k, cluster)."""
-    mean = vector_to_array(Summarizer.mean(array_to_vector("vector")))
-    return (
-        points.join(labels, ["query_id", "point_id"])
-        .groupBy("query_id", "k", "cluster")
-        .agg(mean.alias("centre"), F.count("*").alias("n"))
-    )
-
-
 def coarse_to_fine(points: DataFrame, coarse_k: int, fine_k: int, dims: int = 64, seed: int = SEED) -> DataFrame:
     """Two-level clusters: k-means on PCA-reduced vectors, then on the full vectors of every cell.
 

@@ -228,3 +228,33 @@ def test_measure_is_the_callers_choice(spark):
         assert [(r.k, r.measure) for r in analysis.choose_k(points, fitted, measure=measure).collect()] == [(3, measure)]
     with pytest.raises(ValueError):
         analysis.choose_k(points, fitted, measure="other")
+
+
+@pytest.mark.parametrize("k", [1, 6, 40])
+def test_starts_come_from_all_rows_either_way(spark, k):
+    rng = np.random.default_rng(8)
+    rows = [(1, f"p{i:04d}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 5)))]
+    rows += [(1, f"q{i}", rows[0][2]) for i in range(30)]  # copies
+    points = spark.createDataFrame(rows, POINTS).withColumn("_h", F.xxhash64(F.lit(42), "point_id")).repartition(7)
+    spread = kmeans._initial_models(points, {1: [k]}, restarts=3)[1, k]
+    own = points.toPandas().sort_values("point_id")
+    vectors = np.array(own["vector"].tolist(), dtype=np.float64)
+    together = kmeans._starts(vectors, own["_h"].to_numpy(np.int64), k, 3)
+    assert np.array_equal(spread, together) and len(np.unique(together[0], axis=0)) == k
+    assert len({tuple(c) for c in together[:, 0]}) == 3  # restarts differ
+
+
+def test_a_tiny_far_group_is_found(spark):
+    """Five rows of 20,005: drawn as a start, since starts come from all rows by their distance."""
+    rng = np.random.default_rng(1)
+    far = [(1, f"far{i}", [300.0 + i / 10, 300.0]) for i in range(5)]
+    points = spark.createDataFrame([(1, f"p{i:05d}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(20_000, 2)))] + far, POINTS)
+    fitted = {r.point_id: r.cluster for r in kmeans.fit_distributed(points, {1: [2]}, restarts=2).collect()}
+    found = {fitted[f"far{i}"] for i in range(5)}
+    assert len(found) == 1 and sum(c in found for c in fitted.values()) == 5
+
+
+def test_starts_of_equal_rows():
+    points = np.ones((4, 3))
+    starts = kmeans._starts(points, np.arange(4), 3, 2)
+    assert starts.shape == (2, 3, 3) and (starts == 1).all()
