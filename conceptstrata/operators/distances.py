@@ -23,29 +23,41 @@ def membership(codes: np.ndarray, clusters: int) -> np.ndarray:
     return member
 
 
-def mean_silhouette(points: np.ndarray, labels: np.ndarray) -> float:
-    """Exact mean silhouette of a set one task holds; a point alone in its cluster counts 0."""
-    present, codes = np.unique(labels, return_inverse=True)
-    if len(present) < 2:
-        return 0.0
-    member = membership(codes, len(present))
-    sizes = member.sum(axis=0)
-    total = 0.0
+def mean_silhouettes(points: np.ndarray, labels: list[np.ndarray]) -> list[float]:
+    """Exact mean silhouettes of a set one task holds under several labellings; a point alone in its cluster counts 0.
+
+    Every pair of points is measured once for all labellings: the distances of a strip of rows to the rows from there on
+    are summed by cluster for both sides.
+    """
+    coded = [np.unique(own, return_inverse=True) for own in labels]
+    cuts = np.cumsum([0, *(len(present) for present, _ in coded)])
+    member = np.hstack([membership(codes, len(present)) for present, codes in coded])
+    sums = np.zeros_like(member)
     step = max(1, BLOCK_ROWS**2 // len(points))
     for low in range(0, len(points), step):
-        part = codes[low : low + step]
-        rows = np.arange(len(part))
-        distance = euclidean(points[low : low + step], points)
-        distance[rows, rows + low] = 0.0
-        sums = distance @ member
-        own = sizes[part]
-        a = sums[rows, part] / np.maximum(own - 1, 1)
-        others = sums / sizes
-        others[rows, part] = np.inf
-        b = others.min(axis=1)
-        width = np.maximum(a, b)
-        total += np.where((own > 1) & (width > 0), (b - a) / np.where(width > 0, width, 1.0), 0.0).sum()
-    return float(total / len(points))
+        high = min(low + step, len(points))
+        distance = euclidean(points[low:high], points[low:])
+        own = np.arange(high - low)
+        distance[own, own] = 0.0
+        sums[low:high] += distance @ member[low:]
+        sums[high:] += distance[:, high - low :].T @ member[low:high]
+    return [_mean_score(sums[:, a:z], member[:, a:z].sum(axis=0), codes) for a, z, (_, codes) in zip(cuts, cuts[1:], coded)]
+
+
+def _mean_score(sums: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> float:
+    if len(sizes) < 2:
+        return 0.0
+    rows, own = np.arange(len(codes)), sizes[codes]
+    a = sums[rows, codes] / np.maximum(own - 1, 1)
+    others = sums / sizes
+    others[rows, codes] = np.inf
+    b = others.min(axis=1)
+    width = np.maximum(a, b)
+    return float(np.where((own > 1) & (width > 0), (b - a) / np.where(width > 0, width, 1.0), 0.0).mean())
+
+
+def mean_silhouette(points: np.ndarray, labels: np.ndarray) -> float:
+    return mean_silhouettes(points, [labels])[0]
 
 
 _DTYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object"}

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptstrata.operators.distances import INLINE_ROWS, mean_silhouette, no_rows
+from conceptstrata.operators.distances import INLINE_ROWS, mean_silhouettes
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 from conceptstrata.session import task_count
 
@@ -27,6 +27,16 @@ TOLERANCE = 1e-4
 MODEL_BYTES = 64 << 20
 
 _FIT = "query_id bigint, k int, point_id string, cluster int, inertia double, silhouette double"
+_NO_FIT = pa.table(
+    {
+        name: pa.array([], kind)
+        for name, kind in zip(
+            ("query_id", "k", "point_id", "cluster", "inertia", "silhouette"),
+            (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64()),
+            strict=True,
+        )
+    }
+)
 _WORD = (1 << 64) - 1
 _LAST = 1e300  # draw of a row that has a chosen copy
 
@@ -110,15 +120,9 @@ def _moved(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[n
     return new, ((new - centres) ** 2).sum(axis=(1, 2))
 
 
-def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int) -> pd.DataFrame:
-    """All restarts for one (concept, k); the labels of the restart with least inertia."""
-    query_id, k = int(key[0]), int(key[1])
-    usable = max(2, len(rows) - 1) if rows["automatic"].iloc[0] else len(rows)
-    if k > min(usable, len(rows)):
-        return no_rows(_FIT)
-    rows = rows.sort_values("point_id")
-    points = np.array(rows["vector"].tolist(), dtype=np.float64)
-    centres = _starts(points, rows["_h"].to_numpy(np.int64), k, restarts)
+def _fit_set(points: np.ndarray, hashes: np.ndarray, k: int, restarts: int) -> tuple[np.ndarray, float]:
+    """All restarts for one set and k; labels and inertia of the restart with least inertia."""
+    centres = _starts(points, hashes, k, restarts)
     tolerance = TOLERANCE * points.var(axis=0, ddof=1).mean()
     active = np.arange(restarts)
     for _ in range(MAX_ITERATIONS):
@@ -130,32 +134,58 @@ def _fit_group(key: tuple, rows: pd.DataFrame, restarts: int) -> pd.DataFrame:
     nearest, squared = _assign(points, centres)
     inertia = squared.sum(axis=0)
     best = int(inertia.argmin())
-    return pd.DataFrame(
-        {
-            "query_id": query_id,
-            "k": k,
-            "point_id": rows["point_id"].to_numpy(),
-            "cluster": nearest[:, best],
-            "inertia": inertia[best],
-            "silhouette": mean_silhouette(points, nearest[:, best]) if len(points) <= INLINE_ROWS else None,
-        }
-    )
+    return nearest[:, best], float(inertia[best])
+
+
+def _fit_group(table: pa.Table, restarts: int) -> pa.Table:
+    """Some k of one set: the distances between its rows, which the silhouettes need, are measured once for all of them."""
+    table = table.combine_chunks().sort_by("point_id")
+    n = table.num_rows
+    points = table["vector"].combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.float64)
+    automatic = table["automatic"][0].as_py()
+    usable = min(max(2, n - 1), n) if automatic else n
+    ks = [k for k in table["ks"][0].as_py() if k <= usable]
+    fits = [_fit_set(points, table["_h"].to_numpy(), k, restarts) for k in ks]
+    # Only a choice between several needs a silhouette.
+    scored = automatic and ks and n <= INLINE_ROWS
+    scores = mean_silhouettes(points, [labels for labels, _ in fits]) if scored else [None] * len(ks)
+    ids, query = table["point_id"].combine_chunks(), table["query_id"].combine_chunks()
+    parts = [
+        pa.table(
+            {
+                "query_id": query,
+                "k": pa.array(np.full(n, k, np.int32)),
+                "point_id": ids,
+                "cluster": pa.array(labels.astype(np.int32)),
+                "inertia": pa.array(np.full(n, inertia)),
+                "silhouette": pa.array([score] * n, pa.float64()),
+            }
+        )
+        for k, (labels, inertia), score in zip(ks, fits, scores, strict=True)
+    ]
+    return pa.concat_tables(parts) if parts else _NO_FIT
 
 
 def fit_bounded(points: DataFrame, candidates: DataFrame, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """Labels per (query_id, k, point_id) for sets known to be small.
 
     points: query_id, point_id, vector, with at most GROUPED_ROWS rows per query_id; candidates:
-    query_id, k, automatic. Every (concept, k) is a group of its own, so all of them are fitted side
-    by side. Sets of up to INLINE_ROWS rows get their mean silhouette on the spot, others null.
+    query_id, k, automatic. With many sets a task fits one of them for all k, so that its rows move and its distances are
+    measured once; with few the k are dealt to more tasks, until there are two for each core. Sets of up to
+    INLINE_ROWS rows get their mean silhouette on the spot where k is to be chosen, others null.
     """
+    spark = points.sparkSession
+    asked = candidates.persist()
+    sets = asked.select("query_id").distinct().count()
+    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, sets)))
+    dealt = asked.groupBy("query_id", "automatic", (F.col("k") % shares).alias("_share")).agg(F.sort_array(F.collect_set("k")).alias("ks"))
     return (
         points.select("query_id", F.col("point_id").cast("string").alias("point_id"), "vector")
         .withColumn("_h", F.xxhash64(F.lit(seed), "point_id"))
-        .join(broadcast_checked(candidates), "query_id")
-        .repartition(task_count(points.sparkSession), "query_id", "k")
-        .groupBy("query_id", "k")
-        .applyInPandas(lambda key, rows: _fit_group(key, rows, restarts), _FIT)
+        .join(broadcast_checked(dealt), "query_id")
+        .repartition(task_count(spark), "query_id", "_share")
+        .groupBy("query_id", "_share", "automatic")
+        .applyInArrow(lambda table: _fit_group(table, restarts), _FIT)
     )
 
 

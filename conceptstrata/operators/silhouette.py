@@ -24,7 +24,7 @@ def point_silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BL
     points: query_id, point_id, vector; labels: query_id, k, point_id, cluster. A set is cut into
     blocks of about `block_rows` rows; a task takes two blocks, gets their distances from one matrix
     product and hands on only the sums per (point, cluster). A set of any share of the data is thus
-    spread over (n / block_rows)^2 tasks of equal size and no pair of points ever becomes a row.
+    spread over half of (n / block_rows)^2 tasks of equal size and no pair of points ever becomes a row.
     """
     packed = labels.groupBy("query_id", "point_id").agg(
         F.array_sort(F.collect_list(F.struct("k", "cluster"))).alias("labels")
@@ -42,12 +42,13 @@ def point_silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BL
             F.col("labels.k").alias("ks"),
             F.col("labels.cluster").alias("clusters"),
             "_mine",
-            F.sequence(F.lit(0), F.col("_blocks") - 1).alias("_all"),
+            "_blocks",
         )
     )
     columns = ["query_id", "point_id", "vector", "ks", "clusters"]
-    left = rows.select(*columns, F.col("_mine").alias("_left"), F.explode("_all").alias("_right"))
-    right = rows.select(*[F.col(c).alias(c) for c in columns], F.explode("_all").alias("_left"), F.col("_mine").alias("_right"))
+    # Each pair of blocks once, the smaller number on the left.
+    left = rows.select(*columns, F.col("_mine").alias("_left"), F.explode(F.sequence("_mine", F.col("_blocks") - 1)).alias("_right"))
+    right = rows.select(*[F.col(c).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), "_mine")).alias("_left"), F.col("_mine").alias("_right"))
     block = ["query_id", "_left", "_right"]
     tasks = task_count(points.sparkSession)
     left, right = left.repartition(tasks, *block), right.repartition(tasks, *block)
@@ -68,7 +69,7 @@ def point_silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BL
 
 
 def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Per left point and cluster: sum of the distances to the right block's members."""
+    """Per point of either block and cluster: sum of the distances to the other block's members."""
     if left.empty or right.empty:
         return no_rows(_SUMS)
     left, right = left.sort_values("point_id"), right.sort_values("point_id")
@@ -77,24 +78,28 @@ def _distance_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.Da
     distance = euclidean(x, y)
     if key[1] == key[2]:  # the same rows on both sides
         np.fill_diagonal(distance, 0.0)
-    own, theirs = np.array(left["clusters"].tolist()), np.array(right["clusters"].tolist())
+        return pd.concat(_sums_to(left, right, distance))
+    return pd.concat([*_sums_to(left, right, distance), *_sums_to(right, left, distance.T)])
+
+
+def _sums_to(mine: pd.DataFrame, other: pd.DataFrame, distance: np.ndarray) -> list[pd.DataFrame]:
+    own, theirs = np.array(mine["clusters"].tolist()), np.array(other["clusters"].tolist())
     frames = []
-    for i, k in enumerate(left["ks"].iloc[0]):
+    for i, k in enumerate(mine["ks"].iloc[0]):
         present, code = np.unique(theirs[:, i], return_inverse=True)
-        sums = distance @ membership(code, len(present))
         frames.append(
             pd.DataFrame(
                 {
-                    "query_id": left["query_id"].iloc[0],
-                    "point_id": np.repeat(left["point_id"].to_numpy(), len(present)),
+                    "query_id": mine["query_id"].iloc[0],
+                    "point_id": np.repeat(mine["point_id"].to_numpy(), len(present)),
                     "k": k,
                     "own": np.repeat(own[:, i], len(present)),
-                    "other": np.tile(present, len(x)),
-                    "distance": sums.ravel(),
+                    "other": np.tile(present, len(mine)),
+                    "distance": (distance @ membership(code, len(present))).ravel(),
                 }
             )
         )
-    return pd.concat(frames)
+    return frames
 
 
 def silhouette(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -103,7 +108,7 @@ def silhouette(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROW
         point_silhouettes(points, labels, block_rows)
         .groupBy("query_id", "k")
         .agg(F.avg("silhouette").alias("silhouette"))
-        .withColumn("measure", F.lit("euclidean"))
+        .withColumn("measure", F.lit("exact"))
     )
 
 
@@ -122,7 +127,7 @@ def silhouette_large(points: DataFrame, labels: DataFrame) -> DataFrame:
         for m in models
     ]
     return points.sparkSession.createDataFrame(scores, "query_id bigint, k int, silhouette double").withColumn(
-        "measure", F.lit("squared_euclidean")
+        "measure", F.lit("squared")
     )
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conceptstrata.operators import drift, kmeans, labels, silhouette
-from conceptstrata.operators.distances import mean_silhouette
+from conceptstrata.operators.distances import mean_silhouette, mean_silhouettes
 from conceptstrata.plans import analysis
 
 POINTS = "query_id bigint, point_id string, vector array<float>"
@@ -88,9 +88,11 @@ def test_large_sets_take_the_distributed_way(spark, monkeypatch):
     points = spark.createDataFrame(rows + more + third, POINTS)
     sets = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "query_id bigint, n_clusters int")
     monkeypatch.setattr(kmeans, "GROUPED_ROWS", 50)
+    large, whole = [], kmeans.fit_distributed
+    monkeypatch.setattr(kmeans, "fit_distributed", lambda rows, ks: large.extend(ks) or whole(rows, ks))
     fitted = kmeans.fit(points, silhouette.k_candidates(sets)).collect()
     assert len(fitted) == 182
-    assert {r.query_id for r in fitted if r.silhouette is None} == {1, 3}
+    assert sorted(large) == [1, 3] and all(r.silhouette is None for r in fitted)  # k is given: none is needed
     for query_id, size in ((1, 40), (2, 4), (3, 30)):
         codes = [r.cluster for r in sorted(fitted, key=lambda r: r.point_id) if r.query_id == query_id]
         assert same_partition(codes, [i // size for i in range(len(codes))])
@@ -141,7 +143,7 @@ def test_linear_measure_is_marked(spark):
     points = spark.createDataFrame(rows, POINTS)
     given = label_rows(spark, rows, [i // 20 for i in range(40)], 2)
     row = silhouette.silhouette_large(points, given).first()
-    assert row.measure == "squared_euclidean" and row.silhouette > 0.9
+    assert row.measure == "squared" and row.silhouette > 0.9
 
 
 def test_label_keeps_order_and_drops_pieces_after_the_cut(spark):
@@ -258,3 +260,24 @@ def test_starts_of_equal_rows():
     points = np.ones((4, 3))
     starts = kmeans._starts(points, np.arange(4), 3, 2)
     assert starts.shape == (2, 3, 3) and (starts == 1).all()
+
+
+def test_all_labellings_from_one_distance_matrix(monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(41, 4))
+    labellings = [rng.integers(0, k, 41) for k in (1, 2, 3, 5)] + [np.arange(41)]
+    want = [np.mean(brute_silhouette(points, own)) if len(set(own)) > 1 else 0.0 for own in labellings]
+    for rows in (3, 9, 100):
+        monkeypatch.setattr("conceptstrata.operators.distances.BLOCK_ROWS", rows)
+        assert mean_silhouettes(points, labellings) == pytest.approx(want)
+
+
+def test_no_silhouette_where_k_is_given(spark):
+    _, rows = blobs([[0, 0], [8, 0]], 10)
+    _, more = blobs([[0, 0], [8, 0]], 10, query_id=2)
+    points = spark.createDataFrame(rows + more, POINTS)
+    sets = spark.createDataFrame([(1, 2), (2, None)], "query_id bigint, n_clusters int")
+    fitted = kmeans.fit_bounded(points, silhouette.k_candidates(sets)).collect()
+    assert {(r.query_id, r.k, r.silhouette is None) for r in fitted} == {(1, 2, True)} | {(2, k, False) for k in range(2, 9)}
+    few = kmeans.fit_bounded(points, silhouette.k_candidates(sets.where("query_id = 9")))
+    assert few.collect() == []
