@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -55,16 +53,11 @@ def encode_with(papers: DataFrame, model: TextModel) -> DataFrame:
     return papers.mapInPandas(run, schema)
 
 
-@lru_cache(maxsize=1 << 18)
-def _token_id(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
-
-
 def hash_encode(df: DataFrame, text: Column, dims: int = DENSE_DIMS) -> DataFrame:
     """Built-in encoder without model weights, over the whole text.
 
     Sparse weights are log(1 + term frequency) by token id; the dense vector is their signed feature
-    hash, L2-normalised. Term counts of a text only need that text, so nothing is shuffled: tokens go
+    hash, L2-normalised. Term counts of a text only need that text, so nothing is shuffled: token ids go
     through Arrow once and both vectors come back.
     """
     schema = T.StructType([*df.schema.fields, DENSE, SPARSE])
@@ -73,11 +66,8 @@ def hash_encode(df: DataFrame, text: Column, dims: int = DENSE_DIMS) -> DataFram
         for batch in batches:
             tokens = batch.column(batch.num_columns - 1)
             texts = batch.num_rows
-            lengths = np.diff(tokens.offsets.to_numpy())
-            coded = tokens.flatten().dictionary_encode()
-            ids = np.fromiter((_token_id(t) for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-            token = ids[coded.indices.to_numpy()]
-            doc = np.repeat(np.arange(texts), lengths)
+            token = tokens.flatten().to_numpy()
+            doc = np.repeat(np.arange(texts), np.diff(tokens.offsets.to_numpy()))
 
             order = np.lexsort((token, doc))
             doc, token = doc[order], token[order]
@@ -99,7 +89,7 @@ def hash_encode(df: DataFrame, text: Column, dims: int = DENSE_DIMS) -> DataFram
             )
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.withColumn("_tokens", words(text)).mapInArrow(run, schema)
+    return df.withColumn("_tokens", F.transform(words(text), hash60)).mapInArrow(run, schema)
 
 
 def hash_encode_papers(papers: DataFrame, dims: int = DENSE_DIMS) -> DataFrame:
@@ -168,9 +158,11 @@ def postings(vectors: DataFrame, drop_ratio: float = 0.0, *carry: str) -> DataFr
     )
 
 
-def top_tokens(weights: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+def token_totals(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Summed weight per group and token, at 9 places, so that the order of addition cannot change a ranking."""
+    return weights.groupBy(*keys, "token_id").agg(F.round(F.sum(F.col("weight").cast("double")), 9).alias("weight"))
+
+
+def top_tokens(totals: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k heaviest tokens of every group; equal weights go by token id."""
-    totals = weights.groupBy(*keys, "token_id").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-    # Sums are compared at 9 places, so that the order of addition cannot change the ranking.
-    totals = totals.withColumn("weight", F.round("weight", 9))
     return top_k(totals, keys, [F.desc("weight"), F.col("token_id")], k)

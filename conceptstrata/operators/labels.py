@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptstrata.operators.encode import top_tokens
+from conceptstrata.operators.encode import token_totals, top_tokens
 from conceptstrata.operators.ranking import broadcast_checked
 
 LABEL_TOKENS = 5
@@ -25,9 +25,10 @@ def cluster_labels(
     may not name a cluster of that query, left out before the cut.
     """
     keys = keys or ["query_id", "cluster"]
+    totals = token_totals(weights, keys)
     if stop is not None:
-        weights = _without_forms(weights, vocabulary, stop)
-    top = top_tokens(weights, keys, LABEL_TOKENS)
+        totals = _without_forms(totals, vocabulary, stop)
+    top = top_tokens(totals, keys, LABEL_TOKENS)
     named = vocabulary.join(broadcast_checked(top), "token_id").where(~F.col("token").contains("#"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "token")))
     label = named.groupBy(*keys).agg(F.array_join(ordered["token"], ", ").alias("label"))
@@ -37,8 +38,8 @@ def cluster_labels(
     )
 
 
-def _without_forms(weights: DataFrame, vocabulary: DataFrame, stop: DataFrame) -> DataFrame:
-    """Drop tokens equal to a query word or sharing its first letters."""
+def _without_forms(totals: DataFrame, vocabulary: DataFrame, stop: DataFrame) -> DataFrame:
+    """Drop summed tokens equal to a query word or sharing its first letters."""
     def stem(token):
         return F.substring(token, 1, SHARED_PREFIX)
 
@@ -51,7 +52,7 @@ def _without_forms(weights: DataFrame, vocabulary: DataFrame, stop: DataFrame) -
         .select("query_id", "token_id")
         .distinct()
     )
-    return weights.join(banned, ["query_id", "token_id"], "left_anti")
+    return totals.join(broadcast_checked(banned), ["query_id", "token_id"], "left_anti")
 
 
 def cluster_sizes(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conceptstrata.functions.keys import HASH_SPACE, shuffle_key, uniform
+from conceptstrata.functions.keys import hash60, shuffle_key, uniform
 from conceptstrata.operators.ranking import broadcast_checked, top_k
 
+HASH_BITS, ROUND_BITS = 60, 12
+FEW_ROWS = 5_000  # put in order by themselves
+
 
 def categories(papers: DataFrame) -> DataFrame:
     return papers.select("primary_category").distinct().orderBy("primary_category")
@@ -93,17 +96,27 @@ def sample_listing(sample: DataFrame) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows (fewer only if there are fewer), the same ones on every run.
+    """Exactly n rows (fewer only if there are fewer), the same ones on every run: those with the n smallest hashes.
 
-    The n smallest shuffle keys are wanted, and keys are uniform: all rows above a bound that is met
-    by a little more than n rows are left out before the ranking. Should fewer than n rows meet it,
-    all rows are ranked.
+    The n-th smallest hash is found by counting: a round counts the rows by the next bits of the hash within the interval
+    that holds it, so each round makes the interval some thousand times narrower. All rows below it are taken; only the
+    few inside it are put in order. No row is moved to be ranked, whatever n.
     """
-    shuffled = df.withColumns({"_all": F.lit(0), "_shuffle": shuffle_key(F.col(key), f"sample-{seed}")})
-    total = df.count()
-    if total > 10 * n:
-        share = (n + 6 * math.sqrt(n) + 10) / total
-        likely = shuffled.where(F.col("_shuffle") < f"{int(share * HASH_SPACE):015x}")
-        if likely.count() >= n:
-            shuffled = likely
-    return top_k(shuffled, ["_all"], [F.col("_shuffle"), F.col(key)], n, rank="_rank").drop("_all", "_shuffle", "_rank")
+    hashed = df.withColumn("_hash", hash60(F.concat(F.lit(f"sample-{seed}:"), F.col(key).cast("string"))))
+    below, low, bits = 0, 0, HASH_BITS  # rows before the interval [low, low + 2^bits)
+    inside = None
+    while bits and (inside is None or inside > FEW_ROWS):
+        shift = max(0, bits - ROUND_BITS)
+        part = hashed.where(F.col("_hash").between(low, low + (1 << bits) - 1))
+        counts = part.groupBy(F.shiftright("_hash", shift).alias("cell")).count().orderBy("cell").collect()  # some thousand
+        for r in counts:
+            inside = r["count"]
+            if below + inside >= n:
+                low, bits = r.cell << shift, shift
+                break
+            below += inside
+        else:
+            return df  # there are no more than n
+    taken = hashed.where(F.col("_hash") < low)
+    last = hashed.where(F.col("_hash").between(low, low + (1 << bits) - 1)).orderBy("_hash", key).limit(n - below)
+    return taken.unionByName(last).drop("_hash")

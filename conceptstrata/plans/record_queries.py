@@ -85,6 +85,25 @@ def json_mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.unionByName(junk.select(F.lit(None).cast("string").alias("id"), F.col("value").alias("title"), F.lit("malformed").alias("kind")))
 
 
+@query("json_lines_left_out", """
+SELECT CAST(doc_id AS VARCHAR) AS value, 'record' AS kind FROM documents WHERE doc_id % 3 = 0
+UNION ALL
+SELECT '{"title":"' || lang || '"}', 'left out' FROM documents WHERE doc_id % 3 = 1
+UNION ALL
+SELECT 'junk ' || doc_id, 'left out' FROM documents WHERE doc_id % 3 = 2
+""")
+def json_lines_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, records without an id and lines that are no JSON: each is read or handed on as text."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    whole = F.to_json(F.struct(key.alias("id"), F.col("lang").alias("title")))
+    line = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("lang").alias("title"))))
+    path = new_path(spark, "lines")
+    docs.select(F.coalesce(line, F.concat(F.lit("junk "), key)).alias("value")).write.text(path)
+    read = json_lines.read_records(spark, path).select(F.col("id").alias("value"), F.lit("record").alias("kind"))
+    return read.unionByName(json_lines.malformed_lines(spark, path).select("value", F.lit("left out").alias("kind")))
+
+
 @query("strict_records", f"""
 WITH {PAPERS}
 SELECT arxiv_id, md5(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) AS abstract_md5, published_date
@@ -109,8 +128,8 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("systematic_sample", """
 SELECT doc_id, pos AS line_no
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-WHERE pos % (SELECT greatest(1, count(*) // 90) FROM documents) = 0
-  AND pos < 90 * (SELECT greatest(1, count(*) // 90) FROM documents)
+WHERE pos % (SELECT greatest(1, (count(*) + 89) // 90) FROM documents) = 0
+  AND pos < 90 * (SELECT greatest(1, (count(*) + 89) // 90) FROM documents)
 """)
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = json_lines.numbered_rows(spark, f"{sf_dir}/documents.parquet")
@@ -120,8 +139,8 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("systematic_lines", """
 SELECT CAST(doc_id AS VARCHAR) AS id, pos AS line_no
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
-WHERE pos % (SELECT greatest(1, count(*) // 90) FROM documents) = 0
-  AND pos < 90 * (SELECT greatest(1, count(*) // 90) FROM documents)
+WHERE pos % (SELECT greatest(1, (count(*) + 89) // 90) FROM documents) = 0
+  AND pos < 90 * (SELECT greatest(1, (count(*) + 89) // 90) FROM documents)
 """)
 def systematic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "lines")
@@ -414,16 +433,16 @@ _ORDERS = """orders_dated AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS arxiv_id, o_orderpriority AS primary_category,
          CAST(o_orderdate AS DATE) AS published_date FROM orders)"""
 
+# Days are dealt to 50 spans of equal length; the last day begins a span of its own.
 _BUCKETS = f"""{_ORDERS},
-bounds AS (SELECT min(published_date) AS lo, max(published_date) AS hi FROM orders_dated),
-share AS (SELECT primary_category, count(*) / sum(count(*)) OVER () AS global_ratio
-          FROM orders_dated GROUP BY primary_category),
+share AS (
+  SELECT primary_category, global_ratio FROM (
+    SELECT DISTINCT primary_category, count(*) OVER (PARTITION BY primary_category) / count(*) OVER () AS global_ratio FROM orders_dated)),
+days AS (SELECT *, published_date - min(published_date) OVER () AS passed, max(published_date) OVER () - min(published_date) OVER () AS span
+         FROM orders_dated),
 binned AS (
-  SELECT o.*, s.global_ratio,
-    CAST(CASE WHEN published_date = hi THEN 51
-              ELSE floor(datediff('day', lo, published_date) * 50.0 / datediff('day', lo, hi)) + 1 END AS INTEGER)
-      AS bucket_id
-  FROM orders_dated o JOIN share s USING (primary_category), bounds)"""
+  SELECT arxiv_id, primary_category, published_date, 1 + (50 * passed) // span AS bucket_id, global_ratio
+  FROM days NATURAL JOIN share)"""
 
 
 @query("category_list", "SELECT DISTINCT o_orderpriority AS primary_category FROM orders ORDER BY 1")
@@ -443,7 +462,7 @@ def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("time_buckets", f"""
 WITH {_BUCKETS}
-SELECT bucket_id, primary_category, count(*) AS n, min(published_date) AS first_date, max(published_date) AS last_date
+SELECT bucket_id::INTEGER AS bucket_id, primary_category, count(*) AS n, min(published_date) AS first_date, max(published_date) AS last_date
 FROM binned GROUP BY ALL
 """)
 def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,17 +471,18 @@ def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A cell may take the whole part of its target, and one row more with the odds of the fraction.
 @query("stratified_sample", f"""
 WITH {_BUCKETS},
-ranked AS (
-  SELECT *, 100.0 * global_ratio AS exact_target,
-    {HASH.format(text="'round-42:' || arxiv_id")}::DOUBLE / 1152921504606846976.0 AS u,
-    row_number() OVER (PARTITION BY bucket_id, primary_category
-      ORDER BY CASE WHEN arxiv_id = '7' THEN 0 ELSE 1 END, {HASH.format(text="'order-42:' || arxiv_id")}, arxiv_id) AS rnk
-  FROM binned)
-SELECT arxiv_id, primary_category, published_date, bucket_id, rnk, round(exact_target, 6) AS exact_target
-FROM ranked
-WHERE rnk <= floor(exact_target) + CASE WHEN u < exact_target - floor(exact_target) THEN 1 ELSE 0 END
+cells AS (
+  SELECT arxiv_id, primary_category, published_date, bucket_id, 5000 / 50 * global_ratio AS exact_target,
+         {HASH.format(text="'order-42:' || arxiv_id")} AS place, {HASH.format(text="'round-42:' || arxiv_id")} / pow(2, 60) AS draw
+  FROM binned),
+placed AS (
+  SELECT *, count(*) OVER (PARTITION BY bucket_id, primary_category ORDER BY arxiv_id <> '7', place, arxiv_id ROWS UNBOUNDED PRECEDING) AS rnk
+  FROM cells)
+SELECT arxiv_id, primary_category, published_date, bucket_id::INTEGER AS bucket_id, rnk, round(exact_target, 6) AS exact_target
+FROM placed WHERE rnk <= trunc(exact_target) OR (rnk = trunc(exact_target) + 1 AND draw < exact_target - trunc(exact_target))
 """)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sampling.stratified_sample(_orders(spark, sf_dir), 5000, 50, pinned=["7"], seed=42)

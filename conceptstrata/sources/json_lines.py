@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conceptstrata.operators.ranking import broadcast_checked
 from conceptstrata.schemas import SOURCE_RECORD
 
-CORRUPT = "_corrupt_record"
 # Bound for broadcasting the table of file splits (a path and three numbers per row)
 SPLITS = 500_000
-WITH_CORRUPT = T.StructType([*SOURCE_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -26,10 +23,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are no JSON record, as text."""
-    lines = spark.read.text(path)
-    parsed = F.from_json("value", WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.where(parsed[CORRUPT].isNotNull())
+    """The lines that `read_records` leaves out, as text: no JSON, or without an id. Blank lines are none of either."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(F.from_json("value", SOURCE_RECORD, {"mode": "PERMISSIVE"})["id"].isNull())
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -71,12 +67,11 @@ def sampled_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
 def systematic(numbered: DataFrame, limit: int, estimated_lines: int | None = None) -> DataFrame:
     """Every n-th line up to `limit` lines, spread over all lines.
 
-    The step follows from the number of lines, which is counted unless an estimate is given. The kept
-    lines are 0, step, 2*step, ..., so the first `limit` of them are those below step*limit: a filter,
-    with no sort.
+    The step follows from the number of lines, which is counted unless an estimate is given, and is rounded up, so that
+    the last lines are reached. The kept lines are 0, step, 2*step, ..., those below step*limit: a filter, with no sort.
     """
     lines = numbered.count() if estimated_lines is None else estimated_lines
-    step = max(1, lines // limit)
+    step = max(1, -(-lines // limit))
     return numbered.where((F.col("line_no") % step == 0) & (F.col("line_no") < step * limit))
 
 

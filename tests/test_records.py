@@ -236,7 +236,31 @@ def test_exact_sample(spark):
         return hashlib.md5(f"sample-42:{i}".encode()).hexdigest()[:15]
 
     assert {r.id for r in a} == set(sorted(range(1000), key=rank)[:37])
-    assert sampling.exact_sample(rows, 2000, "id").count() == 1000
+    assert sampling.exact_sample(rows, 2000, "id").count() == sampling.exact_sample(rows, 1000, "id").count() == 1000
+    assert sampling.exact_sample(rows, 999, "id").count() == 999 and sampling.exact_sample(rows.limit(0), 3, "id").count() == 0
+
+
+def test_exact_sample_narrows_the_interval(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "FEW_ROWS", 3)
+    monkeypatch.setattr(sampling, "ROUND_BITS", 4)
+    rows = spark.range(700).unionByName(spark.range(5).select(F.lit(3).cast("bigint").alias("id")))  # six rows of one key
+    for n in (1, 50, 701):
+        got = sorted(r.id for r in sampling.exact_sample(rows, n, "id").collect())
+        ranked = sorted([*range(700), *[3] * 5], key=lambda i: (hashlib.md5(f"sample-42:{i}".encode()).hexdigest()[:15], i))
+        assert got == sorted(ranked[:n])
+
+
+def test_every_line_is_read_or_handed_on(spark, tmp_path):
+    path = write_lines(tmp_path / "all", record(), {"title": "no id"}, "", '{"id": null, "title": "x"}', "[1, 2]", record(id="2", versions="odd"), "  ")
+    assert {r.id for r in json_lines.read_records(spark, path).collect()} == {"1", "2"}
+    left = {r.value for r in json_lines.malformed_lines(spark, path).collect()}
+    assert left == {'{"title": "no id"}', '{"id": null, "title": "x"}', "[1, 2]"}
+
+
+def test_sample_reaches_the_last_lines(spark):
+    rows = spark.range(199).select(F.col("id").alias("line_no"))
+    assert [r.line_no for r in json_lines.systematic(rows, 100).orderBy("line_no").collect()] == list(range(0, 199, 2))
+    assert [r.line_no for r in json_lines.systematic(rows, 60).orderBy("line_no").collect()] == list(range(0, 199, 4))
 
 
 def test_ingest_feed_takes_new_files_once(spark, tmp_path):
