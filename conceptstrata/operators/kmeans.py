@@ -346,9 +346,12 @@ def fit_distributed(
     restarts: int = RESTARTS,
     seed: int = SEED,
     max_iterations: int = MAX_ITERATIONS,
+    starts: dict[tuple[int, int], np.ndarray] | None = None,
 ) -> DataFrame:
     """Labels per (query_id, k, point_id) for sets of any size; `ks` lists the counts per query_id.
 
+    `starts` gives the centres to begin with, (restarts, k, dims) per (query_id, k); otherwise they are drawn.
+
     Lloyd's algorithm as one Spark job per iteration: a single pass over the cached points moves the
     centres of all sets, cluster counts and restarts. Only centres (sets x k x restarts x dims) travel
     through the driver, never points.
@@ -359,7 +362,7 @@ def fit_distributed(
     spread = points.groupBy("query_id").agg(vector_to_array(variance).alias("v"))
     tolerance = {int(r.query_id): TOLERANCE * float(np.nanmean(r.v)) for r in spread.toLocalIterator()}
 
-    models = _initial_models(points, ks, restarts)
+    models = {key: c.copy() for key, c in starts.items()} if starts else _initial_models(points, ks, restarts)
     active = {key: np.arange(len(c)) for key, c in models.items()}
     for _ in range(max_iterations):
         moving = {key: models[key][rows] for key, rows in active.items() if len(rows)}

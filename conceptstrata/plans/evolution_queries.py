@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,60 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pass_sql(number: int) -> str:
+    """Assignment to the centres of a pass, and the centres of the next: the means, or the old centre of an empty cluster."""
+    return f"""
+near{number} AS (
+  SELECT arxiv_id, arg_min(cluster, (dist, cluster)) AS cluster, min(dist) AS dist FROM (
+    SELECT d.arxiv_id, s.cluster, sum((d.x - s.x) * (d.x - s.x)) AS dist FROM dims d JOIN centre{number} s USING (dim) GROUP BY ALL)
+  GROUP BY arxiv_id),
+centre{number + 1} AS (
+  SELECT c.cluster, c.dim, coalesce(m.x, c.x) AS x FROM centre{number} c LEFT JOIN (
+    SELECT n.cluster, d.dim, avg(d.x) AS x FROM near{number} n JOIN dims d ON d.arxiv_id = n.arxiv_id GROUP BY ALL) m USING (cluster, dim))"""
+
+
+_STARTS = """centre0 AS (
+  SELECT first.cluster, d.dim, d.x FROM dims d JOIN (
+    SELECT arxiv_id, row_number() OVER (ORDER BY arxiv_id) - 1 AS cluster FROM vectors ORDER BY arxiv_id LIMIT 4) first USING (arxiv_id))"""
+
+
+@query("kmeans_from_starts", f"""
+WITH {_VDIMS}, {_STARTS}, {",".join(_pass_sql(n) for n in range(4))}
+SELECT arxiv_id, cluster::INTEGER AS cluster, round((SELECT sum(dist) FROM near3), 4) AS inertia FROM near3
+""")
+def kmeans_from_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over all embeddings from four of them, then the labels."""
+    points = _points(spark, sf_dir)
+    first = points.select("point_id", "vector").orderBy("point_id").limit(4).collect()  # the four starts
+    starts = {(0, 4): np.array([[r.vector for r in first]], dtype=np.float64)}
+    fitted = kmeans.fit_distributed(points, {0: [4]}, max_iterations=3, starts=starts)
+    return fitted.select(F.col("point_id").alias("arxiv_id"), "cluster", F.round("inertia", 4).alias("inertia"))
+
+
+_KS = (2, 3, 5, 10)
+
+
+@query("best_k_of_labels", f"""
+WITH {VECTORS},
+ks AS (SELECT unnest({list(_KS)}) AS k),
+sums AS (SELECT k, a.arxiv_id, a.cluster % k AS own, b.cluster % k AS other, sum(list_distance(a.v, b.v)) AS dist, count(*) AS n
+  FROM ks, vectors a JOIN vectors b ON a.arxiv_id <> b.arxiv_id GROUP BY ALL),
+parts AS (SELECT k, arxiv_id, max(CASE WHEN own = other THEN dist / n END) AS a,
+  min(CASE WHEN own <> other THEN dist / n END) AS b FROM sums GROUP BY ALL),
+scores AS (SELECT k, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+  FROM parts GROUP BY k)
+SELECT 0::BIGINT AS query_id, k::INTEGER AS k, silhouette, silhouette = max(silhouette) OVER () AS best FROM scores
+""")
+def best_k_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes of four labellings of the embeddings, made from the given labels, and which of them is chosen."""
+    points = _points(spark, sf_dir)
+    given = points.select("query_id", "point_id", "cluster", F.explode(F.array(*map(F.lit, _KS))).alias("k"))
+    given = given.withColumn("cluster", (F.col("cluster") % F.col("k")).cast("int"))
+    scores = cut_lineage(silhouette.silhouette(points, given).withColumn("silhouette", F.round("silhouette", 6)), "scores")
+    chosen = silhouette.best_k(scores).select("query_id", F.col("k").alias("_k"))
+    return scores.join(chosen, "query_id").select("query_id", "k", "silhouette", (F.col("k") == F.col("_k")).alias("best"))
+
+
 @query("silhouette_exact", f"""
 WITH {VECTORS},
 sums AS (SELECT a.arxiv_id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.v, b.v)) AS dist, count(*) AS n
@@ -270,10 +325,12 @@ def era_segments_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("era_listing", f"""
 WITH RECURSIVE {_SALES}, {era_sql(5)}
-SELECT k AS cluster_label, era_no, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS period FROM eras
+SELECT k AS cluster_label, era_no, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS period,
+  format('{{:,.1f}}', avg_count) AS activity
+FROM eras
 """)
 def era_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eras.era_listing(_eras(spark, sf_dir, 5)).select("cluster_label", "era_no", "period")
+    return eras.era_listing(_eras(spark, sf_dir, 5)).select("cluster_label", "era_no", "period", "activity")
 
 
 @query("pivotal_papers", f"""

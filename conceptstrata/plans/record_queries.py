@@ -354,6 +354,20 @@ def versioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_values(stored.lookup(ids))
 
 
+@query("collection_count", "SELECT count(*) AS n, count(*) AS n_versioned FROM embeddings")
+def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the vector tables after the same rows were written twice."""
+    rows = _vector_rows(spark, sf_dir)
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=4)
+    name = _new_table("counted")
+    tables.create_vectors(spark, name, new_path(spark, "vectors"))
+    for _ in range(2):
+        stored.upsert(rows, latest="publication_year")
+        tables.upsert(name, rows, "paper_id", rows_move=True)
+    counts = [t.agg(F.count("*").alias("n")).scalar() for t in (tables.read(spark, name), stored.read())]
+    return spark.range(1).select(counts[0].alias("n"), counts[1].alias("n_versioned"))
+
+
 @query("bitmap_lookup", f"""
 WITH {PAPERS}
 SELECT arxiv_id, title, md5(abstract) AS abstract_md5 FROM papers WHERE doc_id IN (SELECT doc_id FROM labels)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptstrata.functions.keys import hash60
 from conceptstrata.functions.text import words
+from conceptstrata.functions.vectors import jaccard
 from conceptstrata.operators import drift, encode, evaluate, retrieve
 from conceptstrata.operators.pruned_search import PostingBlocks, VectorCells
 from conceptstrata.plans import adapters
@@ -303,6 +304,31 @@ def hybrid_fusion_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_search(spark, sf_dir, 0.75, "minmax"))
 
 
+@query("search_without_hits", """
+SELECT item_id AS query_id, '' AS arxiv_id, 0.0::DOUBLE AS score, 0 AS year, '' AS title FROM benchmark WHERE false
+""")
+def search_without_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of years without papers: no rows, and the columns of every result."""
+    vectors, _, asked = _text_inputs(spark, sf_dir)
+    late = asked.withColumns({"start_year": F.lit(2050), "end_year": F.lit(2060)})
+    hits = retrieve.hybrid_search(vectors, late, _LIMIT)
+    return retrieve.attach_metadata(hits, adapters.papers(spark, sf_dir)).select("query_id", "arxiv_id", "score", "year", "title")
+
+
+@query("jaccard_of_word_sets", f"""
+WITH sets AS (
+  SELECT doc_id, list_distinct({WORDS.format(text="split_part(text, chr(10), 1)")}) AS a, list_distinct({WORDS.format(text='text')}) AS b
+  FROM documents),
+counted AS (SELECT doc_id, len(list_intersect(a, b)) AS shared, len(list_distinct(a || b)) AS either FROM sets)
+SELECT doc_id, round(CASE WHEN either = 0 THEN 0 ELSE shared / either END, 6) AS jaccard FROM counted
+""")
+def jaccard_of_word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a document's vocabulary its first line holds."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    first, whole = words(F.substring_index("text", "\n", 1)), words(F.col("text"))
+    return docs.select("doc_id", F.round(jaccard(F.array_distinct(first), F.array_distinct(whole)), 6).alias("jaccard"))
+
+
 @query("search_with_metadata", f"""
 WITH {_lists(500)}, {_BOUNDED}, fused AS ({_fused('0.5', 'ds', 'ss')})
 SELECT query_id, arxiv_id, round(score, 6) AS score, CAST(year(published_date) AS INTEGER) AS year, title, primary_category,
