@@ -81,20 +81,34 @@ def unlikely_part(attributes: str) -> bool:
     return False
 
 
-def close(node: Node, tags: set[str], bounds: set[str]) -> Node:
-    """The parent of the nearest open element of `tags`; the node itself if a bound comes first."""
-    at: Node | None = node
-    while at is not None and at.tag not in bounds:
-        if at.tag in tags and at.parent is not None:
-            return at.parent
-        at = at.parent
-    return node
+class OpenElements:
+    """The open elements from the page down, and per tag the depths at which it is open: no element is looked up by walking."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {root.tag: [0]}
+
+    def deepest(self, tags: set[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def open(self, child: Node) -> None:
+        self.depths.setdefault(child.tag, []).append(len(self.path))
+        self.path.append(child)
+
+    def close(self, tags: set[str], bounds: set[str]) -> None:
+        """Close the nearest open element of `tags` and all in it, unless a bound is nearer."""
+        depth = self.deepest(tags)
+        if depth > max(0, self.deepest(bounds)):
+            for node in self.path[depth:]:
+                self.depths[node.tag].pop()
+            del self.path[depth:]
 
 
 def parse(page: str) -> Node:
-    root = at = Node("#page", None)
+    root = Node("#page", None)
+    opened = OpenElements(root)
     pos, end = 0, len(page)
     while pos < end:
+        at = opened.path[-1]
         m = TAG.search(page, pos)
         text = page[pos : m.start() if m else end]
         if text:
@@ -118,15 +132,16 @@ def parse(page: str) -> Node:
         elif tag in VOID or tag not in BLOCK:
             continue
         elif closing:
-            at = close(at, {tag}, {"#page"})
+            opened.close({tag}, {"#page"})
         else:
             if tag not in INLINE:
-                at = close(at, {"p"}, {"table", "td", "th", "button", "object", "#page"})
+                opened.close({"p"}, {"table", "td", "th", "button", "object", "#page"})
             if tag in CLOSES:
-                at = close(at, *CLOSES[tag])
+                opened.close(*CLOSES[tag])
+            at = opened.path[-1]
             child = Node(tag, at, unlikely_part(m[3]))
             at.items.append(child)
-            at = child
+            opened.open(child)
     return root
 
 

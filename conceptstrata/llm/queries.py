@@ -22,7 +22,6 @@ from conceptstrata.llm import (
     token_files,
 )
 from conceptstrata.llm.common import load
-from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
 from conceptstrata.session import new_path
 
@@ -58,7 +57,7 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(load(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
 @query("op7_line_dedup")
@@ -69,7 +68,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
-    token_files.write(load(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    token_files.write(load(spark, sf_dir, "documents"), path, "byte_bpe_50k.json")
     return token_files.index(spark, path)
 
 

@@ -68,7 +68,7 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path if "/" in path else tokenizer_path(path))
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.spaced = spaced
@@ -128,7 +128,10 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> Encoder:
-    """The encoder of this Python worker: its table serves all tasks that the worker runs."""
+    """The encoder of this Python worker: its table serves all tasks that the worker runs.
+
+    A bare name is that of a public tokenizer, whose place is looked up here, on the worker's own machine.
+    """
     return Encoder(path, spaced)
 
 

@@ -173,3 +173,32 @@ def test_account_numbers_end_where_their_country_says(spark):
         new = text[3 : 3 + len(form)]
         assert len(text) == len(start + end) and new != form and is_account(new.replace(" ", "")), (start, end, text)
         assert form not in text and (text.endswith(end) or is_account(end.replace(" ", ""))), (start, end, text)
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    started = time.process_time()
+    page = "<table><tr><td><p>" + "<div>" * 20_000 + "<p>" + "A long sentence, with commas, that is worth keeping, over and over. " * 5 + "</p>" + "</div>" * 20_000
+    assert html_text.parse(page).items
+    assert time.process_time() - started < 2
+
+
+def test_short_benchmark_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "cat"), (3, ""), (4, None)], "item_id long, text string")
+    docs = [(1, "Quiz: what is  the CAPITAL of France? Paris."), (2, "what is the capital of Frances?"), (3, "A cat."), (4, "concatenate"), (None, "cat"), (5, None)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {(1, 1, 0), (3, 2, 0), (None, 2, 0)}
+    row = next(r for r in found.collect() if r.doc_id == 1)
+    assert decontaminate.normal(docs[0][1])[row.begin : row.end] == "what is the capital of france?"
+
+
+def test_learning_from_rows_without_id_and_held_out(spark, tmp_path, sf_small):
+    from conceptstrata.llm import queries
+    from conceptstrata.llm.common import load
+
+    docs = load(spark, sf_small, "documents")
+    docs.unionByName(docs.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op10_language_mixture(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() + 3 and all(r.held_out is not None for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False] * 3
