@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from conceptstrata.llm import decontaminate, language, line_runs, packing, simhash
 from conceptstrata.llm.common import load
-from conceptstrata.llm.tokens import tokenizer_path
 from conceptstrata.plans.registry import query
 from conceptstrata.session import new_path
 
@@ -58,7 +57,7 @@ def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of the training corpus, a row per piece of a document."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(docs, "word_bpe_49k.json")
 
 
 STAGES: list[tuple[str, Stage]] = [
