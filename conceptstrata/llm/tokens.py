@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from struct import Struct
 
 import numpy as np
@@ -91,13 +92,12 @@ class Encoder:
         return b"".join(map(self.table.__getitem__, text.encode().lower().decode().split()))
 
     def _spaced_text(self, text: str) -> bytes:
-        # A piece of the pre-tokenizer never goes on from a character into white space, so a text can be cut before any
-        # of it. Where more than one stands together, or at an end, the blanks do not separate the words.
-        cut = text.replace("\n", " \n")
-        if len(text.split()) != cut.count(" ") + 1:
+        # A piece of the pre-tokenizer never goes on from a character into white space, so a text can be cut before each
+        # blank or line end that stands alone. Of all white space only the blank is printable.
+        pieces = text.replace("\n", " \n").split(" ")
+        if "" in pieces or "\n" in pieces or not text.replace("\n", "").isprintable():
             return self.whole(text)
-        first, *rest = cut.split(" ")
-        return self.whole(first) + b"".join(map(self.table.__getitem__, rest))
+        return self.whole(pieces[0]) + b"".join(map(self.table.__getitem__, islice(pieces, 1, None)))
 
     def _letters(self, letters: str, blank: bool = False) -> bytes:
         """Ids of letters, after a blank or not: a single piece to the pre-tokenizer, which names its bytes."""

@@ -341,3 +341,20 @@ def test_similar_paragraphs_against_brute_force(spark, monkeypatch):
     roots = roots_of(sets, near)
     members = {r for r in sets if sum(x == roots[r] for x in roots.values()) > 1}
     assert got == {d: roots[d] for d in members}
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_odd_texts_equal_those_of_the_whole(name, spaced, monkeypatch):
+    """White space of all kinds, marks, case and combining letters; tables that overflow at once."""
+    from conceptstrata.llm import tokens
+
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 6)
+    monkeypatch.setattr(tokens, "SPACED_WORDS", 6)
+    monkeypatch.setattr(tokens, "TAIL_RUNS", 2)
+    rng = random.Random(3)
+    bits = ["a", "Word", "it's", "x.", "...", "12", "é", "ß.", "naïve!", " ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", "　", "'s", "_", "<|endoftext|>"]
+    bits += ["日本", "\x00", "\x1c", "İ", "Σ", "abc.%%%", "***", "A.B", "İ", "fiﬁ", "é", "ŉn"]
+    encoder = Encoder(name, spaced)
+    for _ in range(4_000):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randint(0, 9)))
+        assert next(iter(encoder.encode_all([text]))) == encoder.whole(text), repr(text)
