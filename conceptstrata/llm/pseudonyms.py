@@ -3,11 +3,16 @@
 Found values are validated (card and account numbers, IBAN by its check number, IPv4 octets, social security
 ranges, calendar dates) and permuted within their format by a keyed Feistel network: the characters of a value
 are digits of mixed radix, one half is shifted by a hash of the other, eight times. Separators, lengths, case
-and check numbers stay valid, and equal values have equal pseudonyms in all documents.
+and check numbers stay valid. Equal values have equal pseudonyms in all documents, with whatever separators numbers are
+written, and different values different ones.
 
 What is kept: the domain of a mail address, the country of a phone number or IBAN, and whether a number passes
-the Luhn check. Dates of 1900 to 2099 stay there. Values that fail their validation are ordinary text.
-A null text stays null; repeated rows have the same result.
+the Luhn check: one that does not is replaced as well, as it may be mistyped. Dates of 1900 to 2099 stay there; a date
+with slashes is day/month/year, unless only month/day/year is a day: then the day of the month stays above 28, if
+it is, or from 13 to 28, so that the pseudonym is read in the same way. IBANs, IPv4 octets, social security numbers
+and dates that fail their validation are ordinary text, as are dates with the names of months and IPv6 addresses.
+A null or empty text stays as it is; repeated rows have the same result, and null keys are rows like others. An empty
+table gives no rows. A long text is a row like others. Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -70,6 +75,8 @@ PATTERNS = {
     "number": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
+# Codes of one and two digits (E.164); all others have three.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31; 17 * 4297 days
 DAY_RADICES = (17, 4_297)
 AREAS, SERIALS = 898, 99 * 9_999  # social security: 001-899 without 666, group 01-99 and serial 0001-9999
@@ -134,6 +141,16 @@ def permuted(value: Column, key: str, kind: str, alphabets: tuple[str, ...] = (D
     return F.array_join(F.zip_with(chars, moved, letter), "")
 
 
+def respaced(value: Column, moved: Column, separators: str) -> Column:
+    """The characters of `moved` at the places of those of `value` that are no separators."""
+
+    def at(c: Column, i: Column) -> Column:
+        before = F.regexp_replace(F.substring(value, F.lit(1), i + 1), separators, "")
+        return F.when(c.rlike(separators), c).otherwise(F.substring(moved, F.length(before), F.lit(1)))
+
+    return F.when(F.length(value) == F.length(moved), moved).otherwise(F.array_join(F.transform(characters(value), at), ""))
+
+
 def luhn(digits: Column) -> Column:
     """Luhn sum of the digits, modulo 10; the last one is not doubled."""
     backwards = F.reverse(F.transform(characters(digits), lambda c: c.cast("int")))
@@ -143,12 +160,12 @@ def luhn(digits: Column) -> Column:
 
 def number_pseudonym(value: Column, key: str) -> Column:
     """All digits but the last are permuted, and the last keeps the Luhn sum as it was."""
-    body = permuted(F.substring(value, F.lit(1), F.length(value) - 1), key, "number")
     bare = F.regexp_replace(value, "[^0-9]", "")
+    body = permuted(F.substring(bare, F.lit(1), F.length(bare) - 1), key, "number")
 
     def closed(moved: Column) -> Column:
-        sum_without = luhn(F.concat(F.regexp_replace(moved, "[^0-9]", ""), F.lit("0")))
-        return F.concat(moved, F.pmod(luhn(bare) - sum_without, F.lit(10)).cast("string"))
+        last = F.pmod(luhn(bare) - luhn(F.concat(moved, F.lit("0"))), F.lit(10))
+        return respaced(value, F.concat(moved, last.cast("string")), "[^0-9]")
 
     return let(body, closed)
 
@@ -165,12 +182,12 @@ def mod97(text: Column) -> Column:
 def iban_pseudonym(value: Column, key: str) -> Column:
     bare = F.regexp_replace(value, " ", "")
     valid = mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
-    body = permuted(F.substring(value, F.lit(5), F.length(value)), key, "iban", (DIGIT, UPPER))
+    body = permuted(F.substring(bare, F.lit(5), F.length(bare)), key, "iban", (DIGIT, UPPER))
     country = F.substring(value, 1, 2)
 
     def closed(moved: Column) -> Column:
-        rest = mod97(F.concat(F.regexp_replace(moved, " ", ""), country, F.lit("00")))
-        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), moved)
+        rest = mod97(F.concat(moved, country, F.lit("00")))
+        return respaced(value, F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), moved), " ")
 
     return F.when(valid, let(body, closed)).otherwise(value)
 
@@ -182,6 +199,37 @@ def pair_permuted(number: Column, radices: tuple[int, int], key: str, kind: str)
     return let(moved, lambda m: F.get(m, F.lit(0)) * radices[1] + F.get(m, F.lit(1)))
 
 
+def late_day(day: Column, key: str) -> Column:
+    """Another day of the same two centuries that is above 12 in its month, as `day` is.
+
+    The days 13 to 28 of all months are one set; the 29th, 30th and 31st of the months that always have them are one
+    set each, and so are the 49 leap days.
+    """
+    year, month, number = F.year(day) - 1900, F.month(day), F.dayofmonth(day)
+
+    def among(months: tuple[int, ...], kind: str) -> Column:
+        listed = F.array(*map(F.lit, months))
+        index = (year * len(months) + F.array_position(listed, month).cast("int") - 1).cast("long")
+        moved = pair_permuted(index, (200, len(months)), key, kind)
+        return let(
+            moved, lambda m: F.make_date((F.floor(m / len(months)) + 1900).cast("int"), F.get(listed, (m % len(months)).cast("int")), number)
+        )
+
+    early = pair_permuted(((year * 12 + month - 1) * 16 + number - 13).cast("long"), (2_400, 16), key, "day 13-28")
+    leap = pair_permuted(F.floor((year - 4) / 4).cast("long"), (7, 7), key, "leap day")
+    not_february = (1, *range(3, 13))
+    return (
+        F.when(
+            number <= 28,
+            let(early, lambda m: F.make_date((F.floor(m / 192) + 1900).cast("int"), (F.floor(m / 16) % 12 + 1).cast("int"), (m % 16 + 13).cast("int"))),
+        )
+        .when(month == 2, let(leap, lambda m: F.make_date((m * 4 + 1904).cast("int"), F.lit(2), F.lit(29))))
+        .when(number == 31, among((1, 3, 5, 7, 8, 10, 12), "day 31"))
+        .when(number == 30, among(not_february, "day 30"))
+        .otherwise(among(not_february, "day 29"))
+    )
+
+
 def date_pseudonym(value: Column, key: str) -> Column:
     """Another day of the same two centuries, written the same way; day/month/year unless only month/day/year is a day."""
     result = value
@@ -191,9 +239,13 @@ def date_pseudonym(value: Column, key: str) -> Column:
     for shape, loose, strict in [*formats, *slashed]:
         day = F.to_date(F.try_to_timestamp(value, F.lit(loose)))
         index = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), pair_permuted(index, DAY_RADICES, key, "date").cast("int"))
+        usable = value.rlike(shape) & (index >= 0) & (index < DAYS)
+        if loose == "M/d/yyyy":  # other days are day/month/year, which comes next
+            usable, moved = usable & (F.dayofmonth(day) > 12), late_day(day, key)
+        else:
+            moved = F.date_add(F.lit(FIRST_DAY).cast("date"), pair_permuted(index, DAY_RADICES, key, "date").cast("int"))
         written = F.date_format(moved, loose) if strict is None else F.when(padded, F.date_format(moved, strict)).otherwise(F.date_format(moved, loose))
-        result = F.when(value.rlike(shape) & (index >= 0) & (index < DAYS), written).otherwise(result)
+        result = F.when(usable, written).otherwise(result)
     return result
 
 
@@ -226,8 +278,11 @@ def email_pseudonym(value: Column, key: str) -> Column:
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ .(-])|\d)", 0)
-    return F.concat(country, permuted(F.substring(value, F.length(country) + 1, F.length(value)), key, "phone"))
+    """The digits after the country code, which is known by its first digits."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    country = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise(F.lit(""))
+    rest = permuted(F.substring(digits, F.length(country) + 1, F.length(digits)), key, "phone")
+    return respaced(value, F.concat(country, rest), "[^0-9]")
 
 
 def secret_pseudonym(value: Column, key: str) -> Column:

@@ -239,7 +239,7 @@ def test_word_by_word_ids_are_those_of_the_whole(spark, sf_small, name, spaced):
     texts = [*odd, *texts_of(spark, sf_small).values()]
     for room in (600_000, 50):
         encoder = Encoder(tokenizer_path(name), spaced)
-        encoder.room = room
+        encoder.table.half = room // 2
         assert list(encoder.encode_all(texts)) == [encoder.whole(t) for t in texts]
 
 

@@ -202,3 +202,26 @@ def test_learning_from_rows_without_id_and_held_out(spark, tmp_path, sf_small):
     rows = queries.op10_language_mixture(spark, str(tmp_path)).collect()
     assert len(rows) == docs.count() + 3 and all(r.held_out is not None for r in rows)
     assert [r.held_out for r in rows if r.doc_id is None] == [False] * 3
+
+
+def test_no_two_days_share_a_pseudonym(spark):
+    """All days of two centuries that are month/day/year only: the pseudonyms are these very strings."""
+    import datetime
+
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73_049)]
+    texts = {d.strftime("%m/%d/%Y") for d in days if d.day > 12}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(16)
+    got = {r.old: r.text for r in pseudonyms.pseudonymize(df.withColumn("old", F.col("text")), "k").collect()}
+    assert set(got.values()) == set(got) == texts and sum(a == b for a, b in got.items()) < 50
+    first = [f"{d:02d}/{m:02d}/2001" for d in range(1, 29) for m in range(1, 13)]
+    assert all(int(t[3:5]) <= 12 and t not in texts for t in pseudonyms_of(spark, first))
+
+
+def test_one_pseudonym_in_all_spellings(spark):
+    pairs = [("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("4111 1111 1111 1111", "4111-1111-1111-1111"), ("4111 1111 1111 1111", "4111111111111111")]
+    pairs += [("+49 30 1234567", "+49301234567"), ("+1 (212) 555-0188", "+12125550188"), ("+380 44 1234567", "+380441234567")]
+    for one, two in pairs:
+        a, b = pseudonyms_of(spark, [one, two])
+        assert [c for c in a if c.isalnum()] == [c for c in b if c.isalnum()] and a != one
+        assert [c if not c.isalnum() else "x" for c in a] == [c if not c.isalnum() else "x" for c in one]
+    assert [t[:3] for t in pseudonyms_of(spark, ["+49 30 1234567", "+49301234567"])] == ["+49"] * 2
