@@ -80,7 +80,7 @@ def write(
         .option("parquet.enable.dictionary", "false")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
-        .option("compression", "zstd")
+        .option("compression", "snappy")  # delta packing leaves little to compress
         .partitionBy("part")
         .parquet(path)
     )

@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 from struct import Struct
 
 import numpy as np
@@ -94,10 +93,13 @@ class Encoder:
     def _spaced_text(self, text: str) -> bytes:
         # A piece of the pre-tokenizer never goes on from a character into white space, so a text can be cut before each
         # blank or line end that stands alone. Of all white space only the blank is printable.
-        pieces = text.replace("\n", " \n").split(" ")
-        if "" in pieces or "\n" in pieces or not text.replace("\n", "").isprintable():
+        cut = text.replace("\n", " \n")
+        alone = cut and cut[0] != " " and cut[-1] not in " \n" and "  " not in cut and " \n " not in cut
+        if not alone or not cut.replace("\n", "").isprintable():
             return self.whole(text)
-        return self.whole(pieces[0]) + b"".join(map(self.table.__getitem__, islice(pieces, 1, None)))
+        first, *rest = cut.split(" ")
+        # The first word has no blank before it, like one at the beginning of a line.
+        return self.table["\n" + first][len(self.newline) :] + b"".join(map(self.table.__getitem__, rest))
 
     def _letters(self, letters: str, blank: bool = False) -> bytes:
         """Ids of letters, after a blank or not: a single piece to the pre-tokenizer, which names its bytes."""
