@@ -118,19 +118,17 @@ def text_windows(df: DataFrame, key: str, text: Column, size: int = 512) -> Data
 
 
 def pool_windows(encoded: DataFrame, key: str) -> DataFrame:
-    """One sparse vector per text from its windows: the largest weight of every token."""
+    """One sparse vector per text from its windows: the largest weight of every token.
+
+    A window without tokens keeps its text, as a row without a token, so the windows are read (and encoded) once.
+    """
     best = (
-        encoded.select(key, F.explode("sparse_vector").alias("token_id", "weight"))
+        encoded.select(key, F.explode_outer("sparse_vector").alias("token_id", "weight"))
         .groupBy(key, "token_id")
         .agg(F.max("weight").alias("weight"))
     )
-    pooled = best.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("token_id", "weight"))).alias("sparse_vector")
-    )
-    empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<float>"))
-    return encoded.select(key).distinct().join(pooled, key, "left").withColumn(
-        "sparse_vector", F.coalesce("sparse_vector", empty)
-    )
+    entry = F.when(F.col("token_id").isNotNull(), F.struct("token_id", "weight"))
+    return best.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("sparse_vector"))
 
 
 def max_pool_logits(logits: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -14,6 +14,7 @@ from conceptstrata.operators import kmeans, pivotal, silhouette
 from conceptstrata.operators.distances import INLINE_ROWS
 from conceptstrata.operators.encode import hash_encode
 from conceptstrata.operators.labels import cluster_labels
+from conceptstrata.operators.lookup import in_partitions, joined_by_key
 from conceptstrata.operators.ranking import broadcast_checked
 from conceptstrata.operators.retrieve import FIRST_YEAR, LAST_YEAR, attach_metadata, dense_topk, hybrid_search
 from conceptstrata.schemas import QUERIES
@@ -22,10 +23,17 @@ from conceptstrata.session import cut_lineage
 
 @dataclass
 class ConceptAnalysis:
-    """Parameters and result tables of one run; every table is keyed by query_id."""
+    """What was asked and the result tables of one run; every table is keyed by query_id.
 
+    `queries` are the rows given (text, years, alpha, cluster count asked for), `chosen_k` the cluster counts used.
+    """
+
+    queries: DataFrame
+    limit: int
     max_eras: int
     pivotal_k: int
+    measure: str
+    chosen_k: DataFrame
     search_results: DataFrame
     concept_clusters: DataFrame
     concept_labels: DataFrame
@@ -64,12 +72,13 @@ def analyze(
     pivotal_k: int = pivotal.TOP_PAPERS,
     max_k: int = silhouette.MAX_K,
     norm: str = "bounded",
+    measure: str = "exact",
 ) -> ConceptAnalysis:
     """Search, cluster, name, date and illustrate the sub-concepts of every query.
 
     queries: query_id, dense_vector, sparse_vector, alpha and optionally start_year, end_year,
-    n_clusters (null or < 2 chooses by silhouette). vectors: arxiv_id, publication_year,
-    dense_vector, sparse_vector. Queries without hits simply have no rows.
+    n_clusters (null or < 2 chooses by silhouette, by the `measure` of `cluster_concepts`). vectors: arxiv_id,
+    publication_year, dense_vector, sparse_vector. Queries without hits simply have no rows.
     """
     # Intermediate results have at most `limit` rows per query and are used several times.
     hits = cut_lineage(hybrid_search(vectors, queries, limit, norm, postings=postings), "hits")
@@ -77,7 +86,7 @@ def analyze(
 
     # The vectors of the hits are read once and serve clustering, silhouette and labels.
     members = cut_lineage(member_vectors(hits, vectors), "members")
-    clusters = cut_lineage(cluster_concepts(members, queries, limit, max_k), "clusters")
+    clusters = cut_lineage(cluster_concepts(members, queries, limit, max_k, measure), "clusters")
     labels = cut_lineage(name_concepts(members, clusters, vocabulary), "labels")
     placed = clusters.join(labels.withColumnRenamed("label", "cluster_label"), ["query_id", "cluster"], "left")
     concept_clusters = cut_lineage(
@@ -87,8 +96,12 @@ def analyze(
     named = concept_clusters.where(F.col("cluster_label").isNotNull())
     eras = cut_lineage(era_ops.find_eras(era_ops.yearly_counts(named), max_eras), "eras")
     return ConceptAnalysis(
+        queries=queries,
+        limit=limit,
         max_eras=max_eras,
         pivotal_k=pivotal_k,
+        measure=measure,
+        chosen_k=clusters.select("query_id", "k").distinct(),
         search_results=results,
         concept_clusters=concept_clusters,
         concept_labels=labels,
@@ -98,11 +111,12 @@ def analyze(
 
 
 def member_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Hits with their vectors. The year takes part in the join, so only the years hit are read."""
-    wanted = broadcast_checked(hits.withColumnRenamed("year", "publication_year"))
-    return vectors.select("arxiv_id", "publication_year", "dense_vector", "sparse_vector").join(
-        wanted, ["arxiv_id", "publication_year"]
-    )
+    """Hits with their vectors: only the years hit are read, and of these only rows that may be hits are joined."""
+    wanted = hits.withColumnRenamed("year", "publication_year")
+    years = in_partitions(vectors, wanted, "publication_year")
+    listed = wanted.withColumnRenamed("publication_year", "_year")
+    rows = joined_by_key(years.select("arxiv_id", "publication_year", "dense_vector", "sparse_vector"), listed, "arxiv_id")
+    return rows.where(F.col("publication_year") == F.col("_year")).drop("_year")
 
 
 def search_in_eras(vectors: DataFrame, queries: DataFrame, eras: DataFrame, limit: int) -> DataFrame:

@@ -99,3 +99,10 @@ def test_queries_from_texts(spark):
 
 def test_database_shards():
     assert shard_predicates("id", 2) == ["ABS(CAST(hashtext(id) AS bigint)) % 2 = 0", "ABS(CAST(hashtext(id) AS bigint)) % 2 = 1"]
+
+
+def test_result_says_what_was_asked(result):
+    asked = {r.query_id: r.n_clusters for r in result.queries.collect()}
+    assert {1, 2, 3} <= set(asked) and result.measure == "exact" and result.limit > 0
+    chosen = {r.query_id: r.k for r in result.chosen_k.collect()}
+    assert 2 not in chosen and all(asked[q] in (None, k) for q, k in chosen.items())

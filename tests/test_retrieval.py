@@ -215,7 +215,9 @@ def test_window_pooling_covers_the_whole_text(spark):
     assert {(r.id, r.window_no, len(r.window_text.split())) for r in cut.collect()} == {
         ("a", 0, 512), ("a", 1, 512), ("a", 2, 276), ("b", 0, 0),
     }
-    pooled = encode.pool_windows(encode.hash_encode(cut, F.col("window_text"), 4), "id").collect()
+    pooling = encode.pool_windows(encode.hash_encode(cut, F.col("window_text"), 4), "id")
+    assert pooling._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # encoded once
+    pooled = pooling.collect()
     assert {r.id: len(r.sparse_vector) for r in pooled} == {"a": 1300, "b": 0}
 
 
