@@ -22,6 +22,7 @@ RESTARTS = 10
 GROUPED_ROWS = 10_000
 MAX_ITERATIONS = 300
 PASSES = 16  # over the points, to draw the starting centres
+TOGETHER = 128  # centres whose distances to all rows are held at once while drawing
 TOLERANCE = 1e-4
 # Centres that travel with one pass of a distributed fit
 MODEL_BYTES = 64 << 20
@@ -62,9 +63,12 @@ def _next_starts(points: np.ndarray, hashes: np.ndarray, chosen: np.ndarray, wid
     restarts, step = chosen.shape[:2]
     width = min(width, len(points))
     rows, draws = np.empty((restarts, width), np.int64), np.empty((restarts, width))
+    together = restarts if restarts * step <= TOGETHER else 1  # restarts measured at once
     for r in range(restarts):
         race = _races(hashes, r, step)
-        weight = _squares(points, chosen[r : r + 1]).min(axis=2)[:, 0] if step else np.ones(len(points))
+        if step and r % together == 0:
+            nearest = _squares(points, chosen[r : r + together]).min(axis=2)
+        weight = nearest[:, r % together] if step else np.ones(len(points))
         with np.errstate(divide="ignore"):
             draw = np.where(weight > 0, race / weight, _LAST * (1.0 + race))
         likely = np.argpartition(draw, width - 1)[:width]
@@ -120,9 +124,9 @@ def _moved(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[n
     return new, ((new - centres) ** 2).sum(axis=(1, 2))
 
 
-def _fit_set(points: np.ndarray, hashes: np.ndarray, k: int, restarts: int) -> tuple[np.ndarray, float]:
-    """All restarts for one set and k; labels and inertia of the restart with least inertia."""
-    centres = _starts(points, hashes, k, restarts)
+def _fit_set(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """All restarts for one set, from their starting centres; labels and inertia of the restart with least inertia."""
+    restarts, k, _ = centres.shape
     tolerance = TOLERANCE * points.var(axis=0, ddof=1).mean()
     active = np.arange(restarts)
     for _ in range(MAX_ITERATIONS):
@@ -145,7 +149,10 @@ def _fit_group(table: pa.Table, restarts: int) -> pa.Table:
     automatic = table["automatic"][0].as_py()
     usable = min(max(2, n - 1), n) if automatic else n
     ks = [k for k in table["ks"][0].as_py() if k <= usable]
-    fits = [_fit_set(points, table["_h"].to_numpy(), k, restarts) for k in ks]
+    # Centres drawn one by one are the first ones of a larger k.
+    widest = {_width(k): k for k in ks}
+    drawn = {width: _starts(points, table["_h"].to_numpy(), k, restarts) for width, k in widest.items()}
+    fits = [_fit_set(points, drawn[_width(k)][:, :k].copy()) for k in ks]
     # Only a choice between several needs a silhouette.
     scored = automatic and ks and n <= INLINE_ROWS
     scores = mean_silhouettes(points, [labels for labels, _ in fits]) if scored else [None] * len(ks)
