@@ -144,11 +144,14 @@ def permuted(value: Column, key: str, kind: str, alphabets: tuple[str, ...] = (D
 def respaced(value: Column, moved: Column, separators: str) -> Column:
     """The characters of `moved` at the places of those of `value` that are no separators."""
 
-    def at(c: Column, i: Column) -> Column:
-        before = F.regexp_replace(F.substring(value, F.lit(1), i + 1), separators, "")
-        return F.when(c.rlike(separators), c).otherwise(F.substring(moved, F.length(before), F.lit(1)))
+    def spaced(new: Column) -> Column:
+        def at(c: Column, i: Column) -> Column:
+            before = F.regexp_replace(F.substring(value, F.lit(1), i + 1), separators, "")
+            return F.when(c.rlike(separators), c).otherwise(F.substring(new, F.length(before), F.lit(1)))
 
-    return F.when(F.length(value) == F.length(moved), moved).otherwise(F.array_join(F.transform(characters(value), at), ""))
+        return F.when(F.length(value) == F.length(new), new).otherwise(F.array_join(F.transform(characters(value), at), ""))
+
+    return let(moved, spaced)
 
 
 def luhn(digits: Column) -> Column:
@@ -241,7 +244,7 @@ def date_pseudonym(value: Column, key: str) -> Column:
         index = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
         usable = value.rlike(shape) & (index >= 0) & (index < DAYS)
         if loose == "M/d/yyyy":  # other days are day/month/year, which comes next
-            usable, moved = usable & (F.dayofmonth(day) > 12), late_day(day, key)
+            usable, moved = usable & (F.dayofmonth(day) > 12), let(day, lambda d: late_day(d, key))
         else:
             moved = F.date_add(F.lit(FIRST_DAY).cast("date"), pair_permuted(index, DAY_RADICES, key, "date").cast("int"))
         written = F.date_format(moved, loose) if strict is None else F.when(padded, F.date_format(moved, strict)).otherwise(F.date_format(moved, loose))
@@ -281,8 +284,12 @@ def phone_pseudonym(value: Column, key: str) -> Column:
     """The digits after the country code, which is known by its first digits."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     country = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise(F.lit(""))
-    rest = permuted(F.substring(digits, F.length(country) + 1, F.length(digits)), key, "phone")
-    return respaced(value, F.concat(country, rest), "[^0-9]")
+
+    def moved(found: Column) -> Column:
+        rest = permuted(F.substring(digits, F.length(found) + 1, F.length(digits)), key, "phone")
+        return respaced(value, F.concat(found, rest), "[^0-9]")
+
+    return let(country, moved)
 
 
 def secret_pseudonym(value: Column, key: str) -> Column:
