@@ -17,7 +17,7 @@ from struct import Struct
 import numpy as np
 
 TABLE_WORDS = 600_000  # words kept by a Python worker, some 180 bytes each
-SPACED_WORDS = 1_200_000  # of the vocabulary that tells case and line ends apart
+SPACED_WORDS = 1_800_000  # of the vocabulary that tells case and line ends apart
 CONTROLS = re.compile("[\x1c-\x1f]")  # what only Python takes for white space
 MARKS = ".,;:!?"
 TAIL_RUNS = 20_000  # runs of punctuation kept
