@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 # Rows of a block: the distance matrix of two blocks takes 32 MB.
 BLOCK_ROWS = 2_048
@@ -58,12 +57,3 @@ def _mean_score(sums: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> float
 
 def mean_silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return mean_silhouettes(points, [labels])[0]
-
-
-_DTYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object"}
-
-
-def no_rows(columns: str) -> pd.DataFrame:
-    """Typed empty result of a grouped function, from its column list."""
-    pairs = (column.split() for column in columns.split(", "))
-    return pd.DataFrame({name: pd.Series(dtype=_DTYPES[kind]) for name, kind in pairs})

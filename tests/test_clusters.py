@@ -1,6 +1,7 @@
 """k-means, silhouette and cluster labels against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,23 @@ def test_blocks_equal_brute_force(spark, block_rows):
         assert mean_silhouette(stored, codes[k]) == pytest.approx(np.mean(want), abs=1e-6)
 
 
+def test_rows_are_sent_to_few_blocks_and_come_back_as_one(spark):
+    points = spark.range(4_000).selectExpr("1L AS query_id", "cast(id AS string) AS point_id", "array(0f, cast(id AS float)) AS vector")
+    members = spark.createDataFrame([(1, 2, 0, 2_000), (1, 2, 1, 2_000)], "query_id bigint, k int, cluster int, n bigint")
+    assert silhouette.block_counts(points, members, 50, 10).first()["_blocks"] == 10  # 55 pairs for 50 tasks, not 400 blocks
+    assert silhouette.block_counts(points, members, 50, 1_000).first()["_blocks"] == 4
+
+    def block(ids, clusters):
+        return pa.table({"query_id": [1] * len(ids), "point_id": ids, "vector": [[float(c)] for c in clusters], "ks": [[2, 3]] * len(ids), "clusters": [[c % 2, c] for c in clusters]})
+
+    sums = silhouette._distance_sums((1, 0, 1), block(["b", "a"], [2, 0]), block(["c", "d"], [1, 1])).to_pylist()
+    assert [r["point_id"] for r in sums] == ["a", "b", "c", "d"]
+    assert sums[0] == {"query_id": 1, "point_id": "a", "k": [2, 3], "own": [0, 0], "other": [1, 1], "distance": [2.0, 2.0]}
+    assert sums[2] == {"query_id": 1, "point_id": "c", "k": [2, 3, 3], "own": [1, 1, 1], "other": [0, 0, 2], "distance": [2.0, 1.0, 1.0]}
+    empty = block(["a"], [0]).slice(1)
+    assert silhouette._distance_sums((1, 0, 1), empty, block(["c"], [1])).num_rows == 0
+
+
 def same_partition(a, b):
     return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
