@@ -8,24 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptstrata.session import new_path, ship_package
+from conceptstrata.session import BATCH_ROWS, new_path, ship_package, short_batches  # noqa: F401
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-BATCH_ROWS = 1_000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Send whole texts to Python in batches of at most BATCH_ROWS rows, some megabytes, unless fewer are set."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    ship_package(spark)
-
-
 class Scratch:
     """Tables written to the shared folder: they outlive executors and are dropped once not needed."""
 

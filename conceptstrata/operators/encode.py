@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 from conceptstrata.functions.keys import hash60
 from conceptstrata.functions.text import words
 from conceptstrata.operators.ranking import top_k
+from conceptstrata.session import short_batches
 
 SEPARATOR = "[SEP]"
 DENSE_DIMS = 768
+# Texts encoded at once by a Python worker: some 20 MB with everything in between, however many rows a batch has
+SLICE_ROWS, SLICE_TOKENS = 256, 100_000
 DENSE = T.StructField("dense_vector", T.ArrayType(T.FloatType()))
 SPARSE = T.StructField("sparse_vector", T.MapType(T.LongType(), T.FloatType()))
 
@@ -64,34 +67,50 @@ def hash_encode(df: DataFrame, text: Column, dims: int = DENSE_DIMS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(batch.num_columns - 1)
-            texts = batch.num_rows
-            token = tokens.flatten().to_numpy()
-            doc = np.repeat(np.arange(texts), np.diff(tokens.offsets.to_numpy()))
-
-            order = np.lexsort((token, doc))
-            doc, token = doc[order], token[order]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])][: len(doc)])
-            doc, token = doc[first], token[first]
-            weight = np.log1p(np.diff(np.r_[first, len(order)]))
-
-            sign = np.where(token // dims % 2 == 0, 1.0, -1.0)
-            dense = np.bincount(doc * dims + token % dims, sign * weight, texts * dims).reshape(texts, dims)
-            length = np.linalg.norm(dense, axis=1, keepdims=True)
-            dense = (dense / np.where(length > 0, length, 1.0)).astype("float32")
-
-            dense_offsets = pa.array(np.arange(0, texts * dims + 1, dims, dtype=np.int32))
-            sparse_offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=texts))].astype(np.int32))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns.append(pa.ListArray.from_arrays(dense_offsets, pa.array(dense.ravel())))
-            columns.append(
-                pa.MapArray.from_arrays(sparse_offsets, pa.array(token), pa.array(weight.astype("float32")))
-            )
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for part in _slices(batch):
+                yield _encoded(part, dims, schema.names)
 
+    short_batches(df.sparkSession)
     return df.withColumn("_tokens", F.transform(words(text), hash60)).mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, at most SLICE_ROWS at once and, as far as whole texts allow, SLICE_TOKENS tokens (the last column)."""
+    offsets = batch.column(batch.num_columns - 1).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(offsets, offsets[at] + SLICE_TOKENS, side="right")) - 1
+        end = min(max(full, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _encoded(batch: pa.RecordBatch, dims: int, names: list[str]) -> pa.RecordBatch:
+    """The columns of a batch with both vectors in place of the last one, the token ids."""
+    tokens = batch.column(batch.num_columns - 1)
+    texts = batch.num_rows
+    token = tokens.flatten().to_numpy()
+    doc = np.repeat(np.arange(texts), np.diff(tokens.offsets.to_numpy()))
+
+    order = np.lexsort((token, doc))
+    doc, token = doc[order], token[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])][: len(doc)])
+    doc, token = doc[first], token[first]
+    weight = np.log1p(np.diff(np.r_[first, len(order)]))
+
+    sign = np.where(token // dims % 2 == 0, 1.0, -1.0)
+    dense = np.bincount(doc * dims + token % dims, sign * weight, texts * dims).reshape(texts, dims)
+    length = np.linalg.norm(dense, axis=1, keepdims=True)
+    dense = (dense / np.where(length > 0, length, 1.0)).astype("float32")
+
+    dense_offsets = pa.array(np.arange(0, texts * dims + 1, dims, dtype=np.int32))
+    sparse_offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=texts))].astype(np.int32))
+    columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+    columns.append(pa.ListArray.from_arrays(dense_offsets, pa.array(dense.ravel())))
+    columns.append(pa.MapArray.from_arrays(sparse_offsets, pa.array(token), pa.array(weight.astype("float32"))))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def hash_encode_papers(papers: DataFrame, dims: int = DENSE_DIMS) -> DataFrame:
     """Built-in encoding of title and abstract."""
     return hash_encode(papers, F.concat_ws(" ", "title", "abstract"), dims)

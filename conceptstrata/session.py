@@ -15,7 +15,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # One Arrow batch of 768-d float vectors stays near 12 MB.
+    # One Arrow batch of 768-d float vectors stays near 12 MB; `short_batches` sets fewer for whole texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
@@ -78,6 +78,17 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(task_count(spark)) if few else table
 
 
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in batches of at most BATCH_ROWS rows, some megabytes, unless fewer are set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, for sessions that were started without it."""
     name = "conceptstrata.zip"

@@ -1,6 +1,7 @@
 """Retrieval against brute force; fusion and evaluation by hand."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,28 @@ def expected(data, rows, query, k, years=(1980, 2025)):
     return [i for _, i in order[:k]]
 
 
+def test_long_batches_are_encoded_in_slices(spark, monkeypatch):
+    texts = ["a b a", "", "b c d e", "a", "c c c c c", "f"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+
+    def vectors():
+        rows = encode.hash_encode(frame, F.col("text"), 8).collect()
+        return {r.doc_id: (r.text, r.dense_vector, r.sparse_vector) for r in rows}
+
+    want = vectors()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+    batch = pa.record_batch({"doc_id": list(range(6)), "_tokens": [[1, 2, 1], [], [2, 3, 4, 5], [1], [3] * 5, [6]]})
+    for limits, sizes in (((2, 100), [2, 2, 2]), ((9, 4), [2, 1, 1, 1, 1]), ((9, 7), [3, 3])):
+        for name, limit in zip(("SLICE_ROWS", "SLICE_TOKENS"), limits, strict=True):
+            monkeypatch.setattr(encode, name, limit)
+        parts = list(encode._slices(batch))
+        assert [p.num_rows for p in parts] == sizes
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        encoded = [r for p in parts for r in encode._encoded(p, 8, ["doc_id", "dense", "sparse"]).to_pylist()]
+        assert encoded == encode._encoded(batch, 8, ["doc_id", "dense", "sparse"]).to_pylist()
+    assert want[1][2] == {} and sum(x * x for x in want[2][1]) == pytest.approx(1.0)
+
+
 @pytest.mark.parametrize("k", [10, 80, 300])
 @pytest.mark.parametrize("block", [False, True])
 def test_dense_topk_equals_brute_force(spark, monkeypatch, k, block):
