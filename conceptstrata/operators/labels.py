@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptstrata.operators.encode import token_totals, top_tokens
 from conceptstrata.operators.ranking import broadcast_checked
+from conceptstrata.session import cut_lineage
 
 LABEL_TOKENS = 5
 # A token is a form of a query word if they share this many leading letters.
@@ -27,6 +28,7 @@ def cluster_labels(
     keys = keys or ["query_id", "cluster"]
     totals = token_totals(weights, keys)
     if stop is not None:
+        vocabulary = cut_lineage(vocabulary, "vocabulary")  # read twice, made from all texts once
         totals = _without_forms(totals, vocabulary, stop)
     top = top_tokens(totals, keys, LABEL_TOKENS)
     named = vocabulary.join(broadcast_checked(top), "token_id").where(~F.col("token").contains("#"))

@@ -94,14 +94,22 @@ def block_counts(points: DataFrame, members: DataFrame, tasks: int, block_rows:
     )
 
 
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    """Lists of one length as the rows of a matrix; a null or another length is refused, as its values would shift."""
+    values = lists.flatten().to_numpy()
+    if (np.diff(lists.offsets.to_numpy()) * rows != len(values)).any():
+        raise ValueError("vectors and labels of a set must be as long as each other")
+    return values.reshape(rows, -1)
+
+
 class _Block:
     """The rows of a block in the order of their ids, with their clusters as the columns of a 0/1 matrix."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks().sort_by("point_id")
         self.query, self.ids, n = table["query_id"].combine_chunks(), table["point_id"].combine_chunks(), table.num_rows
-        self.vectors = table["vector"].combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.float64)
-        self.own = table["clusters"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        self.vectors = _matrix(table["vector"].combine_chunks(), n).astype(np.float64)
+        self.own = _matrix(table["clusters"].combine_chunks(), n)
         self.ks = np.array(table["ks"][0].as_py(), np.int32)
         coded = [np.unique(own, return_inverse=True) for own in self.own.T]
         self.place = np.repeat(np.arange(len(coded)), [len(present) for present, _ in coded])

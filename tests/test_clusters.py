@@ -75,6 +75,9 @@ def test_rows_are_sent_to_few_blocks_and_come_back_as_one(spark):
     assert [r["point_id"] for r in sums] == ["a", "b", "c", "d"]
     assert sums[0] == {"query_id": 1, "point_id": "a", "k": [2, 3], "own": [0, 0], "other": [1, 1], "distance": [2.0, 2.0]}
     assert sums[2] == {"query_id": 1, "point_id": "c", "k": [2, 3, 3], "own": [1, 1, 1], "other": [0, 0, 2], "distance": [2.0, 1.0, 1.0]}
+    for lists in ([[1.0, 2.0], None], [[1.0], [1.0, 2.0, 3.0]]):  # four values, but not two a row
+        with pytest.raises(ValueError):
+            silhouette._matrix(pa.array(lists), 2)
     empty = block(["a"], [0]).slice(1)
     assert silhouette._distance_sums((1, 0, 1), empty, block(["c"], [1])).num_rows == 0
 
@@ -299,3 +302,18 @@ def test_no_silhouette_where_k_is_given(spark):
     assert {(r.query_id, r.k, r.silhouette is None) for r in fitted} == {(1, 2, True)} | {(2, k, False) for k in range(2, 9)}
     few = kmeans.fit_bounded(points, silhouette.k_candidates(sets.where("query_id = 9")))
     assert few.collect() == []
+
+
+def test_stop_words_need_the_vocabulary_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(token):
+        read.add(1)
+        return token
+
+    vocabulary = spark.createDataFrame([(1, "entropy"), (2, "heat"), (3, "gas")], "token_id bigint, token string").withColumn("token", seen("token"))
+    weights = spark.createDataFrame([(1, 0, t, w) for t, w in ((1, 3.0), (2, 2.0), (3, 1.0))], "query_id bigint, cluster int, token_id bigint, weight double")
+    stop = spark.createDataFrame([(1, "entropic")], "query_id bigint, token string")
+    assert [r.label for r in labels.cluster_labels(weights, vocabulary, stop=stop).collect()] == ["heat, gas"]
+    assert read.value == 3
