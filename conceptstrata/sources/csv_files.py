@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 from conceptstrata.functions.text import parse_vector, parse_weights
 
 
+# A file whose values may hold line ends is read by one task: rows that one may have, some 40 MB of embedded papers
+FILE_ROWS = 5_000
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_embedded_csv(df: DataFrame, path: str) -> None:

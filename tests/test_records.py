@@ -189,6 +189,14 @@ def test_materialise_once(spark, tmp_path):
     assert tables.materialise_once(spark.range(9), "once", str(tmp_path / "once")).count() == 3
 
 
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_files, "FILE_ROWS", 10)
+    csv_files.write_csv(spark.range(35).coalesce(1).selectExpr("id", "'a\nb' AS note"), str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 4
+    back = spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert sorted((int(r.id), r.note) for r in back.collect()) == [(i, "a\nb") for i in range(35)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [("1", 'a "quoted", title\nof two lines', [0.5, -1.25], {7: 0.5, 9: 2.0}), ("2", "x", [0.0, 1e-5], {})],
