@@ -144,7 +144,7 @@ WHERE pos % (SELECT greatest(1, (count(*) + 89) // 90) FROM documents) = 0
 """)
 def systematic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "lines")
-    adapters.records(spark, sf_dir).repartitionByRange(4, F.col("id").cast("bigint")).sortWithinPartitions(
+    adapters.records(spark, sf_dir).repartitionByRange(F.col("id").cast("bigint")).sortWithinPartitions(
         F.col("id").cast("bigint")
     ).write.json(path)
     return json_lines.sampled_records(spark, path, limit=90).select("id", "line_no")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from conceptstrata import schemas
 from conceptstrata.functions import keys, text
 from conceptstrata.operators import encode, records, sampling
-from conceptstrata.plans import adapters
+from conceptstrata.plans import adapters, record_queries
 from conceptstrata.sources import csv_files, json_lines, tables
 from conceptstrata.streaming import feeds
 
@@ -197,6 +197,18 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     assert sorted((int(r.id), r.note) for r in back.collect()) == [(i, "a\nb") for i in range(35)]
 
 
+def test_line_files_are_as_many_as_partitions(spark, sf_small, monkeypatch):
+    paths, sampled = [], json_lines.sampled_records
+    monkeypatch.setattr(json_lines, "sampled_records", lambda spark, path, limit: paths.append(path) or sampled(spark, path, limit))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which merges small partitions
+    try:
+        record_queries.systematic_lines(spark, sf_small)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(spark.read.text(paths[0]).inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [("1", 'a "quoted", title\nof two lines', [0.5, -1.25], {7: 0.5, 9: 2.0}), ("2", "x", [0.0, 1e-5], {})],
