@@ -225,6 +225,15 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
+# Rows of a bucket, which one task writes and reads: some 80 MB of papers
+BUCKET_ROWS = 20_000
+
+
+def _buckets(rows: DataFrame, least: int) -> int:
+    """Buckets for a table of so many rows, so that a bucket stays as large as it is whatever the table."""
+    return max(least, -(-rows.count() // BUCKET_ROWS))
+
+
 def _new_table(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
@@ -311,7 +320,8 @@ FROM papers p LEFT JOIN labels l USING (doc_id)
 """)
 def versioned_upsert_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all papers, then replace the labelled ones; the batch names each of them twice, the later one counts."""
-    stored = tables.versioned_papers(spark, new_path(spark, "papers"), buckets=8)
+    documents = adapters.table(spark, sf_dir, "documents")
+    stored = tables.versioned_papers(spark, new_path(spark, "papers"), _buckets(documents, 8))
     papers = adapters.papers(spark, sf_dir).withColumn("line_no", F.lit(0))
     stored.upsert(papers, latest="line_no")
     labelled = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("arxiv_id"))
@@ -329,8 +339,8 @@ FROM vectors v LEFT JOIN labels l ON l.doc_id = v.vec_id
 """)
 def versioned_moved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all vectors, then move the labelled ones to another year in three batches."""
-    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=8)
     rows = _vector_rows(spark, sf_dir)
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), _buckets(rows, 8))
     stored.upsert(rows, latest="publication_year")
     labels = adapters.table(spark, sf_dir, "labels")
     for batch in range(3):
@@ -346,8 +356,8 @@ FROM vectors v WHERE vec_id IN (SELECT doc_id FROM labels)
 """)
 def versioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the labelled papers, from a base and a delta that replaces every second row by itself."""
-    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=8)
     rows = _vector_rows(spark, sf_dir)
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), _buckets(rows, 8))
     stored.upsert(rows, latest="publication_year")
     stored.upsert(rows.where(F.col("paper_id") % 2 == 0), latest="publication_year")
     ids = adapters.table(spark, sf_dir, "labels").select(hash60(F.col("doc_id").cast("string")).alias("paper_id"))
@@ -358,7 +368,7 @@ def versioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the vector tables after the same rows were written twice."""
     rows = _vector_rows(spark, sf_dir)
-    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), buckets=4)
+    stored = tables.versioned_vectors(spark, new_path(spark, "vectors"), _buckets(rows, 4))
     name = _new_table("counted")
     tables.create_vectors(spark, name, new_path(spark, "vectors"))
     for _ in range(2):
@@ -564,7 +574,8 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_ingest_versioned", _EXPECTED_CLEAN)
 def stream_ingest_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records twice, the second time as they should be, in two runs of the feed into a versioned table."""
-    stored = tables.versioned_papers(spark, new_path(spark, "streamed"), buckets=4)
+    buckets = _buckets(adapters.table(spark, sf_dir, "documents"), 4)
+    stored = tables.versioned_papers(spark, new_path(spark, "streamed"), buckets)
     source, progress = new_path(spark, "records"), new_path(spark, "progress")
     for title in (F.lit("draft"), F.col("title")):
         adapters.records(spark, sf_dir).withColumn("title", title).write.mode("append").json(source)
@@ -579,7 +590,8 @@ FROM dense JOIN papers USING (arxiv_id) WHERE round(x, 6) <> 0
 """)
 def stream_encode_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the papers, then all of them: the feed encodes those that are not stored. The values are compared."""
-    stored = tables.versioned_vectors(spark, new_path(spark, "streamed"), buckets=4)
+    buckets = _buckets(adapters.table(spark, sf_dir, "documents"), 4)
+    stored = tables.versioned_vectors(spark, new_path(spark, "streamed"), buckets)
     source, progress = new_path(spark, "papers"), new_path(spark, "progress")
     papers = adapters.papers(spark, sf_dir)
     for batch in (papers.where(F.col("arxiv_id").cast("bigint") % 2 == 0), papers):

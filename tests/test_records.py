@@ -197,6 +197,11 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     assert sorted((int(r.id), r.note) for r in back.collect()) == [(i, "a\nb") for i in range(35)]
 
 
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(record_queries, "BUCKET_ROWS", 10)
+    assert [record_queries._buckets(spark.range(n), 4) for n in (0, 40, 41, 95)] == [4, 4, 5, 10]
+
+
 def test_line_files_are_as_many_as_partitions(spark, sf_small, monkeypatch):
     paths, sampled = [], json_lines.sampled_records
     monkeypatch.setattr(json_lines, "sampled_records", lambda spark, path, limit: paths.append(path) or sampled(spark, path, limit))
