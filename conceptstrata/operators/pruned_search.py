@@ -1,10 +1,11 @@
 """Exact top-k search that reads only what can still matter.
 
-`PostingBlocks` keeps the postings of a token by falling weight in blocks with their largest weight. A query first reads
-the heads of its lists; the k-th best sum of these is a score that the k-th best paper reaches at least. Every paper
-above it has one token that contributes that score divided by the number of tokens, so only blocks whose largest weight
-allows as much are read, and only papers whose sum, plus what the unread rest could add, reaches the new k-th best sum
-are scored in full.
+`PostingBlocks` keeps the postings of a token, in each segment of papers, by falling weight in blocks with their largest
+weight. A query first reads the heads of its lists; the k-th best sum of these is a score that the k-th best paper reaches
+at least. Every paper above it has one token that contributes that score divided by the number of tokens, so only blocks
+whose largest weight allows as much are read, and only papers whose sum, plus what the unread blocks of their other tokens
+could add, reaches the new k-th best sum are scored in full. Blocks are read once for all queries, segment by segment, and
+a task hands on only the papers that may be among the k best.
 
 `VectorCells` keeps vectors by their nearest centre, with the largest angle to it. A vector of a cell is at most as near
 to a query as the angle between query and centre less that radius allows (triangle inequality). A query first reads its
@@ -27,52 +28,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from conceptstrata.operators.lookup import joined_by_key
-from conceptstrata.operators.ranking import broadcast_checked, top_k
+from conceptstrata.operators.posting_segments import SEGMENT_ROWS, SEGMENTS, SLACK, AskedTokens, cut_segments
+from conceptstrata.operators.ranking import BROADCAST_ROWS, broadcast_checked, top_k
 from conceptstrata.operators.retrieve import HELD_ROWS, QUERY_ROWS, DenseBlock, HITS, best_first, with_years
-from conceptstrata.session import cut_lineage
+from conceptstrata.session import cut_lineage, task_count
 
 BLOCK_ROWS = 512
 CELLS = 256
 SAMPLE_ROWS = 50_000  # vectors, in the mean, that the centres are fitted to; all are assigned
-SLACK = 1e-9  # for rounding, in scores and angles
 
 
 class PostingBlocks:
-    """Postings (token_id, weight, arxiv_id, publication_year) with positive weights, written in blocks."""
+    """Postings (token_id, weight, arxiv_id, publication_year) with positive weights, written in blocks.
 
-    def __init__(self, postings: DataFrame, block_rows: int = BLOCK_ROWS):
-        order = ["token_id", F.desc("weight"), "arxiv_id"]
-        rows = postings.select("token_id", F.col("weight").cast("double").alias("weight"), "arxiv_id", F.col("publication_year").cast("int").alias("year"))
-        ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        entry = "array<struct<weight:double,arxiv_id:string,year:int>>"
+    Nothing is shuffled: the postings are cut where they lie into segments of whole papers (`posting_segments`). Postings
+    made from vectors lie paper by paper; ids of which several segments have postings, that come with several years or have a
+    token more than once, are found by counting. These are scored from all their postings, as one paper an id and year.
+    """
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                token, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                starts = np.concatenate([np.arange(a, z, block_rows) for a, z in zip(starts, [*starts[1:], len(token)])])
-                cuts = np.r_[starts, len(token)].astype(np.int32)
-                entries = pa.StructArray.from_arrays(batch.columns[1:], ["weight", "arxiv_id", "year"])
-                columns = [pa.array(token[starts]), pa.array(weight[starts]), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts), entries)]
-                yield pa.RecordBatch.from_arrays(columns, ["token_id", "top", "n", "entries"])
-
-        blocks = ranged.mapInArrow(cut, f"token_id bigint, top double, n int, entries {entry}")
-        # The number tells blocks apart that begin with the same weight; the written copy fixes it.
-        self.blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()), "posting-blocks")
-
-    def _sums(self, wanted: DataFrame) -> DataFrame:
-        """(query_id, arxiv_id, year, score, seen) from the blocks (token_id, block) chosen per query."""
-        known = wanted.select("query_id", "block", "query_weight", "start_year", "end_year")
-        read = self.blocks.select("block", "entries").join(broadcast_checked(known), "block")
-        product = F.col("e.weight") * F.col("query_weight")
-        return (
-            read.select("query_id", "query_weight", "start_year", "end_year", F.explode("entries").alias("e"))
-            .where(F.col("e.year").between(F.col("start_year"), F.col("end_year")))
-            .groupBy("query_id", F.col("e.arxiv_id").alias("arxiv_id"), F.col("e.year").alias("year"))
-            .agg(F.sum(product).alias("score"), F.count("*").alias("seen"))
+    def __init__(self, postings: DataFrame, block_rows: int = BLOCK_ROWS, segment_rows: int = SEGMENT_ROWS):
+        rows = postings.select(
+            "token_id", F.col("weight").cast("double").alias("weight"), "arxiv_id", F.col("publication_year").cast("int").alias("year")
+        ).where(F.col("token_id").isNotNull() & F.col("weight").isNotNull() & F.col("year").isNotNull())
+        written = cut_lineage(rows.mapInArrow(lambda batches: cut_segments(batches, block_rows, segment_rows), SEGMENTS), "posting-blocks")
+        self.blocks = written.where(F.col("token_id").isNotNull()).select("segment", "token_id", "at", "top", "n", "papers", "weights")
+        lists = written.where(F.col("token_id").isNull()).select("segment", "at", F.posexplode(F.arrays_zip("arxiv_id", "year", "repeats")).alias("i", "p"))
+        papers = lists.select("segment", (F.col("at") + F.col("i")).alias("at"), "p.arxiv_id", "p.year", "p.repeats")
+        loose = papers.groupBy(F.col("arxiv_id").alias("_id")).agg(F.count("*").alias("n"), F.max("repeats").alias("again"))
+        loose = loose.where((F.col("n") > 1) | F.col("again") | F.col("_id").isNull()).withColumn("_loose", F.lit(True))
+        marked = papers.join(broadcast_checked(loose), F.col("arxiv_id").eqNullSafe(F.col("_id")), "left")
+        self.papers = cut_lineage(marked.select("segment", "at", "arxiv_id", "year", F.coalesce("_loose", F.lit(False)).alias("loose")), "posting-papers")
+        self.loose = not self.papers.where("loose").isEmpty()
+
+    def _sums(self, read: DataFrame, asked: AskedTokens) -> DataFrame:
+        """(query_id, arxiv_id, year, score, rest) of the papers that may be among the k best, from the blocks that are read."""
+        lists = {"papers": "array<int>", "weights": "array<double>"}
+        told = {"arxiv_id": "string", "year": "int", "loose": "boolean"}
+        blocks = read.select("segment", "token_id", "at", *lists, *[F.lit(None).cast(kind).alias(c) for c, kind in told.items()])
+        papers = self.papers.select(
+            "segment", F.lit(None).cast("bigint").alias("token_id"), "at", *[F.lit(None).cast(kind).alias(c) for c, kind in lists.items()], *told
         )
+        dealt = blocks.unionByName(papers).repartition(task_count(read.sparkSession), "segment")
+        ordered = dealt.sortWithinPartitions("segment", F.asc_nulls_first("token_id"), "at")
+        return ordered.mapInArrow(asked.scan, asked.schema)
 
     @staticmethod
     def _kth(sums: DataFrame, k: int) -> DataFrame:
@@ -84,29 +82,67 @@ class PostingBlocks:
         """The k papers with the largest inner product per query, inside its year range.
 
         tokens: query_id, start_year, end_year, token_id, query_weight (positive); vectors: arxiv_id, sparse_vector, from which
-        the papers that may be among the k best are scored. `counts` gets (postings read, postings of the query tokens).
+        the papers that may be among the k best are scored. `counts` gets (postings read, postings of the query tokens),
+        summed over the queries. A larger query set is searched in blocks.
         """
-        tokens = cut_lineage(tokens.where(F.col("query_weight") > 0).withColumn("query_weight", F.col("query_weight").cast("double")), "query-tokens")
-        lists = cut_lineage(self.blocks.select("token_id", "block", "top", "n").join(broadcast_checked(tokens), "token_id"), "query-blocks")
-        before = W.partitionBy("query_id", "token_id").orderBy(F.desc("top"), "block").rowsBetween(W.unboundedPreceding, -1)
-        heads = lists.withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("above") < k)
-        first = self._kth(self._sums(heads), k)
-        sizes = tokens.groupBy("query_id").agg(F.count("*").alias("m"))
-        share = sizes.join(first, "query_id", "left").select("query_id", "m", ((F.coalesce("bound", F.lit(0.0)) - SLACK) / F.col("m")).alias("least"))
-        share = cut_lineage(share, "query-bounds")
-        chosen = cut_lineage(lists.join(broadcast_checked(share), "query_id").where(F.col("top") * F.col("query_weight") >= F.col("least")), "chosen-blocks")
+        tokens = tokens.where((F.col("query_weight") > 0) & F.col("query_id").isNotNull())
+        tokens = tokens.withColumn("query_weight", F.col("query_weight").cast("double"))
+        tokens = tokens.groupBy("query_id", "token_id", "query_weight", "start_year", "end_year").agg(F.count("*").alias("times"))
+        tokens = cut_lineage(tokens, "query-tokens")
+        queries, rows = tokens.agg(F.count_distinct("query_id"), F.count("*")).first()
+        most = max(1, min(QUERY_ROWS, HELD_ROWS // (4 * k)))  # hits are held as tuples
+        blocks = max(-(-queries // most), -(-rows // BROADCAST_ROWS))
+        read = np.zeros(2, np.int64)
+        if blocks <= 1:
+            found = self._search(tokens, vectors, k, read)
+        else:
+            found = None
+            for block in range(blocks):
+                some = tokens.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+                part = cut_lineage(self._search(some, vectors, k, read), "hits")
+                found = part if found is None else found.unionByName(part)
         if counts is not None:
-            counts.append((chosen.agg(F.sum("n")).first()[0] or 0, lists.agg(F.sum("n")).first()[0] or 0))
-        sums = cut_lineage(self._sums(chosen), "sums")
-        bound = broadcast_checked(self._kth(sums, k).join(share, "query_id"))
-        rest = (F.col("m") - F.col("seen")) * F.greatest(F.col("least"), F.lit(0.0))
-        likely = sums.join(bound, "query_id").where(F.col("score") + rest >= F.col("bound") - SLACK)
+            counts.append((int(read[0]), int(read[1])))
+        return found
+
+    def _search(self, tokens: DataFrame, vectors: DataFrame, k: int, read: np.ndarray) -> DataFrame:
+        kind = tokens.schema["query_id"].dataType
+        mine = broadcast_checked(tokens.select("token_id").distinct())
+        lists = cut_lineage(self.blocks.select("segment", "token_id", "at", "top", "n").join(mine, "token_id"), "query-blocks")
+        before = W.partitionBy("token_id").orderBy(F.desc("top"), "segment", "at").rowsBetween(W.unboundedPreceding, -1)
+        heads = lists.withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("above") < k)
+        heads = broadcast_checked(heads.select("segment", "token_id", "at"))
+        first = self._kth(self._sums(self.blocks.join(heads, ["segment", "token_id", "at"]), AskedTokens(tokens.collect(), kind, k)), k)
+        sizes = tokens.groupBy("query_id").agg(F.sum("times").alias("m"))
+        share = sizes.join(first, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+        share = cut_lineage(share.withColumn("least", (F.col("bound") - SLACK) / F.col("m")), "query-bounds")
+        allowed = F.col("top") * F.col("query_weight") >= F.col("least")
+        asked = tokens.join(broadcast_checked(share), "query_id")
+        chosen = lists.join(broadcast_checked(asked), "token_id").groupBy(*asked.columns).agg(
+            F.min(F.when(allowed, F.col("top"))).alias("lowest"),
+            F.coalesce(F.max(F.when(~allowed, F.col("top"))), F.lit(0.0)).alias("below"),
+            F.coalesce(F.sum(F.when(allowed, F.col("n"))), F.lit(0)).alias("read"),
+            F.sum("n").alias("whole"),
+        )
+        chosen = cut_lineage(chosen, "chosen-tokens")
+        read += chosen.agg(*[F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0)) for c in ("read", "whole")]).first()
+        cuts = chosen.where(F.col("lowest").isNotNull()).groupBy("token_id").agg(F.min("lowest").alias("lowest"))
+        wanted = self.blocks.join(broadcast_checked(cuts), "token_id").where(F.col("top") >= F.col("lowest"))
+        sums = self._sums(wanted, AskedTokens(chosen.collect(), kind, k))
+        if self.loose:
+            parts = self._sums(self.blocks.join(mine, "token_id"), AskedTokens(tokens.collect(), kind, k, loose=True))
+            added = parts.groupBy("query_id", "arxiv_id", "year").agg(F.round(F.sum("score"), 12).alias("score"), F.max("rest").alias("rest"))
+            sums = sums.unionByName(added)
+        sums = cut_lineage(sums, "sums")
+        bound = broadcast_checked(self._kth(sums, k))
+        likely = sums.join(bound, "query_id").where(F.col("score") + F.col("rest") >= F.col("bound") - SLACK)
         # Papers of which all is read need no second look; the others are scored from their whole vectors.
-        whole = likely.where(F.col("seen") == F.col("m")).select("query_id", "arxiv_id", "year", "score")
-        part = cut_lineage(likely.where(F.col("seen") < F.col("m")).select("query_id", "arxiv_id", "year"), "partly-read")
+        whole = likely.where(F.col("rest") == 0).select("query_id", "arxiv_id", "year", "score")
+        part = cut_lineage(likely.where(F.col("rest") > 0).select("query_id", "arxiv_id", "year"), "partly-read")
         scored = joined_by_key(vectors.select("arxiv_id", "sparse_vector"), part, "arxiv_id")
         weights = scored.select("query_id", "arxiv_id", "year", F.explode("sparse_vector").alias("token_id", "weight"))
-        exact = weights.join(broadcast_checked(tokens.select("query_id", "token_id", "query_weight")), ["query_id", "token_id"])
+        weighed = tokens.withColumn("query_weight", F.col("query_weight") * F.col("times")).drop("times")
+        exact = weights.join(broadcast_checked(weighed), ["query_id", "token_id"]).where(F.col("year").between(F.col("start_year"), F.col("end_year")))
         product = F.col("weight").cast("double") * F.col("query_weight")
         exact = exact.groupBy("query_id", "arxiv_id", "year").agg(F.sum(product).alias("score"))
         return top_k(whole.unionByName(exact).withColumn("score", F.round("score", 12)), ["query_id"], best_first(), k)

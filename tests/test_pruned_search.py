@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conceptstrata.operators import encode, retrieve
 from conceptstrata.operators.pruned_search import PostingBlocks, VectorCells
@@ -85,6 +86,63 @@ def test_posting_blocks_of_nothing(spark):
     assert blocks.search(retrieve.query_tokens(queries.limit(0)), vectors, 5).count() == 0
 
 
+def test_posting_blocks_move_only_what_may_be_a_hit(spark, monkeypatch):
+    """The index is written without a shuffle, and of (query, paper) pairs only the k best of a task leave it."""
+    rows = [(f"d{i:04d}", 2000, {t: float(1 + (i + t) % 3) for t in range(12)}) for i in range(1500)]
+    vectors = cut_lineage(spark.createDataFrame(rows, "arxiv_id string, publication_year int, sparse_vector map<bigint,float>").repartition(3), "papers")
+    asked = [(q, {t: 1.0 for t in range(q, q + 4)}, 1990, 2010) for q in range(8)]
+    queries = spark.createDataFrame(asked, "query_id bigint, sparse_vector map<bigint,float>, start_year int, end_year int")
+    written = {}
+
+    def noted(df, name="stage"):
+        out = cut_lineage(df, name)
+        written[name] = (df._jdf.queryExecution().executedPlan().toString(), out.count())
+        return out
+
+    monkeypatch.setattr("conceptstrata.operators.pruned_search.cut_lineage", noted)
+    blocks = PostingBlocks(encode.postings(vectors, 0.0, "publication_year"), segment_rows=4000)
+    got = blocks.search(retrieve.query_tokens(queries), vectors, 10)
+    want = retrieve.sparse_scan_topk(vectors, queries, 10)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "Exchange" not in written["posting-blocks"][0]
+    assert blocks.blocks.select("segment").distinct().count() >= 5 and not blocks.loose
+    assert written["sums"][1] <= 8 * 10 * 8 and written["partly-read"][1] <= 8 * 10 * 8, written
+
+
+@pytest.mark.parametrize("k", [3, 60])
+def test_posting_blocks_of_papers_that_lie_apart(spark, k):
+    """Postings dealt by token, ids that come twice, with two years or not at all: sums per id and year, as in the postings table."""
+    vectors, queries = weighted(spark, n=400)
+    years = vectors.where("publication_year < 1994").withColumn("publication_year", F.col("publication_year") + 4)
+    nameless = vectors.where("publication_year = 1999").withColumn("arxiv_id", F.lit(None).cast("string"))
+    all_rows = cut_lineage(vectors.unionByName(vectors.where("publication_year < 1998")).unionByName(years).unionByName(nameless), "papers")
+    postings = encode.postings(all_rows, 0.0, "publication_year")
+    tokens = retrieve.query_tokens(queries)
+    want = sorted(map(str, map(key, retrieve.sparse_topk(postings, tokens, k).collect())))
+    for lying in (postings, postings.repartition(5, "token_id"), postings.orderBy("weight").coalesce(1)):
+        blocks = PostingBlocks(lying, block_rows=16, segment_rows=300)
+        assert blocks.loose
+        assert sorted(map(str, map(key, blocks.search(tokens, all_rows, k).collect()))) == want
+
+
+def test_posting_blocks_with_odd_queries(spark, monkeypatch):
+    """Tokens that come twice, years by token, queries without an id, and more queries than a block holds."""
+    vectors, queries = weighted(spark, n=500)
+    postings = encode.postings(vectors, 0.0, "publication_year")
+    tokens = retrieve.query_tokens(queries)
+    more = tokens.where("query_id = 1").withColumns({"start_year": F.lit(2003), "end_year": F.lit(2019), "query_weight": F.lit(0.25)})
+    odd = tokens.unionByName(tokens.where("query_id < 3")).unionByName(more)
+    want = sorted(map(key, retrieve.sparse_topk(postings, odd, 9).collect()))
+    odd = odd.unionByName(tokens.where("query_id = 2").withColumn("query_id", F.lit(None).cast("bigint")))
+    blocks = PostingBlocks(postings, block_rows=16, segment_rows=700)
+    assert sorted(map(key, blocks.search(odd, vectors, 9).collect())) == want
+    monkeypatch.setattr("conceptstrata.operators.pruned_search.QUERY_ROWS", 3)
+    assert sorted(map(key, blocks.search(odd, vectors, 9).collect())) == want
+    named = odd.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    got = blocks.search(named, vectors, 9).withColumn("query_id", F.substring("query_id", 2, 9).cast("bigint"))
+    assert sorted(map(key, got.collect())) == want
+
+
 def test_query_sets_around_a_block(spark, monkeypatch):
     """One query more than a block holds: the same hits, and papers are never shuffled."""
     monkeypatch.setattr(retrieve, "QUERY_ROWS", 12)
